@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, packing, quality, token_counts, url_filters
-from framelake.session import materialise
+from framelake.llm import mixing, packing, quality, simhash, token_counts, url_filters, warc
+from framelake.session import materialise, shared_folder
 
 #: The fixed rules that op10 judges by: host, path, verdict.
 RULES = [
@@ -31,6 +31,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    found = warc.read_archive(spark, path)
+    # A response's length and digest are those of the bytes read back; a revisit has its headers only.
+    body = F.col("payload").isNotNull()
+    return found.select(
+        warc.record_key("record_id").alias("page_id"),
+        F.when(body, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(body, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        warc.record_key("refers_to").alias("refers_to"),
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -56,6 +71,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_groups(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -67,9 +86,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
 }
@@ -77,6 +98,13 @@ QUERIES = {
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op2_warc_round_trip": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+""",
     "op10_url_filters": r"""
 WITH rules(rhost, rpath, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
     ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
