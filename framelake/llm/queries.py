@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import mixing, packing, quality, simhash, token_counts, url_filters, warc
+from framelake.llm import mixing, packing, quality, simhash, token_counts, toxicity, url_filters, warc
 from framelake.session import materialise, shared_folder
 
 #: The fixed rules that op10 judges by: host, path, verdict.
@@ -75,6 +75,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_url_filters": op10_url_filters,
 }
