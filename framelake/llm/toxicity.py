@@ -44,6 +44,11 @@ def fold(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS, F.lit(0))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells apart texts that share a key."""
+    return F.xxhash64(text_or_empty(text))
+
+
 def _word_hashes(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     return F.transform(words, lambda w: F.when(F.hash(w) == 0, 1).otherwise(F.hash(w)))
@@ -121,18 +126,18 @@ def model(pairs: DataFrame) -> DataFrame | None:
 
 
 def evidence(docs: DataFrame, entries: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``doc_id``, ``n`` words, and the summed log-likelihood ratio ``total``."""
-    base = docs.select(F.col(key).alias("doc_id"), _word_hashes(text_or_empty(text)).alias("w")).withColumn("n", F.size("w"))
+    """Per document: ``doc_id``, ``text_hash``, ``n`` words, and the summed log-likelihood ratio ``total``."""
+    base = docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), _word_hashes(text_or_empty(text)).alias("w")).withColumn("n", F.size("w"))
     if entries is None:
-        return base.select("doc_id", "n", F.lit(0.0).alias("total"))
+        return base.select("doc_id", "text_hash", "n", F.lit(0.0).alias("total"))
     alone = F.transform("w", lambda w: _pair(F.lit(0), w))
     # 0 is no word: it keeps texts without any entry in the inner join.
     keys = F.concat(F.array(F.lit(0).cast("long")), alone, F.when(F.col("n") > 0, _pairs(F.col("w"))).otherwise(F.array().cast("array<bigint>")))
-    rows = base.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n", F.explode(keys).alias("pair"))
+    rows = base.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_hash", "n", F.explode(keys).alias("pair"))
     entries = entries.unionByName(entries.sparkSession.range(1, numPartitions=1).select(F.lit(0).cast("long").alias("pair"), F.lit(0.0).alias("value")))
     met = rows.join(broadcast_if_small(entries), "pair")
-    summed = met.groupBy("row", "doc_id", "n").agg(F.sum("value").alias("total"))
-    return summed.select("doc_id", "n", "total")
+    summed = met.groupBy("row", "doc_id", "text_hash", "n").agg(F.sum("value").alias("total"))
+    return summed.select("doc_id", "text_hash", "n", "total")
 
 
 def _features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -168,4 +173,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
         mean = F.col("total") / F.greatest(F.col("n"), F.lit(1))
         z = F.lit(w[0]) + w[1] * F.asinh("total") + w[2] * F.asinh(100 * mean)
         found = found.withColumn("score", 1 / (1 + F.exp(-z)))
-    return found.select(F.col("doc_id").alias(key), (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "total", "n")
+    return found.select(F.col("doc_id").alias(key), (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash", "total", "n")
