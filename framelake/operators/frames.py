@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framelake.errors import first_error
 from framelake.limits import DEFAULT, Limits
@@ -172,4 +173,4 @@ def execute_transfers(frames: DataFrame) -> DataFrame:
             p["result"] = [transfer(bytes(d), dict(a), dict(b)) for d, a, b in zip(p["data"], p["source"], p["target"], strict=True)]
             yield p
 
-    return kept.mapInPandas(run, kept.schema.add("result", "binary"))
+    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField("result", T.BinaryType())]))
