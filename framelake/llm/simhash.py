@@ -245,8 +245,8 @@ def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, t
     Texts with the same words, in order, are one class from the start.
     """
     found = materialise(_sketches(docs, size, text, key), "sketches")
-    classes = materialise(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("print").alias("print")).where("node IS NOT NULL"), "classes")
-    keys = materialise(_table_keys(classes.where("n > 0")), "tables")
+    classes = materialise(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("print").alias("print")), "classes")
+    keys = materialise(_table_keys(classes.where("n > 0 AND node IS NOT NULL")), "tables")
     near = (F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.bit_count(F.col("head").bitwiseXOR(F.col("head2"))) <= FAR_BITS)
     # Buckets of one need no join.
     least = keys.groupBy("bucket").agg(F.min(F.struct("node", "n", "head")).alias("f"), F.count("*").alias("c")).where("c > 1")
