@@ -4,7 +4,8 @@ A source's documents fall into ``BLOCKS`` blocks by a hash, which an affine map
 permutes. A target of p.r times the source's size takes every block p times and
 then a prefix of the permuted blocks; the last few blocks, of at least
 ``EDGE_ROWS`` documents where there are so many, are filled document by
-document until nothing more fits. That fixes an exact quota of block draws for
+document: half of what they owe in permuted order (nothing where they are few), the rest by the
+largest that fits. That fixes an exact quota of block draws for
 each source. A binary tree over the output shards splits the vector of quotas by
 multivariate-hypergeometric draws, so each shard holds a fixed number of draws
 from each source, and consecutive permuted draws go to consecutive shards:
@@ -33,7 +34,7 @@ from framelake.llm.common import WORD, literal_table, text_or_empty
 BLOCKS = 1024
 EDGE_ROWS = 512
 #: Rounds of filling what is left of a target with documents that still fit.
-ROUNDS = 5
+ROUNDS = 6
 MAX_SOURCES = 20_000
 
 PLAN = T.StructType(
@@ -47,6 +48,7 @@ PLAN = T.StructType(
         T.StructField("whole", T.IntegerType()),
         T.StructField("edge", T.IntegerType()),
         T.StructField("gap", T.DoubleType()),
+        T.StructField("lead", T.DoubleType()),
         T.StructField("ends", T.ArrayType(T.IntegerType())),
     ]
 )
@@ -121,11 +123,13 @@ def plan_mix(sums: list, weights: tuple[float, ...], share: float, most: int, sh
         rest = max(0.0, target - passes * total) if passes < most else 0.0
         grown = np.cumsum(size[i])
         whole = int(np.searchsorted(grown, rest, side="right")) if rest > 0 else 0
-        gap = rest - (float(grown[whole - 1]) if whole else 0.0)
         edge = whole
         while rest > 0 and edge < BLOCKS and rows[i, whole:edge].sum() < EDGE_ROWS:
             edge += 1
-        plan[i] |= {"plan_source": name, "source_size": total, "target": target, "passes": passes, "whole": whole, "edge": edge, "gap": gap}
+        while rest > 0 and whole and rows[i, whole:edge].sum() < EDGE_ROWS:  # few documents: all of them are filled one by one
+            whole -= 1
+        gap = rest - (float(grown[whole - 1]) if whole else 0.0)
+        plan[i] |= {"plan_source": name, "source_size": total, "target": target, "passes": passes, "whole": whole, "edge": edge, "gap": gap, "lead": 0.5 if rows[i, whole:edge].sum() >= EDGE_ROWS / 4 else 0.0}
         quotas.append(passes * BLOCKS + edge)
     ends = split_quotas(np.array(quotas, dtype=np.int64), shards, seed).cumsum(axis=0)
     for i in range(len(names)):
@@ -170,12 +174,18 @@ def mix_sources(
     filled = placed.where(in_edge).withColumn("more", F.col("size") < 0)
     order = Window.partitionBy("source").orderBy("hash", "size", "block").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("source")
-    for _ in range(ROUNDS):
-        left = F.col("gap") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(whole)
-        fits = ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
-        filled = filled.withColumn("left", left).withColumn("fits", fits)
-        filled = filled.withColumn("upto", F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(order))
+    large = Window.partitionBy("source").orderBy(F.desc("size"), "hash", "block").rowsBetween(Window.unboundedPreceding, 0)
+    for i in range(ROUNDS):
+        # Half of the gap goes to documents in permuted order, unless they are few, the rest to the largest that still fit.
+        left = F.col("gap") * (F.lit(1.0) if i else F.col("lead")) - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(whole)
+        filled = filled.withColumn("left", left).withColumn("fits", ~F.col("more") & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+        filled = filled.withColumn("upto", F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0)).over(large if i else order))
         filled = filled.withColumn("more", F.col("more") | (F.col("fits") & (F.col("upto") <= F.col("left")))).drop("left", "fits", "upto")
+    # One document more where overshooting by it leaves a smaller error.
+    left = F.col("gap") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0)).over(whole)
+    filled = filled.withColumn("left", left).withColumn("off", F.when(~F.col("more") & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left")), F.abs(F.col("left") - F.col("size"))))
+    filled = filled.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_last("off"), "hash", "size", "block")))
+    filled = filled.withColumn("more", F.col("more") | ((F.col("nth") == 1) & F.col("off").isNotNull())).drop("left", "off", "nth")
     drawn = plain.unionByName(filled)
     times = F.when(F.col("size") > 0, F.col("passes") + F.col("more").cast("int")).otherwise(0)
     draws = F.slice(F.array(*(F.lit(i) for i in range(most + 1))), F.lit(1), times)
