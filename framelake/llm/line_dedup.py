@@ -132,6 +132,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     at = F.min(F.struct("first", "n")).alias("at")
     firsts = materialise(hits.where("doc_id = at_doc").groupBy("hash", "at_doc").agg(at).select("hash", "at_doc", F.col("at.first").alias("at_first"), "at.n"), "firsts")
     bodies = _first_texts(texts, firsts).join(firsts.select(F.col("hash").alias("h"), "at_first"), F.col("hash") == F.col("h")).drop("h")
+    bodies = materialise(bodies, "bodies")  # so that a frequent chunk's partition of the next join can be split
     later = hits.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
     marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
