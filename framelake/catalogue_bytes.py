@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake import views
-from framelake.catalogue import query
+from framelake.catalogue import joined, query
+from framelake.functions import blocks as B
 from framelake.functions.bits import Bits, BitWriter, insert_emulation, leb128, put_leb128, strip_emulation
 from framelake.functions.codecs import byte_at
 from framelake.operators import frames
+from framelake.operators import guards as G
 from framelake.operators.reader import cache_statistics, read_frames
 from framelake.operators.samples import access_pattern, presentation_order
 from framelake.plans import conformance
@@ -209,3 +211,98 @@ def transfer_execute(spark, sf):
     out = frames.execute_transfers(p.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", data.alias("data"), side("Rgba8", "Full", "BottomLeft", 5).alias("source"), side("Bgra8", "Limited", "TopLeft", 8).alias("target")))
     three = F.concat(F.lit("["), F.array_join(F.array(*(byte_at(F.col("result"), i).cast("string") for i in (1, 2, 3))), ", "), F.lit("]"))
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", three.alias("bgr"))
+
+
+# --- codec arithmetic and guards --------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN s > 63 THEN s - 64 ELSE 63 - s END AS state, (s > 63)::INTEGER AS mps FROM (SELECT p_partkey,
+    least(126, greatest(1, floor((((p_partkey % 256) // 16) * 5 - 45) * least(51, greatest(0, p_partkey % 70 - 9)) / 16.0)::BIGINT + (p_partkey % 16) * 8 - 16)) AS s FROM part)""")
+def context_state(spark, sf):
+    k = F.col("p_partkey")
+    c = B.context_state(k % 256, k % 70 - 9)
+    return views.table(spark, sf, "part").select("p_partkey", c["state"].alias("state"), c["mps"].alias("mps"))
+
+
+@query("""SELECT p_partkey, n, CASE p_partkey % 3 WHEN 0 THEN n * n WHEN 1 THEN n * (n // 4) + n * (n * 3 // 4) ELSE 4 * (n // 2) * (n // 2) END AS area, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS parts
+    FROM (SELECT p_partkey, 8::BIGINT << (p_partkey % 4)::INTEGER AS n FROM part)""")
+def unit_partitions(spark, sf):
+    k = F.col("p_partkey")
+    p = views.table(spark, sf, "part").select("p_partkey", F.call_function("shiftleft", F.lit(8).cast("long"), (k % 4).cast("int")).alias("n"))
+    mode = F.element_at(F.array(F.lit("2Nx2N"), F.lit("2NxnU"), F.lit("NxN")), (k % 3 + 1).cast("int"))
+    parts = B.unit_parts(F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("n"), mode)
+    return p.withColumn("r", parts).select("p_partkey", "n", F.aggregate("r", F.lit(0).cast("long"), lambda a, r: a + r["w"] * r["h"]).alias("area"), F.size("r").alias("parts"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(range(0, t), lambda i: ((i + 1) * b // t - i * b // t)::VARCHAR), ',') AS sizes FROM (SELECT p_partkey, p_partkey % 40 + 8 AS b, p_partkey % 7 + 1 AS t FROM part)""")
+def tile_sizes(spark, sf):
+    k = F.col("p_partkey")
+    return views.table(spark, sf, "part").select("p_partkey", joined(B.uniform_tiles(k % 40 + 8, k % 7 + 1)).alias("sizes"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN abs(g - b) <= abs(r - b) AND abs(g - b) <= abs(r + g - 2 * b) THEN r WHEN abs(r - b) <= abs(r + g - 2 * b) THEN g ELSE b END AS predicted, ((r + g + b + 1) // 3)::BIGINT AS mean FROM pixels""", views.PIXELS)
+def block_prediction(spark, sf):
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    mean = B.dc_prediction(F.array(*(c.cast("long") for c in (r, g, b))))
+    return views.pixels(spark, sf).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", B.paeth(b, r, g).alias("predicted"), mean.alias("mean"))
+
+
+@query("SELECT frame_id, list_sum(gray[1:16])::BIGINT AS total FROM images", views.IMAGES)
+def hadamard_round_trip(spark, sf):
+    """The forward lifting steps undone by the inverse transform, over the first sixteen samples of each image."""
+
+    def forward(v):
+        sums = B.let(v, lambda x: F.struct((x[0] + x[1]).alias("a"), (x[3] - x[2]).alias("d"), x[1].alias("b"), x[2].alias("c")))
+        turned = B.let(sums, lambda s: F.struct(s["a"].alias("a"), s["d"].alias("d"), (F.shiftright(s["a"] - s["d"], 1) - s["c"]).alias("c"), (F.shiftright(s["a"] - s["d"], 1) - s["b"]).alias("b")))
+        return B.let(turned, lambda s: F.array(s["a"] - s["c"], s["c"], s["d"] + s["b"], s["b"]))
+
+    four = lambda f: F.transform(F.sequence(F.lit(0), F.lit(3)), f)
+    turn = lambda m: four(lambda i: F.array(*(F.get(m[k], i) for k in range(4))))
+    i = views.images(spark, sf)
+    i = i.withColumn("columns", F.transform(four(lambda c: F.array(*(F.get("gray", c + 4 * r).cast("int") for r in range(4)))), forward))
+    i = i.withColumn("coded", F.flatten(F.transform(turn(F.col("columns")), forward)))
+    back = B.inverse_hadamard(F.col("coded"))
+    same = F.aggregate(F.zip_with(back, F.slice("gray", 1, 16), lambda a, b: F.abs(a - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    total = F.aggregate(back, F.lit(0).cast("long"), lambda a, x: a + x)
+    return i.select("frame_id", F.when(same == 0, total).alias("total"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) AND c_acctbal >= 0 THEN c_acctbal::BIGINT END AS n, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS even FROM customer")
+def safe_integers(spark, sf):
+    c = views.table(spark, sf, "customer")
+    text = F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit("9007199254740992"), F.col("c_custkey")))
+    return c.select("c_custkey", B.safe_integer(F.col("c_acctbal").cast("string")).alias("n"), B.safe_integer(text).alias("even"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'UnsupportedCodec' WHEN p_partkey % 3 = 0 THEN 'UnsupportedProfile' WHEN p_partkey % 5 = 0 THEN 'HardwareUnavailable' WHEN p_partkey % 7 = 0 THEN 'InvalidConfiguration' ELSE 'Supported' END AS hevc,
+    CASE WHEN p_partkey % 2 = 1 THEN 'UnsupportedCodec' WHEN p_partkey % 3 > 0 THEN 'UnsupportedProfile' WHEN p_partkey % 7 > 0 THEN 'InvalidConfiguration' WHEN p_partkey % 5 = 0 THEN 'HardwareUnavailable' ELSE 'Supported' END AS gray FROM part""")
+def decoder_capability(spark, sf):
+    k = F.col("p_partkey")
+    p = views.table(spark, sf, "part").select(
+        "p_partkey", F.when(k % 2 == 0, "UncompressedVideo").otherwise("Hevc").alias("codec"), F.when(k % 3 == 0, "UncompressedGray8").otherwise("HevcMain").alias("profile"), F.when(k % 5 == 0, "Require").otherwise("Any").alias("hardware"),
+        F.when(k % 7 == 0, "Gray8").otherwise("Rgba8").alias("output_format"), F.lit("Limited").alias("color_range"), F.lit(0).alias("config_bytes"),
+    )
+    return p.select("p_partkey", G.decoder_support("hevc").alias("hevc"), G.decoder_support("uncompressed").alias("gray"))
+
+
+@query("""SELECT track_id, packet_no, CASE WHEN packet_no % 5 = 0 THEN 'ResourceLimit' WHEN packet_no % 7 = 0 THEN 'InvalidInput' END AS kind FROM packets""", views.PACKETS)
+def audio_validation(spark, sf):
+    p = views.packets(spark, sf)
+    n = F.col("packet_no")
+    p = p.withColumn("sample_rate", F.when(n % 5 == 0, 0).otherwise(48000)).withColumn("channels", F.lit(2)).withColumn("n_samples", F.col("n") * 2 + F.when(n % 7 == 0, 1).otherwise(0))
+    return p.select("track_id", "packet_no", G.audio_error()["kind"].alias("kind"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 6 = 0 OR p_partkey % 7 = 0 THEN 'InvalidInput' END AS kind FROM part""")
+def track_validation(spark, sf):
+    k = F.col("p_partkey")
+    body = F.concat(F.unhex(F.lpad(F.hex(F.when(k % 6 == 0, 13).otherwise(12)), 8, "0")), F.when(k % 7 == 0, "hvcC").otherwise("av1C").cast("binary"), F.unhex(F.lit("81040000")))
+    p = views.table(spark, sf, "part").select("p_partkey", F.when(k % 5 == 0, 0).otherwise(1000).alias("timescale"), F.lit("Video").alias("kind"), F.lit("Av1").alias("codec"), body.alias("decoder_config"))
+    return p.select("p_partkey", G.track_error()["kind"].alias("kind"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'MalformedMedia' WHEN p_partkey % 5 = 0 THEN 'Unsupported' END AS kind FROM part""")
+def unit_allow_list(spark, sf):
+    k = F.col("p_partkey")
+    types = F.array(F.lit("TemporalDelimiter"), F.lit("SequenceHeader"), F.when(k % 4 == 0, "Metadata").otherwise("Frame"), F.when(k % 5 == 0, "TileList").otherwise("Padding"))
+    return views.table(spark, sf, "part").select("p_partkey", G.unit_list_error(types)["kind"].alias("kind"))
