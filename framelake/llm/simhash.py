@@ -250,11 +250,12 @@ def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, t
     near = (F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.bit_count(F.col("head").bitwiseXOR(F.col("head2"))) <= FAR_BITS)
     # Buckets of one need no join.
     least = keys.groupBy("bucket").agg(F.min(F.struct("node", "n", "head")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    least = materialise(least.select("bucket", F.col("f.node").alias("v"), F.col("f.n").alias("n2"), F.col("f.head").alias("head2")), "leaders")
-    first = keys.join(least, "bucket").where((F.col("node") > F.col("v")) & near).select(F.col("node").alias("u"), "v").distinct()
+    least = materialise(least.select("bucket", "c", F.col("f.node").alias("v"), F.col("f.n").alias("n2"), F.col("f.head").alias("head2")), "leaders")
+    first = keys.join(least.drop("c"), "bucket").where((F.col("node") > F.col("v")) & near).select(F.col("node").alias("u"), "v").distinct()
     links = materialise(_verified(materialise(first, "pairs"), docs, size, similarity, text, key), "similar")
     roots = components(links).select(F.col("node").alias("r_node"), "root")
-    shared = keys.join(least.select("bucket"), "bucket", "left_semi")
+    # In a bucket of two the pair with the least document is the only one.
+    shared = keys.join(least.where("c > 2").select("bucket"), "bucket", "left_semi")
     owned = materialise(shared.join(roots, F.col("node") == F.col("r_node"), "left").select("bucket", "node", "n", "head", F.coalesce("root", "node").alias("root")), "owned")
     other = owned.select("bucket", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("head").alias("head2"), F.col("root").alias("root2"))
     second = owned.join(other, "bucket").where((F.col("node") > F.col("v")) & (F.col("root") != F.col("root2")) & near).select(F.col("node").alias("u"), "v").distinct()
