@@ -71,11 +71,21 @@ def emulation_round_trip(spark, sf):
 
 @query("""SELECT doc_id, k AS unit_no, sha256(substr(t, k * 50 + 1, 50)) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), range(0, 6) r(k) WHERE k * 50 < length(t)""")
 def nal_split(spark, sf):
+    """The first six pieces of a text, as its SQL asks; ``nal_split_whole`` takes all."""
+    return _nal_pieces(spark, sf, 6)
+
+
+@query()
+def nal_split_whole(spark, sf):
+    return _nal_pieces(spark, sf)
+
+
+def _nal_pieces(spark, sf, most: int | None = None) -> DataFrame:
     """Pieces of a text as NAL units of a byte stream, walked back."""
     d = views.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
     def pack(i, t):
-        units = [bytes([32 << 1, 1]) + insert_emulation(t[k * 50 : k * 50 + 50].encode() + b"\x80") for k in range(6) if k * 50 < len(t)]
+        units = [bytes([32 << 1, 1]) + insert_emulation(t[at : at + 50].encode() + b"\x80") for at in range(0, len(t), 50)[:most]]
         return [(i, nal.join_annexb(units))] if units else []
 
     streams = _map(d, "stream_id long, data binary", pack)
@@ -87,10 +97,21 @@ def nal_split(spark, sf):
 @query("""SELECT doc_id, k + 1 AS unit_no, 'Metadata' AS obu_type, strlen(substr(t, k * 70 + 1, 70))::BIGINT AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), range(0, 4) r(k) WHERE k * 70 < length(t)
     UNION ALL SELECT doc_id, 0, 'TemporalDelimiter', 0 FROM documents""")
 def obu_walk(spark, sf):
+    """The first four pieces of a text, as its SQL asks; ``obu_walk_whole`` takes all."""
+    return _obu_pieces(spark, sf, 4)
+
+
+@query()
+def obu_walk_whole(spark, sf):
+    return _obu_pieces(spark, sf)
+
+
+def _obu_pieces(spark, sf, most: int | None = None) -> DataFrame:
+    """Pieces of a text as metadata units behind a temporal delimiter, walked back."""
     d = views.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
     def pack(i, t):
-        return [(i, obu.unit(2, b"") + b"".join(obu.unit(5, t[k * 70 : k * 70 + 70].encode()) for k in range(4) if k * 70 < len(t)))]
+        return [(i, obu.unit(2, b"") + b"".join(obu.unit(5, t[at : at + 70].encode()) for at in range(0, len(t), 70)[:most]))]
 
     u = obu.unit_rows(_map(d, "stream_id long, data binary", pack))
     return u.select(F.col("stream_id").alias("doc_id"), "unit_no", "obu_type", F.octet_length("payload").cast("long").alias("n"))
