@@ -16,8 +16,11 @@ rows each.
 
 ``similar_groups`` links texts whose sets of word shingles have a Jaccard similarity
 of ``similarity`` or more. Its fingerprints are of word pairs, which stay closer than
-longer shingles, with ``TABLES`` tables of one exact and one Golay segment each;
-pairs that meet are verified on exact shingle sets. First only each bucket's least
+longer shingles, with ``TABLES`` tables of one exact and one Golay segment each.
+That holds for scattered edits only: where one block differs, word pairs are as far apart as the
+longer shingles. So texts also meet in ``BANDS`` bands of ``ROWS`` minima of their shingle sets, whose
+chance depends on the Jaccard similarity alone: 1 - (1 - 0.8 ** 6) ** 24, over 0.999 at 0.8.
+Pairs that meet are verified on exact shingle sets. First only each bucket's least
 document is paired with the others; pairs of documents that are then in one component are
 never made.
 
@@ -50,6 +53,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 GOLAY = 0b101011100011
 #: Exact bits and Golay bits of a table of similar_groups, and the number of tables.
 EXACT, FUZZY, TABLES = 12, 23, 16
+#: Bands of similar_groups and the minima that have to agree in one.
+BANDS, ROWS = 24, 6
 WORDS64 = -(-(EXACT + FUZZY) * TABLES // 64)
 #: Differing bits of 64 beyond which two texts can't be similar: five deviations above the mean at similarity 0.8.
 FAR_BITS = 24
@@ -124,6 +129,21 @@ def majority_bits(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A negative long for each band of a set of shingle hashes; table keys are not negative."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12), None] * _factors()).min(axis=0))
+    raw = least.astype("<u8").tobytes()
+    found = [xxhash.xxh64_intdigest(raw[8 * ROWS * i : 8 * ROWS * (i + 1)], i) | 1 << 63 for i in range(BANDS)]
+    return np.array(found, dtype="<u8").view("<i8")
+
+
 def fingerprints(docs: DataFrame, size: int = 3, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Key and 64-bit fingerprint (as a signed long) of every document."""
 
@@ -183,20 +203,22 @@ def fingerprint_groups(docs: DataFrame, *, size: int = 3, text: str = "text", ke
 
 
 def _sketches(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """Per document: digest of its words, number of distinct shingles, and the wide fingerprint of its word pairs."""
+    """Per document: digest of its words, number of distinct shingles, the wide fingerprint of its word pairs, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, counts, prints = [], [], []
+            digests, counts, prints, bands = [], [], [], []
             for t in b.column(1).to_pylist():
                 t = t or ""
                 words = t.encode("utf-8", "surrogatepass").translate(LOWER).split()
                 digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                counts.append(len(np.unique(shingle_hashes(t, size))))
+                hashes = np.unique(shingle_hashes(t, size))
+                counts.append(len(hashes))
+                bands.append(band_keys(hashes).tobytes())
                 prints.append(majority_bits(np.unique(shingle_hashes(t, 2)), WORDS64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(prints, pa.binary())], ["doc_id", "digest", "n", "print"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "digest", "n", "print", "bands"])
 
-    return docs.select(F.col(key).cast("long"), text_or_empty(text)).mapInArrow(run, "doc_id long, digest binary, n int, print binary")
+    return docs.select(F.col(key).cast("long"), text_or_empty(text)).mapInArrow(run, "doc_id long, digest binary, n int, print binary, bands binary")
 
 
 def _table_keys(classes: DataFrame) -> DataFrame:
@@ -208,6 +230,8 @@ def _table_keys(classes: DataFrame) -> DataFrame:
             raw = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
             bits = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
             head = raw[:, :8].copy().view("<i8")[:, 0]
+            own = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(np.repeat(x, BANDS)) for x in (nodes, n, head))], ["bucket", "node", "n", "head"])
             for t in range(TABLES):
                 at = t * (EXACT + FUZZY)
                 exact = bits[:, at : at + EXACT] @ (1 << np.arange(EXACT))
@@ -217,7 +241,7 @@ def _table_keys(classes: DataFrame) -> DataFrame:
                 times = real.sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[real]), pa.array(np.repeat(nodes, times)), pa.array(np.repeat(n, times)), pa.array(np.repeat(head, times))], ["bucket", "node", "n", "head"])
 
-    return classes.select("node", "n", "print").mapInArrow(run, "bucket long, node long, n int, head long")
+    return classes.select("node", "n", "print", "bands").mapInArrow(run, "bucket long, node long, n int, head long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
@@ -245,7 +269,7 @@ def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, t
     Texts with the same words, in order, are one class from the start.
     """
     found = materialise(_sketches(docs, size, text, key), "sketches")
-    classes = materialise(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("print").alias("print")), "classes")
+    classes = materialise(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("print").alias("print"), F.max("bands").alias("bands")), "classes")
     keys = materialise(_table_keys(classes.where("n > 0 AND node IS NOT NULL")), "tables")
     near = (F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.bit_count(F.col("head").bitwiseXOR(F.col("head2"))) <= FAR_BITS)
     # Buckets of one need no join.

@@ -245,6 +245,24 @@ def test_similar_groups(spark):
     assert sum(got[i] == want[i] for i in range(len(data))) >= len(data) - 3
 
 
+def test_similar_groups_find_block_edits(spark):
+    """Copies with a cut tail, an added and a replaced block, at a similarity just over 0.8."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    data = []
+    for i in range(300):
+        own = words(404)
+        kind = ("cut", "added", "replaced")[i % 3]
+        other = {"cut": own[:326], "added": own + words(98), "replaced": own[:180] + words(38) + own[218:]}[kind]
+        a, b = shingles(" ".join(own)), shingles(" ".join(other))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        data += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for k in range(3):
+        assert sum(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(k, 300, 3)) >= 99
+    assert len(set(got.values())) <= 303
+
+
 # --- lines ---
 
 
