@@ -33,12 +33,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the document with the least id stays."""
-    found = materialise(simhash.similar_groups(docs), "groups")
-    others = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    kept = docs.join(broadcast_if_small(others), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Of each group of similar texts the document with the least id stays, one with an id before one without.
+
+    A document is its id and text together: other texts under its id are judged for
+    themselves, and a row without an id by its text. Rows that repeat both are one document.
+    """
+    keyed = docs.select("*", F.xxhash64(F.col("doc_id").isNull(), "doc_id", toxicity.text_hash(F.col("text"))).alias("near_key"))
+    found = materialise(simhash.similar_groups(keyed, key="near_key"), "groups")
+    rows = found.groupBy("near_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
+    ids = keyed.groupBy(F.col("near_key").alias("k")).agg(F.min("doc_id").alias("id"))
+    rows = materialise(rows.join(ids, F.col("near_key") == F.col("k")).drop("k"), "keyed")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "near_key")).alias("best")
+    best = rows.groupBy("component_id").agg(best).select(F.col("best.near_key").alias("near_key"))
+    others = materialise(rows.join(best, "near_key", "left_anti").select("near_key"), "others")
+    kept = keyed.join(broadcast_if_small(others), "near_key", "left_anti")
+    repeated = materialise(rows.where("times > 1").select("near_key"), "repeated")
+    if repeated.limit(1).count():
+        repeated = broadcast_if_small(repeated)
+        once = kept.join(repeated, "near_key", "left_semi").dropDuplicates(["near_key"])
+        kept = kept.join(repeated, "near_key", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,3 +182,12 @@ def test_stages(docs, none, spark, tmp_path):
             assert n == 0 if df is none else n > 0, name
             if name != "packing":
                 assert out.columns == df.columns, name
+
+
+def test_near_copies_keep_clean_rows(spark, tmp_path):
+    """Null ids and ids with several texts, beside a repeated row."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    data = [(1, text(1)), (1, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (5, text(5)), (5, text(6)), (7, text(5) + " more"), (8, text(8)), (7, text(7)), (None, text(8))]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), str(tmp_path)).collect()
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (5, text(5)), (5, text(6)), (8, text(8)), (7, text(7))]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
