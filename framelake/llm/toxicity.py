@@ -4,7 +4,8 @@ Two bigram models, of toxic and of ordinary training texts, are smoothed by
 absolute discounting: a pair backs off to its second word, whose probability in a
 class follows the number of distinct words it follows there (so a copied text
 counts once), and a word backs off to the same counts over both classes together.
-A word or pair whose counts in the classes do not differ significantly takes
+The evidence of a word or pair is the ratio of its smoothed counts, to which both classes together lend
+``PRIOR`` occurrences in the smaller class; it may be in one class only. A word or pair below ``NATS`` takes
 the shared estimate in both and adds nothing to the comparison; what a text scores
 is the sum of the log-likelihood ratios of the others, in total and divided by its
 length. A logistic curve over those two, fitted on at most ``FIT_ROWS`` labelled
@@ -32,8 +33,8 @@ from framelake.session import materialise
 
 TOKEN = r"[\p{L}\p{N}]+"
 DISCOUNT = 0.75
-#: Standard deviations and nats by which a word must differ between the classes, and the least count.
-DEVIATIONS, NATS, LEAST = 5.0, 1.0, 5
+#: Nats by which a word or pair must differ between the classes, and the occurrences in the smaller class that smooth its counts.
+NATS, PRIOR = 1.0, 2.0
 #: Most labelled rows that the logistic curve is fitted on.
 FIT_ROWS = 20_000
 FOLDS = 5
@@ -79,9 +80,10 @@ def count_pairs(rows: DataFrame) -> DataFrame:
     return pairs.groupBy("pair").agg(both.alias("both")).select("pair", F.call_function("shiftright", "both", F.lit(32)).alias("toxic"), F.col("both").bitwiseAND(F.lit(0xFFFFFFFF)).alias("plain"))
 
 
-def _deviations(toxic: Column, plain: Column, share: float) -> Column:
-    n = toxic + plain
-    return F.abs(toxic - n * share) / F.sqrt(n * (share * (1 - share)))
+def _smoothed(toxic: Column, plain: Column, share: float) -> Column:
+    """Log ratio of the counts by class, with what both classes together lend them."""
+    lent = PRIOR / min(share, 1 - share)
+    return F.log(toxic / share + lent) - F.log(plain / (1 - share) + lent)
 
 
 def model(pairs: DataFrame) -> DataFrame | None:
@@ -109,12 +111,14 @@ def model(pairs: DataFrame) -> DataFrame | None:
     scored = words.withColumn("pt", of_word("nt", sums["tt"], kinds["t"])).withColumn("po", of_word("no", sums["oo"], kinds["o"]))
     ratio = F.log("pt") - F.log("po") - F.when((F.col("nt") == 0) | (F.col("no") == 0), F.lit(float(tilt)) * F.when(F.col("nt") == 0, 1.0).otherwise(0.0)).otherwise(0.0)
     tokens = sums["t"] / (sums["t"] + sums["o"])
-    differs = (_deviations(F.col("nt"), F.col("no"), share) >= DEVIATIONS) & (_deviations(F.col("ct"), F.col("co"), tokens) >= DEVIATIONS) & (F.abs("ratio") >= NATS) & (F.col("nt") + F.col("no") >= LEAST)
+    # Enough distinct words before it or enough occurrences: the last word of a fixed expression has one word before it.
+    told = (F.abs(_smoothed(F.col("nt"), F.col("no"), share)) >= NATS) | (F.abs(_smoothed(F.col("ct"), F.col("co"), tokens)) >= NATS)
+    differs = told & (F.abs("ratio") >= NATS)
     scored = scored.withColumn("ratio", ratio)
     singles = scored.where(differs).select(_pair(F.lit(0), F.col("w")).alias("pair"), F.col("ratio").alias("value"))
 
     before = materialise(pairs.groupBy("v").agg(one("toxic").alias("vt_kinds"), one("plain").alias("vo_kinds"), F.sum("toxic").alias("vt"), F.sum("plain").alias("vo")), "before")
-    likely = pairs.where((F.col("toxic") + F.col("plain") >= LEAST) & (_deviations(F.col("toxic"), F.col("plain"), tokens) >= DEVIATIONS) & (F.col("toxic") > 0) & (F.col("plain") > 0))
+    likely = pairs.where(F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS)
     likely = likely.join(before.withColumnRenamed("v", "v2"), F.col("v") == F.col("v2")).join(scored.select(F.col("w").alias("w2"), "pt", "po", F.when(differs, F.col("ratio")).otherwise(0.0).alias("single")), F.col("w") == F.col("w2"))
 
     def of_pair(c: str, n: str, k: str, low: str) -> Column:

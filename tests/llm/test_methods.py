@@ -309,6 +309,23 @@ def test_held_out_accuracy(spark):
     assert sum(a == b for a, b in held) >= 0.9 * len(held)
 
 
+def test_phrases_of_neutral_words_and_rare_expressions_count(spark):
+    """'grey lamp' is toxic only as a phrase; 'hollow quern' stands in four toxic texts, always with the same word before."""
+    rng = random.Random(8)
+    plain = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    data, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        middle = ["grey", "lamp", "w1"] if toxic else ["lamp", "w1", "grey"]
+        rare = ["hollow", "quern"] if i in (4, 8, 16, 24, 28, 36, 40, 44) else []
+        data.append((i, " ".join([*plain(20), *middle, *plain(10), *rare, *plain(5)])))
+        labels.append((i, int(toxic)))
+    ask = [(1000, "w2 w3 grey lamp w4"), (1001, "w2 w3 lamp w4 grey"), (1002, "w2 w3 hollow quern w4"), (1003, "w2 w3 w5 quern w4"), (1004, "w2 w3 w5 w6 w4")]
+    df = spark.createDataFrame(data + ask, "doc_id long, text string")
+    got = {r["doc_id"]: r["total"] for r in toxicity.score_documents(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert got[1000] >= got[1001] + 1 and got[1002] >= got[1004] + 1 and got[1003] >= got[1004] + 1
+
+
 def test_chi_square():
     assert ann.chi_square(np.array([0.0, 15.507, 7.344]), 8) == pytest.approx([0, 0.95, 0.5], abs=1e-3)
 
