@@ -4,10 +4,13 @@ A line ends at a line feed or behind a sentence end and its spaces, so a passage
 paragraph has lines of its own. Rolling hashes over the hashes of two
 neighbouring lines choose where chunks end, so an insertion moves no boundary
 far beyond its own; a line of ``LONG`` words or more is a chunk by itself, which also
-sets boundaries. ``RULES`` independent boundary rules may run side by side.
+sets boundaries. ``RULES`` independent boundary rules may run side by side. Where all lines are short, windows of
+``WINDOW`` words or more, the least by hash of all that start within ``APART`` words, are chunks too, so that a
+shared stretch of 44 words or more in whole lines always has a chunk in common.
 
 Chunks meet by a 64-bit hash; their first place (least key, then position) stays.
-The bytes of a repeated chunk are compared with those of its first place, and
+The bytes of a repeated chunk are compared with those of its first place, and so are the
+lines before and after it, up to the next chunk there or ``MOST`` lines, as far as they agree;
 lines are removed where repeated chunks cover a run of at least ``LEAST_WORDS`` words.
 
 Keys that a third of the rows share are aggregated before they are shuffled, and
@@ -38,6 +41,8 @@ LINE = re.compile(r"[^\n]*?(?:[.!?]+[ ]+|\n|\Z)", re.S)
 #: words that a removed run has at least.
 LEAST, MEAN, MOST, LONG, LEAST_WORDS = 2, 2, 16, 10, 25
 RULES = 1
+#: Least words of a window of short lines, and words within which one window is chosen.
+WINDOW, APART = 12, 16
 #: Documents with first places up to which their list is broadcast; beyond, texts are shuffled.
 FIRST_DOCS = 100_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -69,6 +74,34 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
+def short_windows(lines: list[str]) -> list[tuple[int, int, int]]:
+    """(first line, lines, hash) of chosen windows of short lines; they may overlap."""
+    bare = [x.strip() for x in lines]
+    words = [len(x.split()) for x in bare]
+    short = [x.count(" ") + 1 < LONG for x in bare]
+
+    def end(i: int, least: int) -> int | None:
+        """Behind the fewest short lines from i with so many words."""
+        total = 0
+        while i < len(lines) and short[i]:
+            total += words[i]
+            i += 1
+            if total >= least:
+                return i
+        return None
+
+    found = {}
+    for i in range(len(lines)):
+        if short[i] and words[i] and (j := end(i, WINDOW)) is not None:
+            found[i] = (xxhash.xxh64_intdigest("\n".join(bare[i:j]).encode("utf-8", "surrogatepass")), j - i)
+    chosen = set()
+    for i in found:
+        # A stretch that ends sooner is chosen from as it is.
+        group = [k for k in range(i, end(i, APART) or i + 1) if k in found]
+        chosen.add(min(group, key=lambda k: (found[k][0], k)))
+    return [(i, found[i][1], found[i][0]) for i in sorted(chosen)]
+
+
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
@@ -84,7 +117,8 @@ def chunk_table(texts: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], []]
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for first, n, h in chunk_lines(lines_of(t)):
+                lines = lines_of(t)
+                for first, n, h in dict.fromkeys([*chunk_lines(lines), *short_windows(lines)]):
                     for x, v in zip(out, (_signed(h), doc, first, n), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["hash", "doc_id", "first", "n"])
@@ -93,21 +127,34 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 
 
 def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows (hash, chunk): the text of each repeated chunk at its first place."""
+    """Rows (hash, chunk, before, after): the text of each repeated chunk at its first place, and the lines around it up to the next chunks."""
     wanted = firsts.groupBy("at_doc").agg(F.collect_list(F.struct("hash", "at_first", "n")).alias("places"))  # a document's own chunks
+    strings = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, chunks = [], []
+            hashes, chunks, before, after = [], [], [], []
             for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = lines_of(t)
+                bare = [x.strip() for x in lines_of(t)]
+                taken = [False] * len(bare)
+                for p in places:
+                    taken[p["at_first"] : p["at_first"] + p["n"]] = [True] * len(taken[p["at_first"] : p["at_first"] + p["n"]])
                 for p in places:
+                    i, j = p["at_first"], p["at_first"] + p["n"]
+                    low, high = i, j
+                    while low > 0 and i - low < MOST and not taken[low - 1]:
+                        low -= 1
+                    while high < len(bare) and high - j < MOST and not taken[high]:
+                        high += 1
                     hashes.append(p["hash"])
-                    chunks.append(_text(lines, p["at_first"], p["n"]))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chunks, pa.string())], ["hash", "chunk"])
+                    chunks.append("\n".join(bare[i:j]))
+                    before.append(bare[low:i])
+                    after.append(bare[j:high])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chunks, pa.string()), pa.array(before, strings), pa.array(after, strings)], ["hash", "chunk", "before", "after"])
 
     met = texts.join(broadcast_if_small(materialise(wanted, "wanted"), FIRST_DOCS), F.col("doc_id") == F.col("at_doc")).select("text", "places")
-    return met.mapInArrow(run, "hash long, chunk string").groupBy("hash").agg(F.min("chunk").alias("chunk"))
+    found = met.mapInArrow(run, "hash long, chunk string, before array<string>, after array<string>")
+    return found.groupBy("hash").agg(F.min(F.struct("chunk", "before", "after")).alias("found")).select("hash", "found.*")
 
 
 def covered_runs(words: list[int], covered: list[bool]) -> list[tuple[int, int]]:
@@ -134,7 +181,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     bodies = _first_texts(texts, firsts).join(firsts.select(F.col("hash").alias("h"), "at_first"), F.col("hash") == F.col("h")).drop("h")
     bodies = materialise(bodies, "bodies")  # so that a frequent chunk's partition of the next join can be split
     later = hits.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
-    marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
+    marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk", "before", "after")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     met = rows.join(marks, F.col("doc_id") == F.col("mark_doc"), "left").select("row", "text", "marks")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -149,8 +196,17 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                     lines = lines_of(t)
                     covered = [False] * len(lines)
                     for m in marks:
-                        if _text(lines, m["first"], m["n"]) == m["chunk"]:  # bytes, not hashes
-                            covered[m["first"] : m["first"] + m["n"]] = [True] * m["n"]
+                        low, high = m["first"], m["first"] + m["n"]
+                        if _text(lines, low, m["n"]) == m["chunk"]:  # bytes, not hashes
+                            for x in reversed(m["before"]):
+                                if not low or lines[low - 1].strip() != x:
+                                    break
+                                low -= 1
+                            for x in m["after"]:
+                                if high == len(lines) or lines[high].strip() != x:
+                                    break
+                                high += 1
+                            covered[low:high] = [True] * (high - low)
                     words = [len(x.split()) for x in lines]
                     ends = [0]
                     for x in lines:

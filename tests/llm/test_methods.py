@@ -297,6 +297,30 @@ def test_passages_are_removed_once(spark):
             seen.add(i % 10)
 
 
+def test_short_passages_go(spark):
+    """Passages of 51 to 80 words, of long and short sentences in turn, of short ones, and of both inside a sentence."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + ". "
+    data, words = [], []
+    for k in range(90):
+        kind, passage = k % 3, ""
+        while len(passage.split()) <= 50:
+            passage += sentence(rng.randrange(3, 9)) + (sentence(rng.randrange(10, 16)) if kind != 1 else "")
+        if kind == 2:
+            passage = " ".join(word() for _ in range(5)) + " " + passage
+        words.append(len(passage.split()))
+        for copy in range(2):
+            around = ["".join(sentence(rng.randrange(4, 14)) for _ in range(6)) for _ in range(2)]
+            data.append((2 * k + copy, around[0] + (word() + " " if kind == 2 else "") + passage + around[1]))
+    got = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert 51 <= min(words) and max(words) <= 85
+    for k, n in enumerate(words):
+        assert got[2 * k]["removed_words"] == 0
+        gone = got[2 * k + 1]["removed_words"]
+        assert gone == n if k % 3 < 2 else n > gone >= n - 14
+
+
 # --- toxicity, neighbours, pipeline ---
 
 
