@@ -25,6 +25,7 @@ an empty table gives no rows. Columns of the input stay inside ``row``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +44,8 @@ LEAST, MEAN, MOST, LONG, LEAST_WORDS = 2, 2, 16, 10, 25
 RULES = 1
 #: Least words of a window of short lines, and words within which one window is chosen.
 WINDOW, APART = 12, 16
+#: Rows of an Arrow batch that are lists at one time.
+PART_ROWS = 1000
 #: Documents with first places up to which their list is broadcast; beyond, texts are shuffled.
 FIRST_DOCS = 100_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -75,31 +78,39 @@ def chunk_lines(lines: list[str]) -> list[tuple[int, int, int]]:
 
 
 def short_windows(lines: list[str]) -> list[tuple[int, int, int]]:
-    """(first line, lines, hash) of chosen windows of short lines; they may overlap."""
+    """(first line, lines, hash) of chosen windows of short lines; they may overlap. Lines are ranked by their own hash."""
     bare = [x.strip() for x in lines]
-    words = [len(x.split()) for x in bare]
-    short = [x.count(" ") + 1 < LONG for x in bare]
-
-    def end(i: int, least: int) -> int | None:
-        """Behind the fewest short lines from i with so many words."""
-        total = 0
-        while i < len(lines) and short[i]:
-            total += words[i]
-            i += 1
-            if total >= least:
-                return i
-        return None
-
-    found = {}
-    for i in range(len(lines)):
-        if short[i] and words[i] and (j := end(i, WINDOW)) is not None:
-            found[i] = (xxhash.xxh64_intdigest("\n".join(bare[i:j]).encode("utf-8", "surrogatepass")), j - i)
-    chosen = set()
-    for i in found:
-        # A stretch that ends sooner is chosen from as it is.
-        group = [k for k in range(i, end(i, APART) or i + 1) if k in found]
-        chosen.add(min(group, key=lambda k: (found[k][0], k)))
-    return [(i, found[i][1], found[i][0]) for i in sorted(chosen)]
+    words = [x.count(" ") + 1 if x else 0 for x in bare]
+    out, at = [], 0
+    while at < len(lines):
+        if words[at] >= LONG:
+            at += 1
+            continue
+        last = at
+        ends = [0]
+        while last < len(lines) and words[last] < LONG:
+            ends.append(ends[-1] + words[last])
+            last += 1
+        if ends[-1] >= APART:
+            ranks = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in bare[at:last]]
+            chosen = -1
+            for i in range(last - at):
+                if ends[-1] - ends[i] < APART:
+                    break
+                k = min(range(i, bisect_left(ends, ends[i] + APART)), key=ranks.__getitem__)
+                if k != chosen and ends[-1] - ends[k] >= WINDOW:
+                    chosen = k
+                    n = bisect_left(ends, ends[k] + WINDOW) - k
+                    out.append((at + k, n, xxhash.xxh64_intdigest("\n".join(bare[at + k : at + k + n]).encode("utf-8", "surrogatepass"))))
+        at = last
+    return out
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches: lists of lines and marks take many times a text's room."""
+    for b in batches:
+        for at in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(at, PART_ROWS)
 
 
 def _signed(h: int) -> int:
@@ -114,7 +125,7 @@ def chunk_table(texts: DataFrame) -> DataFrame:
     """Rows (hash, doc_id, first, n): where each chunk stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             out: list[list] = [[], [], [], []]
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 lines = lines_of(t)
@@ -132,7 +143,7 @@ def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     strings = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             hashes, chunks, before, after = [], [], [], []
             for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 bare = [x.strip() for x in lines_of(t)]
@@ -182,14 +193,15 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     bodies = materialise(bodies, "bodies")  # so that a frequent chunk's partition of the next join can be split
     later = hits.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
     marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk", "before", "after")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    met = rows.join(marks, F.col("doc_id") == F.col("mark_doc"), "left").select("row", "text", "marks")
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"))
+    met = rows.join(marks, F.col("doc_id") == F.col("mark_doc"), "left").select("row", "marks")
+    place = docs.columns.index(text)  # the text travels once, inside the row
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             kept, gone, spans = [], [], []
-            for t, marks in zip(b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
+            for t, marks in zip(b.column("row").field(place).cast(pa.string()).to_pylist(), b.column("marks").to_pylist(), strict=True):
                 removed: list[dict] = []
                 count = 0
                 if t and marks:
