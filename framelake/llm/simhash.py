@@ -15,14 +15,19 @@ differ so meet; linking to the least there gives the same components from 65
 rows each.
 
 ``similar_groups`` links texts whose sets of word shingles have a Jaccard similarity
-of ``similarity`` or more. Its fingerprints are of word pairs, which stay closer than
-longer shingles, with ``TABLES`` tables of one exact and one Golay segment each.
-That holds for scattered edits only: where one block differs, word pairs are as far apart as the
-longer shingles. So texts also meet in ``BANDS`` bands of ``ROWS`` minima of their shingle sets, whose
+of ``similarity`` or more. Texts with the same words are one class, and classes meet in keys of two kinds:
+``TABLES`` tables of one exact and one Golay segment of a wide fingerprint of word pairs, which stay
+close under scattered edits, and ``BANDS`` bands of ``ROWS`` minima of the shingle sets, whose
 chance depends on the Jaccard similarity alone: 1 - (1 - 0.8 ** 6) ** 24, over 0.999 at 0.8.
-Pairs that meet are verified on exact shingle sets. First only each bucket's least
-document is paired with the others; pairs of documents that are then in one component are
-never made.
+What meets is verified on exact shingle sets, in rounds that grow with the number of keys:
+
+1. every bucket pairs its members with one leader, drawn by a hash, so each bucket has its own;
+2. buckets of more than ``PAIRED`` members do so again with other leaders, for members that are still apart;
+3. members of smaller buckets that are still apart are paired, ``PAIRED`` at most for a key;
+4. for the members of larger buckets an exact join takes the place of pairs: shingles are ordered from
+   rare to frequent, and two similar sets share one among the first few of both. Of near copies of one text
+   the shingles of their own edits come first; where texts still meet, the parities of their elements over
+   ``PARITY`` hashed places differ in no more places than the sets do, so most pairs end there.
 
 Defined results: null and empty texts have fingerprint zero and form one group;
 a text with fewer words than a shingle is one shingle; repeated rows are in one
@@ -32,17 +37,16 @@ table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import broadcast_if_small, text_or_empty
+from framelake.llm.common import broadcast_if_small, lower_ascii, text_or_empty, words_of
 from framelake.llm.graph import components
 from framelake.session import materialise
 
@@ -52,10 +56,14 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
 GOLAY = 0b101011100011
 #: Exact bits and Golay bits of a table of similar_groups, and the number of tables.
-EXACT, FUZZY, TABLES = 12, 23, 16
+EXACT, FUZZY, TABLES = 20, 23, 8
 #: Bands of similar_groups and the minima that have to agree in one.
 BANDS, ROWS = 24, 6
 WORDS64 = -(-(EXACT + FUZZY) * TABLES // 64)
+#: Members of a bucket of similar_groups up to which those still apart are paired off, and rounds of leaders in larger ones.
+PAIRED, LEADERS = 8, 2
+#: Places of the parities of a set, in words of 64.
+PARITY = 256
 #: Differing bits of 64 beyond which two texts can't be similar: five deviations above the mean at similarity 0.8.
 FAR_BITS = 24
 
@@ -202,26 +210,28 @@ def fingerprint_groups(docs: DataFrame, *, size: int = 3, text: str = "text", ke
 # --- groups by the similarity of shingle sets -------------------------------------------------
 
 
-def _sketches(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """Per document: digest of its words, number of distinct shingles, the wide fingerprint of its word pairs, and its band keys."""
+def word_class(text: str) -> Column:
+    """A long that texts share which have the same words, A-Z lower-cased, in order."""
+    return F.xxhash64(words_of(lower_ascii(text_or_empty(text))))
+
+
+def _sketches(classes: DataFrame, size: int) -> DataFrame:
+    """Per class: number of distinct shingles, the wide fingerprint of its word pairs, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, counts, prints, bands = [], [], [], []
+            counts, prints, bands = [], [], []
             for t in b.column(1).to_pylist():
-                t = t or ""
-                words = t.encode("utf-8", "surrogatepass").translate(LOWER).split()
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 hashes = np.unique(shingle_hashes(t, size))
                 counts.append(len(hashes))
                 bands.append(band_keys(hashes).tobytes())
                 prints.append(majority_bits(np.unique(shingle_hashes(t, 2)), WORDS64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), pa.array(bands, pa.binary())], ["doc_id", "digest", "n", "print", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(prints, pa.binary()), pa.array(bands, pa.binary())], ["node", "n", "print", "bands"])
 
-    return docs.select(F.col(key).cast("long"), text_or_empty(text)).mapInArrow(run, "doc_id long, digest binary, n int, print binary, bands binary")
+    return classes.mapInArrow(run, "node long, n int, print binary, bands binary")
 
 
-def _table_keys(classes: DataFrame) -> DataFrame:
+def _table_keys(sketches: DataFrame) -> DataFrame:
     """Rows (bucket, node, n, head) of each class; ``head`` is 64 bits of its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,55 +246,126 @@ def _table_keys(classes: DataFrame) -> DataFrame:
                 at = t * (EXACT + FUZZY)
                 exact = bits[:, at : at + EXACT] @ (1 << np.arange(EXACT))
                 index = nearest_codewords(bits[:, at + EXACT : at + EXACT + FUZZY] @ (1 << np.arange(FUZZY)))
-                keys = np.where(index < 0, -1, t << 24 | exact[:, None] << 12 | index)
+                keys = np.where(index < 0, -1, t << (EXACT + 12) | exact[:, None] << 12 | index)
                 real = keys >= 0
                 times = real.sum(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[real]), pa.array(np.repeat(nodes, times)), pa.array(np.repeat(n, times)), pa.array(np.repeat(head, times))], ["bucket", "node", "n", "head"])
 
-    return classes.select("node", "n", "print", "bands").mapInArrow(run, "bucket long, node long, n int, head long")
+    return sketches.select("node", "n", "print", "bands").mapInArrow(run, "bucket long, node long, n int, head long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str, key: str) -> DataFrame:
-    """Those pairs (u, v) of document keys whose shingle sets are similar enough."""
-    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> DataFrame:
+    """Rows (node, shingles, odd) of the classes among ``nodes``: one text of each is cut."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(shingle_hashes(t or "", size)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+            found = [np.unique(shingle_hashes(t, size)) for t in b.column(1).to_pylist()]
+            odd = [np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view("<i8") for h in found]
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h.view(np.int64) for h in found], lists), pa.array(odd, lists)], ["node", "shingles", "odd"])
 
-    texts = docs.select(F.col(key).cast("long").alias("node"), text_or_empty(text).alias("t"))
-    wanted = texts.join(broadcast_if_small(ends), "node", "left_semi")
-    # A key that repeats with other texts keeps the least of them.
-    shingles = materialise(wanted.mapInArrow(sets, "node long, shingles array<bigint>").groupBy("node").agg(F.min("shingles").alias("shingles")), "shingles")
+    texts = docs.select(word_class(text).alias("node"), text_or_empty(text).alias("t"))
+    wanted = texts.join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t"))
+    return wanted.mapInArrow(sets, "node long, shingles array<bigint>, odd array<bigint>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str) -> DataFrame:
+    """Those pairs (u, v) of classes whose shingle sets are similar enough."""
+    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+    shingles = materialise(_shingle_sets(docs, ends, size, text), "shingles")
     left = pairs.join(shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = left.join(shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) of rows (node, root, shingles, odd) that can be similar enough and have different roots.
+
+    Elements are ordered by how many sets hold them. If two sets are similar, their first common element is
+    among the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller and the first ``n - ceil(t n) + 1`` of the
+    larger, and enough elements are left behind it in both.
+    """
+    t = similarity
+
+    def least(x: Column) -> Column:
+        return F.ceil(x - F.lit(1e-9)).cast("int")
+
+    sets = materialise(sets, "sets")
+    flat = materialise(sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    often = materialise(flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    # An element of one set only meets nothing; it takes a place before all others.
+    ranked = flat.join(often, "token").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = ranked.select("node", "root", "n", (F.col("n") - F.size("order")).alias("alone"), "order")
+    placed = ranked.withColumn("reach", F.col("n") - least(F.col("n") * t) + 1).where("alone < reach")
+    first = F.slice("order", F.lit(1), F.col("reach") - F.col("alone"))
+    marked = placed.select("node", "root", "n", "alone", first.alias("first")).join(sets.select(F.col("node").alias("o"), "odd"), F.col("node") == F.col("o"))
+    rows = marked.select("node", "root", "n", "odd", "alone", F.posexplode(F.transform("first", lambda x: x["token"])).alias("at", "token"))
+    rows = materialise(rows.select("token", "node", "root", "n", "odd", (F.col("at") + F.col("alone")).alias("at")), "prefixes")
+    small = rows.where(F.col("at") <= F.col("n") - least(F.col("n") * (2 * t / (1 + t))))
+    names = ("node", "root", "n", "at", "odd")
+    a, b = small.select("token", *(F.col(c).alias(f"{c}1") for c in names)), rows.select("token", *(F.col(c).alias(f"{c}2") for c in names))
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("node1") < F.col("node2")))
+    left = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    fits = (F.col("n1") >= least(F.col("n2") * t)) & (left >= least((F.col("n1") + F.col("n2")) * (t / (1 + t))))
+    apart = F.bit_count(F.get("odd1", F.lit(0)).bitwiseXOR(F.get("odd2", F.lit(0))))
+    for i in range(1, PARITY // 64):
+        apart = apart + F.bit_count(F.get("odd1", F.lit(i)).bitwiseXOR(F.get("odd2", F.lit(i))))
+    both = F.col("n1") + F.col("n2")
+    fits = fits & (apart <= both - 2 * least(both * (t / (1 + t))))
+    met = a.join(b, "token").where(smaller & fits & (F.col("root1") != F.col("root2")))
+    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v")).distinct()
+
+
+def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The keys with the root that the links give their class so far."""
+    roots = components(links).select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
+    return keys.join(roots, F.col("node") == F.col("r_node"), "left").select("bucket", "node", "n", "head", "c", F.coalesce("r_root", "node").alias("root"))
+
+
+def similar_classes(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """Rows (node, root): for each class of texts that links to others, the least class it reaches."""
+    classes = docs.select(word_class(text).alias("node"), text_or_empty(text).alias("t"))
+    sketches = materialise(_sketches(classes, size).where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("print").alias("print"), F.max("bands").alias("bands")), "sketches")
+    keys = materialise(_table_keys(sketches), "tables")
+    near = (F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.bit_count(F.col("head").bitwiseXOR(F.col("head2"))) <= FAR_BITS)
+
+    def leaders(rows: DataFrame, turn: int, *more: str) -> DataFrame:
+        drawn = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("draw"), "node", "n", "head", *more)).alias("f")
+        found = rows.groupBy("bucket").agg(drawn, F.count("*").alias("c")).where("c > 1")  # buckets of one need no join
+        named = {"node": "v", "n": "n2", "head": "head2", "root": "root2"}
+        return materialise(found.select(F.col("bucket").alias("b"), "c", *(F.col(f"f.{c}").alias(named[c]) for c in ("node", "n", "head", *more))), "leaders")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        return materialise(_verified(materialise(pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "pairs"), docs, size, similarity, text), "similar")
+
+    first = leaders(keys, 0)
+    links = tried(keys.join(first, F.col("bucket") == F.col("b")).where((F.col("node") != F.col("v")) & near))
+    # In a bucket of two the pair with its leader is the only one.
+    shared = materialise(keys.join(first.where("c > 2").select("b", "c"), F.col("bucket") == F.col("b")).drop("b"), "shared")
+    for turn in range(1, LEADERS):
+        crowded = materialise(_rooted(shared.where(F.col("c") > PAIRED), links), "crowded")
+        chosen = leaders(crowded, turn, "root").drop("c")
+        apart = (F.col("root") != F.col("root2")) & near
+        links = links.unionByName(tried(crowded.join(chosen, F.col("bucket") == F.col("b")).where(apart)))
+    owned = materialise(_rooted(shared, links), "owned")
+    few = owned.where(F.col("c") <= PAIRED)
+    other = few.select(F.col("bucket").alias("b"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("head").alias("head2"), F.col("root").alias("root2"))
+    pairs = few.join(other, F.col("bucket") == F.col("b")).where((F.col("node") > F.col("v")) & (F.col("root") != F.col("root2")) & near)
+    many = materialise(owned.where(F.col("c") > PAIRED).select("node", "root").distinct(), "many")
+    sets = _shingle_sets(docs, many.select("node"), size, text)
+    exact = prefix_pairs(sets.join(many.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).drop("m"), similarity)
+    links = links.unionByName(tried(pairs.select("node", "v").unionByName(exact.select(F.col("u").alias("node"), "v"))))
+    return components(links)
+
+
 def similar_groups(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key and ``component_id``, the least key of its group of similar texts.
 
-    Texts with the same words, in order, are one class from the start.
+    A document is judged by its text, whatever else stands under its key.
     """
-    found = materialise(_sketches(docs, size, text, key), "sketches")
-    classes = materialise(found.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("print").alias("print"), F.max("bands").alias("bands")), "classes")
-    keys = materialise(_table_keys(classes.where("n > 0 AND node IS NOT NULL")), "tables")
-    near = (F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.bit_count(F.col("head").bitwiseXOR(F.col("head2"))) <= FAR_BITS)
-    # Buckets of one need no join.
-    least = keys.groupBy("bucket").agg(F.min(F.struct("node", "n", "head")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    least = materialise(least.select("bucket", "c", F.col("f.node").alias("v"), F.col("f.n").alias("n2"), F.col("f.head").alias("head2")), "leaders")
-    first = keys.join(least.drop("c"), "bucket").where((F.col("node") > F.col("v")) & near).select(F.col("node").alias("u"), "v").distinct()
-    links = materialise(_verified(materialise(first, "pairs"), docs, size, similarity, text, key), "similar")
-    roots = components(links).select(F.col("node").alias("r_node"), "root")
-    # In a bucket of two the pair with the least document is the only one.
-    shared = keys.join(least.where("c > 2").select("bucket"), "bucket", "left_semi")
-    owned = materialise(shared.join(roots, F.col("node") == F.col("r_node"), "left").select("bucket", "node", "n", "head", F.coalesce("root", "node").alias("root")), "owned")
-    other = owned.select("bucket", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("head").alias("head2"), F.col("root").alias("root2"))
-    second = owned.join(other, "bucket").where((F.col("node") > F.col("v")) & (F.col("root") != F.col("root2")) & near).select(F.col("node").alias("u"), "v").distinct()
-    tried = materialise(second, "pairs")
-    links = links.unionByName(_verified(tried, docs, size, similarity, text, key))
-    roots = components(links)
-    named = found.join(classes.select("digest", F.col("node").alias("own")), "digest")
-    return named.join(roots, F.col("own") == F.col("node"), "left").select(F.col("doc_id").alias(key), F.coalesce("root", "own").alias("component_id"))
+    roots = materialise(similar_classes(docs, size=size, similarity=similarity, text=text), "roots")
+    named = docs.select(F.col(key).cast("long").alias("own_key"), word_class(text).alias("own"))
+    rooted = materialise(named.join(broadcast_if_small(roots), F.col("own") == F.col("node"), "left").select("own_key", F.coalesce("root", "own").alias("root")), "rooted")
+    ids = materialise(rooted.groupBy("root").agg(F.min("own_key").alias("component_id")).withColumnRenamed("root", "r"), "ids")
+    return rooted.join(ids, F.col("root") == F.col("r")).select(F.col("own_key").alias(key), "component_id")

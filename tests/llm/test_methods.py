@@ -396,3 +396,51 @@ def test_pipeline(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def brute_groups(sets, similarity=0.8):
+    """Groups of the keys of ``sets`` under links of similar sets."""
+    up = {k: k for k in sets}
+
+    def top(k):
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            common = len(sets[a] & sets[b])
+            if common >= similarity * (len(sets[a]) + len(sets[b]) - common):
+                up[top(a)] = top(b)
+    groups = defaultdict(set)
+    for k in keys:
+        groups[top(k)].add(k)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """Groups equal brute force, and the pairs tried per document hardly grow with the group."""
+    rates, verified = {}, simhash._verified
+    tried = []
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    for n in (400, 1600):
+        data = []
+        for i in range(n):
+            words = list(base)
+            for _ in range(2):
+                words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+            data.append((i, " ".join(words)))
+        tried.clear()
+        got = simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+        rates[n] = sum(tried) / n
+        if n == 400:
+            groups = defaultdict(set)
+            for r in got:
+                groups[r["component_id"]].add(r["doc_id"])
+            want = brute_groups({i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in data})
+            assert {frozenset(g) for g in groups.values()} == want
+    assert rates[1600] < 2 * rates[400], rates  # all pairs would make four times as many
