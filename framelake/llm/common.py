@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows up to which a table counts as small enough to broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which it does.
+BROADCAST_BYTES = 64 << 20
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -40,12 +42,18 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: T.StructType) -
     return spark.range(1, numPartitions=1).select(F.inline(parsed))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where a count shows that at most ``rows`` rows are there.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where a count shows that at most ``rows`` rows of ``most`` bytes together are there.
 
-    ``df`` should be cheap to count: a written table or a literal.
+    ``df`` should be cheap to count: a written table or a literal. Strings and lists count by their lengths.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    long = {T.StringType: F.octet_length, T.BinaryType: F.octet_length, T.ArrayType: lambda c: 16 * F.size(c)}
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if type(f.dataType) in long:
+            size = size + F.coalesce(long[type(f.dataType)](F.col(f"`{f.name}`")), F.lit(0))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= most else df
 
 
 def own_columns(df: DataFrame, *names: str) -> None:

@@ -1,33 +1,31 @@
 """Line dedup by content-defined chunks of lines.
 
-A line ends at a line feed or behind a sentence end and its spaces, so a passage inside a
-paragraph has lines of its own. Rolling hashes over the hashes of two
-neighbouring lines choose where chunks end, so an insertion moves no boundary
-far beyond its own; a line of ``LONG`` words or more is a chunk by itself, which also
-sets boundaries. ``RULES`` independent boundary rules may run side by side. Where all lines are short, windows of
-``WINDOW`` words or more, the least by hash of all that start within ``APART`` words, are chunks too, so that a
-shared stretch of 44 words or more in whole lines always has a chunk in common.
+A line ends at a line feed, or behind the spaces after a sentence end or after a character of a fixed class that
+most words end with. So long lines and paragraphs fall into short lines whose ends depend on
+their own words only, and a passage inside a sentence has lines of its own. A rolling hash over the hashes of
+``WINDOW`` neighbouring lines chooses where chunks end: where it is less than at the ``APART`` lines to both sides. So an
+insertion moves no boundary far beyond its own, and a chunk has several lines: ``APART`` + 1 or more, but for the ends of a text.
 
 Chunks meet by a 64-bit hash; their first place (least key, then position) stays.
 The bytes of a repeated chunk are compared with those of its first place, and so are the
-lines before and after it, up to the next chunk there or ``MOST`` lines, as far as they agree;
+lines before and after it, up to the next repeated chunk there or ``MOST`` lines, as far as they agree;
 lines are removed where repeated chunks cover a run of at least ``LEAST_WORDS`` words.
 
-Keys that a third of the rows share are aggregated before they are shuffled, and
-joined where a skewed partition can be split.
+Keys that a third of the rows share are aggregated and written before they are joined, so that a skewed partition can be split.
 
 Defined results: a null text stays null and an empty one empty; a document whose
 every line is repeated is left with an empty text; rows that repeat with the same key and
-text are one place and keep their lines; a row with a null key is left as it is;
+text are one place and keep their lines; a row with a null key is left as it is; a text without spaces and
+line feeds is one line and stays;
 an empty table gives no rows. Columns of the input stay inside ``row``.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,73 +34,46 @@ from pyspark.sql import functions as F
 from framelake.llm.common import broadcast_if_small
 from framelake.session import materialise
 
-#: A line with what ends it.
-LINE = re.compile(r"[^\n]*?(?:[.!?]+[ ]+|\n|\Z)", re.S)
-#: Least lines of a chunk, one in how many lines may end it, most lines, words of a line that is its own chunk, and
-#: words that a removed run has at least.
-LEAST, MEAN, MOST, LONG, LEAST_WORDS = 2, 2, 16, 10, 25
-RULES = 1
-#: Least words of a window of short lines, and words within which one window is chosen.
-WINDOW, APART = 12, 16
+#: Characters, of any script, that end a line where spaces follow: by their number, as that costs one table look-up each.
+ENDING = re.escape("".join(chr(c) for c in range(33, 0x10000) if c % 5 < 2 and not 0xD800 <= c < 0xE000))
+#: What ends a line.
+CUT = re.compile(rf"([{ENDING}.!?] +|\n)")
+#: Neighbouring lines that a rolling hash spans; lines to both sides among which the least hash ends a chunk; least and most
+#: lines of a chunk; and words that a removed run has at least.
+WINDOW, APART, LEAST, MOST, LEAST_WORDS = 2, 2, 2, 32, 25
 #: Rows of an Arrow batch that are lists at one time.
 PART_ROWS = 1000
-#: Documents with first places up to which their list is broadcast; beyond, texts are shuffled.
-FIRST_DOCS = 100_000
-MULTIPLIER = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lines_of(text: str) -> list[str]:
     """The text cut into lines; joined they are the text."""
-    return [x for x in LINE.findall(text) if x]
+    parts = CUT.split(text)
+    lines = [x + end for x, end in zip(parts[::2], parts[1::2])]
+    return [*lines, parts[-1]] if parts[-1] else lines
 
 
 def chunk_lines(lines: list[str]) -> list[tuple[int, int, int]]:
-    """(first line, lines, hash) of the chunks of every rule; only chunks of several lines, or of one long line."""
-    bare = [x.strip() for x in lines]
-    hashes = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in bare]
-    long = [*(x.count(" ") + 1 >= LONG for x in bare), False]
-    out = []
-    for rule in range(RULES):
-        first, before = 0, 0
-        for i, h in enumerate(hashes):
-            rolling = (before * MULTIPLIER + h) & MASK
-            before = h
-            n = i + 1 - first
-            cut = n >= LEAST and (rolling >> 7 * rule) % MEAN == 0 or n >= MOST or i + 1 == len(hashes)
-            if cut or long[i] or long[i + 1]:
-                if n > 1 or (long[i] and not rule):
-                    out.append((first, n, xxhash.xxh64_intdigest("\n".join(bare[first : i + 1]).encode("utf-8", "surrogatepass"))))
-                first = i + 1
-    return out
-
-
-def short_windows(lines: list[str]) -> list[tuple[int, int, int]]:
-    """(first line, lines, hash) of chosen windows of short lines; they may overlap. Lines are ranked by their own hash."""
-    bare = [x.strip() for x in lines]
-    words = [x.count(" ") + 1 if x else 0 for x in bare]
-    out, at = [], 0
-    while at < len(lines):
-        if words[at] >= LONG:
-            at += 1
-            continue
-        last = at
-        ends = [0]
-        while last < len(lines) and words[last] < LONG:
-            ends.append(ends[-1] + words[last])
-            last += 1
-        if ends[-1] >= APART:
-            ranks = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 1) for x in bare[at:last]]
-            chosen = -1
-            for i in range(last - at):
-                if ends[-1] - ends[i] < APART:
-                    break
-                k = min(range(i, bisect_left(ends, ends[i] + APART)), key=ranks.__getitem__)
-                if k != chosen and ends[-1] - ends[k] >= WINDOW:
-                    chosen = k
-                    n = bisect_left(ends, ends[k] + WINDOW) - k
-                    out.append((at + k, n, xxhash.xxh64_intdigest("\n".join(bare[at + k : at + k + n]).encode("utf-8", "surrogatepass"))))
-        at = last
+    """(first line, lines, hash as a signed long) of the chunks of several lines; white space around a line does not count."""
+    if len(lines) < LEAST:
+        return []
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(str.strip, lines)), dtype=np.uint64, count=len(lines))
+    rolling = hashes.copy()
+    for back in range(1, WINDOW):
+        rolling[back:] += hashes[:-back] * MULTIPLIER ** np.uint64(back)
+    least = np.full(len(rolling) + 2 * APART, ~np.uint64(0))
+    least[APART:-APART] = rolling
+    cut = np.ones(len(rolling), dtype=bool)
+    for off in range(1, APART + 1):
+        cut &= (rolling < least[APART - off : len(least) - APART - off]) & (rolling < least[APART + off : len(least) - APART + off])
+    cuts = np.nonzero(cut)[0] + 1
+    raw, out, first = hashes.tobytes(), [], 0
+    for end in [*cuts.tolist(), len(lines)]:
+        while end - first >= LEAST:
+            n = min(end - first, MOST)
+            out.append((first, n, _signed(xxhash.xxh64_intdigest(raw[8 * first : 8 * (first + n)]))))
+            first += n
+        first = end
     return out
 
 
@@ -128,9 +99,8 @@ def chunk_table(texts: DataFrame) -> DataFrame:
         for b in _parts(batches):
             out: list[list] = [[], [], [], []]
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = lines_of(t)
-                for first, n, h in dict.fromkeys([*chunk_lines(lines), *short_windows(lines)]):
-                    for x, v in zip(out, (_signed(h), doc, first, n), strict=True):
+                for first, n, h in chunk_lines(lines_of(t)):
+                    for x, v in zip(out, (h, doc, first, n), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["hash", "doc_id", "first", "n"])
 
@@ -139,31 +109,27 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 
 def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """Rows (hash, chunk, before, after): the text of each repeated chunk at its first place, and the lines around it up to the next chunks."""
-    wanted = firsts.groupBy("at_doc").agg(F.collect_list(F.struct("hash", "at_first", "n")).alias("places"))  # a document's own chunks
+    wanted = firsts.groupBy("at_doc").agg(F.collect_list("at_first").alias("places"))  # a document's own chunks
     strings = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             hashes, chunks, before, after = [], [], [], []
             for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bare = [x.strip() for x in lines_of(t)]
-                taken = [False] * len(bare)
-                for p in places:
-                    taken[p["at_first"] : p["at_first"] + p["n"]] = [True] * len(taken[p["at_first"] : p["at_first"] + p["n"]])
-                for p in places:
-                    i, j = p["at_first"], p["at_first"] + p["n"]
-                    low, high = i, j
-                    while low > 0 and i - low < MOST and not taken[low - 1]:
-                        low -= 1
-                    while high < len(bare) and high - j < MOST and not taken[high]:
-                        high += 1
-                    hashes.append(p["hash"])
-                    chunks.append("\n".join(bare[i:j]))
-                    before.append(bare[low:i])
-                    after.append(bare[j:high])
+                lines = lines_of(t)
+                bare = [x.strip() for x in lines]
+                places = set(places)
+                found = [x for x in chunk_lines(lines) if x[0] in places]
+                ends = [0, *(first + n for first, n, _ in found)]
+                starts = [*(first for first, _, _ in found[1:]), len(bare)]
+                for (i, n, h), low, high in zip(found, ends, starts, strict=False):
+                    hashes.append(h)
+                    chunks.append("\n".join(bare[i : i + n]))
+                    before.append(bare[max(low, i - MOST) : i])
+                    after.append(bare[i + n : min(high, i + n + MOST)])
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chunks, pa.string()), pa.array(before, strings), pa.array(after, strings)], ["hash", "chunk", "before", "after"])
 
-    met = texts.join(broadcast_if_small(materialise(wanted, "wanted"), FIRST_DOCS), F.col("doc_id") == F.col("at_doc")).select("text", "places")
+    met = texts.join(broadcast_if_small(materialise(wanted, "wanted")), F.col("doc_id") == F.col("at_doc")).select("text", "places")
     found = met.mapInArrow(run, "hash long, chunk string, before array<string>, after array<string>")
     return found.groupBy("hash").agg(F.min(F.struct("chunk", "before", "after")).alias("found")).select("hash", "found.*")
 
@@ -185,12 +151,12 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """``row`` (the input), ``text`` without repeated passages, ``removed_words`` and ``removed`` (start and end in characters)."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chunks = materialise(chunk_table(texts), "chunks")
-    repeated = chunks.groupBy("hash").agg(F.min("doc_id").alias("at_doc"), F.count("*").alias("times")).where("times > 1").select("hash", "at_doc")
+    # Written, so that a frequent chunk's partition of the next join can be split.
+    repeated = materialise(chunks.groupBy("hash").agg(F.min("doc_id").alias("at_doc"), F.count("*").alias("times")).where("times > 1").select("hash", "at_doc"), "repeated")
     hits = materialise(chunks.join(repeated, "hash"), "hits")
-    at = F.min(F.struct("first", "n")).alias("at")
-    firsts = materialise(hits.where("doc_id = at_doc").groupBy("hash", "at_doc").agg(at).select("hash", "at_doc", F.col("at.first").alias("at_first"), "at.n"), "firsts")
+    firsts = materialise(hits.where("doc_id = at_doc").groupBy("hash", "at_doc").agg(F.min("first").alias("at_first")), "firsts")
     bodies = _first_texts(texts, firsts).join(firsts.select(F.col("hash").alias("h"), "at_first"), F.col("hash") == F.col("h")).drop("h")
-    bodies = materialise(bodies, "bodies")  # so that a frequent chunk's partition of the next join can be split
+    bodies = materialise(bodies, "bodies")
     later = hits.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
     marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk", "before", "after")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"))

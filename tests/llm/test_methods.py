@@ -277,6 +277,50 @@ def test_lines_are_the_text(text):
         covered[first : first + n] = [True] * n
 
 
+def plain_dedup(data):
+    """Spans that go, straight from the definition: every repeated chunk is compared with its first place, and grows line by line."""
+    cut = {i: line_dedup.lines_of(t) for i, t in data}
+    bare = {i: [x.strip() for x in lines] for i, lines in cut.items()}
+    places = defaultdict(list)
+    for i in sorted(cut):
+        for first, n, _ in line_dedup.chunk_lines(cut[i]):
+            places[tuple(bare[i][first : first + n])].append((i, first))
+    firsts = {x: p[0] for x, p in places.items() if len(p) > 1}
+    taken = defaultdict(set)
+    for x, (i, first) in firsts.items():
+        taken[i].update(range(first, first + len(x)))
+    covered = {i: [False] * len(lines) for i, lines in cut.items()}
+    for x, (i, first) in firsts.items():
+        for j, at in places[x][1:]:
+            for step, own, there in ((-1, at - 1, first - 1), (1, at + len(x), first + len(x))):
+                for _ in range(line_dedup.MOST):
+                    if not (0 <= own < len(bare[j]) and 0 <= there < len(bare[i])) or there in taken[i] or bare[j][own] != bare[i][there]:
+                        break
+                    covered[j][own] = True
+                    own, there = own + step, there + step
+            covered[j][at : at + len(x)] = [True] * len(x)
+    out = {}
+    for i, lines in cut.items():
+        keep, k = [], 0
+        while k < len(lines):
+            end = k
+            while end < len(lines) and covered[i][end]:
+                end += 1
+            if end == k or sum(len(x.split()) for x in lines[k:end]) < line_dedup.LEAST_WORDS:
+                keep += lines[k : max(end, k + 1)]
+            k = max(end, k + 1)
+        out[i] = "".join(keep)
+    return out
+
+
+def test_line_dedup_equals_the_definition(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    data = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == plain_dedup(data)
+    assert any(got[i] != t for i, t in data)
+
+
 def test_passages_are_removed_once(spark):
     rng = random.Random(9)
     sentence = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 6) for _ in range(rng.randrange(4, 12))).capitalize() + ". "
@@ -291,7 +335,8 @@ def test_passages_are_removed_once(spark):
         if not i % 3:
             assert got[i]["text"] == text
         elif i % 10 in seen:
-            assert got[i]["removed_words"] >= 0.4 * len(passages[i % 10].split())
+            # the words around may agree by chance with those around the first place
+            assert 0 <= got[i]["removed_words"] - len(passages[i % 10].split()) <= 3
         else:
             assert got[i]["text"] == text
             seen.add(i % 10)
@@ -318,7 +363,7 @@ def test_short_passages_go(spark):
     for k, n in enumerate(words):
         assert got[2 * k]["removed_words"] == 0
         gone = got[2 * k + 1]["removed_words"]
-        assert gone == n if k % 3 < 2 else n > gone >= n - 14
+        assert gone == n if k % 3 < 2 else n >= gone >= n - 14, (k, n, gone)
 
 
 # --- toxicity, neighbours, pipeline ---
