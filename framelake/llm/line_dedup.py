@@ -1,9 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
 A line ends at a line feed, or behind the spaces after a sentence end or after a character of a fixed class that
-most words end with. So long lines and paragraphs fall into short lines whose ends depend on
+about a third of all words end with. So long lines and paragraphs fall into short lines whose ends depend on
 their own words only, and a passage inside a sentence has lines of its own. A rolling hash over the hashes of
-``WINDOW`` neighbouring lines chooses where chunks end: where it is less than at the ``APART`` lines to both sides. So an
+two neighbouring lines chooses where chunks end: where it is less than at the ``APART`` lines to both sides. So an
 insertion moves no boundary far beyond its own, and a chunk has several lines: ``APART`` + 1 or more, but for the ends of a text.
 
 Chunks meet by a 64-bit hash; their first place (least key, then position) stays.
@@ -35,12 +35,12 @@ from framelake.llm.common import broadcast_if_small
 from framelake.session import materialise
 
 #: Characters, of any script, that end a line where spaces follow: by their number, as that costs one table look-up each.
-ENDING = re.escape("".join(chr(c) for c in range(33, 0x10000) if c % 5 < 2 and not 0xD800 <= c < 0xE000))
+ENDING = re.escape("".join(chr(c) for c in range(33, 0x10000) if c % 5 == 1 and not 0xD800 <= c < 0xE000))
 #: What ends a line.
 CUT = re.compile(rf"([{ENDING}.!?] +|\n)")
-#: Neighbouring lines that a rolling hash spans; lines to both sides among which the least hash ends a chunk; least and most
+#: Lines to both sides among which the least rolling hash ends a chunk; least and most
 #: lines of a chunk; and words that a removed run has at least.
-WINDOW, APART, LEAST, MOST, LEAST_WORDS = 2, 2, 2, 32, 25
+APART, LEAST, MOST, LEAST_WORDS = 1, 2, 32, 25
 #: Rows of an Arrow batch that are lists at one time.
 PART_ROWS = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -53,28 +53,43 @@ def lines_of(text: str) -> list[str]:
     return [*lines, parts[-1]] if parts[-1] else lines
 
 
-def chunk_lines(lines: list[str]) -> list[tuple[int, int, int]]:
-    """(first line, lines, hash as a signed long) of the chunks of several lines; white space around a line does not count."""
-    if len(lines) < LEAST:
-        return []
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(str.strip, lines)), dtype=np.uint64, count=len(lines))
-    rolling = hashes.copy()
-    for back in range(1, WINDOW):
-        rolling[back:] += hashes[:-back] * MULTIPLIER ** np.uint64(back)
-    least = np.full(len(rolling) + 2 * APART, ~np.uint64(0))
-    least[APART:-APART] = rolling
-    cut = np.ones(len(rolling), dtype=bool)
+def chunks_of(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first line, lines and hash (as a signed long) of the chunks of several lines, of texts given as lines.
+
+    White space around a line does not count.
+    """
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    total = int(sizes.sum())
+    if not total:
+        return (np.empty(0, dtype=np.int64),) * 4
+    h = np.fromiter(map(xxhash.xxh64_intdigest, (x.strip() for lines in texts for x in lines)), dtype=np.uint64, count=total)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    begin = (np.cumsum(sizes) - sizes)[text]
+    place = np.arange(total) - begin
+    rolling = h.copy()
+    rolling[1:] += np.where(place[1:] > 0, h[:-1], 0) * MULTIPLIER
+    cut = np.ones(total, dtype=bool)
     for off in range(1, APART + 1):
-        cut &= (rolling < least[APART - off : len(least) - APART - off]) & (rolling < least[APART + off : len(least) - APART + off])
-    cuts = np.nonzero(cut)[0] + 1
-    raw, out, first = hashes.tobytes(), [], 0
-    for end in [*cuts.tolist(), len(lines)]:
-        while end - first >= LEAST:
-            n = min(end - first, MOST)
-            out.append((first, n, _signed(xxhash.xxh64_intdigest(raw[8 * first : 8 * (first + n)]))))
-            first += n
-        first = end
-    return out
+        cut[off:] &= (place[off:] < off) | (rolling[off:] < rolling[:-off])
+        cut[:-off] &= (place[off:] < off) | (rolling[:-off] < rolling[off:])
+    opens = place == 0
+    opens[1:] |= cut[:-1]
+    start = np.maximum.accumulate(np.where(opens, np.arange(total), 0))
+    opens |= (np.arange(total) - start) % MOST == 0
+    first = np.nonzero(opens)[0]
+    n = np.diff(np.append(first, total))
+    # A chunk's hash sums its lines' hashes, each mixed with its place in the chunk.
+    x = (h ^ (np.arange(total) - np.repeat(first, n)).astype(np.uint64) * MULTIPLIER) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    found = np.add.reduceat(x ^ x >> np.uint64(32), first)
+    real = n >= LEAST
+    first = first[real]
+    return text[first], place[first], n[real], found[real].view(np.int64)
+
+
+def chunk_lines(lines: list[str]) -> list[tuple[int, int, int]]:
+    """(first line, lines, hash) of the chunks of one text."""
+    return [(int(a), int(n), int(h)) for _, a, n, h in zip(*chunks_of([lines]), strict=True)]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,25 +99,14 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, PART_ROWS)
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _text(lines: list[str], first: int, n: int) -> str:
-    return "\n".join(x.strip() for x in lines[first : first + n])
-
-
 def chunk_table(texts: DataFrame) -> DataFrame:
     """Rows (hash, doc_id, first, n): where each chunk stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
-            out: list[list] = [[], [], [], []]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for first, n, h in chunk_lines(lines_of(t)):
-                    for x, v in zip(out, (h, doc, first, n), strict=True):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["hash", "doc_id", "first", "n"])
+            text, first, n, h = chunks_of([lines_of(t) for t in b.column(1).to_pylist()])
+            doc = b.column(0).to_numpy(zero_copy_only=False)[text]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["hash", "doc_id", "first", "n"])
 
     return texts.where("doc_id IS NOT NULL AND text <> ''").mapInArrow(run, "hash long, doc_id long, first int, n int")
 
@@ -110,43 +114,80 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """Rows (hash, chunk, before, after): the text of each repeated chunk at its first place, and the lines around it up to the next chunks."""
     wanted = firsts.groupBy("at_doc").agg(F.collect_list("at_first").alias("places"))  # a document's own chunks
-    strings = pa.list_(pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             hashes, chunks, before, after = [], [], [], []
-            for t, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                lines = lines_of(t)
-                bare = [x.strip() for x in lines]
-                places = set(places)
-                found = [x for x in chunk_lines(lines) if x[0] in places]
-                ends = [0, *(first + n for first, n, _ in found)]
-                starts = [*(first for first, _, _ in found[1:]), len(bare)]
-                for (i, n, h), low, high in zip(found, ends, starts, strict=False):
-                    hashes.append(h)
-                    chunks.append("\n".join(bare[i : i + n]))
-                    before.append(bare[max(low, i - MOST) : i])
-                    after.append(bare[i + n : min(high, i + n + MOST)])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(chunks, pa.string()), pa.array(before, strings), pa.array(after, strings)], ["hash", "chunk", "before", "after"])
+            texts = [lines_of(t) for t in b.column(0).to_pylist()]
+            places = [set(p) for p in b.column(1).to_pylist()]
+            low, last, text = 0, -1, -1
+            waiting: list[str] | None = None  # where the lines behind the chunk before may still grow
+            rows = [(k, a, n, h) for k, a, n, h in zip(*(x.tolist() for x in chunks_of(texts)), strict=True) if a in places[k]]
+            for k, first, n, h in rows:
+                if k != text:
+                    text, low, bare = k, 0, [x.strip() for x in texts[k]]
+                if waiting is not None and last == k:
+                    after[-1] = "\n".join(bare[low : min(first, low + MOST)])
+                hashes.append(h)
+                chunks.append("\n".join(bare[first : first + n]))
+                before.append("\n".join(bare[max(low, first - MOST) : first]))
+                low = first + n
+                after.append("\n".join(bare[low : low + MOST]))
+                waiting, last = bare, k
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *(pa.array(x, pa.string()) for x in (chunks, before, after))], ["hash", "chunk", "before", "after"])
 
     met = texts.join(broadcast_if_small(materialise(wanted, "wanted")), F.col("doc_id") == F.col("at_doc")).select("text", "places")
-    found = met.mapInArrow(run, "hash long, chunk string, before array<string>, after array<string>")
+    found = met.mapInArrow(run, "hash long, chunk string, before string, after string")
     return found.groupBy("hash").agg(F.min(F.struct("chunk", "before", "after")).alias("found")).select("hash", "found.*")
 
 
-def covered_runs(words: list[int], covered: list[bool]) -> list[tuple[int, int]]:
+def covered_runs(lines: list[str], covered: list[bool]) -> list[tuple[int, int]]:
     """Runs of covered lines with words enough to go."""
     runs, i = [], 0
     while i < len(covered):
         j = i
         while j < len(covered) and covered[j]:
             j += 1
-        if j > i and sum(words[i:j]) >= LEAST_WORDS:
+        if j > i and sum(len(x.split()) for x in lines[i:j]) >= LEAST_WORDS:
             runs.append((i, j))
         i = max(j, i + 1)
     return runs
 
 
+def _without(text: str, marks: list[tuple[int, int, str, str, str]]) -> tuple[str, int, list[dict]]:
+    """The text without its repeated passages, the words that go, and their spans.
+
+    A mark is a chunk here, and the text of its first place with the lines before and after it there.
+    """
+    lines = lines_of(text)
+    bare = [x.strip() for x in lines]
+    covered = [False] * len(lines)
+    for low, n, chunk, before, after in marks:
+        high = low + n
+        if "\n".join(bare[low:high]) != chunk:  # bytes, not hashes
+            continue
+        for x in reversed(before.split("\n")) if before else ():
+            if not low or bare[low - 1] != x:
+                break
+            low -= 1
+        for x in after.split("\n") if after else ():
+            if high == len(lines) or bare[high] != x:
+                break
+            high += 1
+        covered[low:high] = [True] * (high - low)
+    runs = covered_runs(bare, covered)
+    if not runs:
+        return text, 0, []
+    ends = [0]
+    for x in lines:
+        ends.append(ends[-1] + len(x))
+    parts, at = [], 0
+    for i, j in runs:
+        parts.append(text[at : ends[i]])
+        at = ends[j]
+    return "".join([*parts, text[at:]]), sum(len(x.split()) for i, j in runs for x in bare[i:j]), [{"start": ends[i], "end": ends[j]} for i, j in runs]
+
+
 def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (the input), ``text`` without repeated passages, ``removed_words`` and ``removed`` (start and end in characters)."""
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -166,40 +207,18 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
-            kept, gone, spans = [], [], []
-            for t, marks in zip(b.column("row").field(place).cast(pa.string()).to_pylist(), b.column("marks").to_pylist(), strict=True):
-                removed: list[dict] = []
-                count = 0
-                if t and marks:
-                    lines = lines_of(t)
-                    covered = [False] * len(lines)
-                    for m in marks:
-                        low, high = m["first"], m["first"] + m["n"]
-                        if _text(lines, low, m["n"]) == m["chunk"]:  # bytes, not hashes
-                            for x in reversed(m["before"]):
-                                if not low or lines[low - 1].strip() != x:
-                                    break
-                                low -= 1
-                            for x in m["after"]:
-                                if high == len(lines) or lines[high].strip() != x:
-                                    break
-                                high += 1
-                            covered[low:high] = [True] * (high - low)
-                    words = [len(x.split()) for x in lines]
-                    ends = [0]
-                    for x in lines:
-                        ends.append(ends[-1] + len(x))
-                    runs = covered_runs(words, covered)
-                    removed = [{"start": ends[i], "end": ends[j]} for i, j in runs]
-                    count = sum(sum(words[i:j]) for i, j in runs)
-                    at, parts = 0, []
-                    for s in removed:
-                        parts.append(t[at : s["start"]])
-                        at = s["end"]
-                    t = "".join([*parts, t[at:]])
-                kept.append(t)
-                gone.append(count)
-                spans.append(removed)
+            kept = b.column("row").field(place).cast(pa.string()).to_pylist()
+            gone, spans = [0] * len(kept), [[] for _ in kept]
+            marks = b.column("marks")
+            flat = marks.flatten()
+            first, n = (flat.field(c).to_pylist() for c in ("first", "n"))
+            bodies = [flat.field(c).to_pylist() for c in ("chunk", "before", "after")]
+            at = 0
+            for k, times in enumerate(marks.value_lengths().to_pylist()):
+                own = range(at, at + (times or 0))
+                at = own.stop
+                if kept[k] and times:
+                    kept[k], gone[k], spans[k] = _without(kept[k], [(first[i], n[i], *(x[i] for x in bodies)) for i in own])
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.string()), pa.array(gone, pa.int64()), pa.array(spans, span)], ["row", "text", "removed_words", "removed"])
 
     return met.mapInArrow(run, f"row {docs.select(F.struct('*').alias('row')).schema['row'].dataType.simpleString()}, text string, removed_words long, removed array<struct<start:int,end:int>>")

@@ -1,19 +1,24 @@
 """Toxicity from class-conditional Kneser-Ney models of word pairs.
 
-Two bigram models, of toxic and of ordinary training texts, are smoothed by
-absolute discounting: a pair backs off to its second word, whose probability in a
-class follows the number of distinct words it follows there (so a copied text
-counts once), and a word backs off to the same counts over both classes together.
-The evidence of a word or pair is the ratio of its smoothed counts, to which both classes together lend
-``PRIOR`` occurrences in the smaller class; it may be in one class only. A word or pair below ``NATS`` takes
-the shared estimate in both and adds nothing to the comparison; what a text scores
-is the sum of the log-likelihood ratios of the others, in total and divided by its
-length. A logistic curve over those two, fitted on at most ``FIT_ROWS`` labelled
-training rows, gives the probability.
-
-Words are keyed by 32-bit hashes, a pair by both in one long. The counts cover
-all training texts. Of the model only what differs significantly is joined to the
-words of the documents; it is broadcast if a count shows that it is small.
+Two interpolated bigram models, of toxic and of ordinary training texts: a pair is discounted and backs off to its
+second word, whose probability in a class follows the number of distinct words it follows there (so a copied text
+counts once), is discounted and backs off to the same counts over both classes together, and those
+to an even share for words never seen. Every token of a text is scored under both models with the full
+backoff. As logarithms the two differ by
+
+    log p(w | v, toxic) - log p(w | v, ordinary) = A(v) + B(w) + C(v, w),
+
+of the backoff weights of v, of the backed-off probabilities of w, and of a pair that was seen. So the model is one
+table of keys with a value each, and the difference of a text is a sum over the keys of its tokens.
+
+Plain sums drown a few telling words in the noise of many rare ones. So the sum is kept in two parts: the
+expressions that training texts tell apart (smoothed counts differ by ``NATS`` or more, where both classes together
+lend ``PRIOR`` occurrences in the smaller class), and all others. Both parts are divided by the
+text's length; a logistic curve over them, fitted on at most ``FIT_ROWS`` labelled rows of a fold that is not counted, weighs them.
+
+The model grows with the training texts and stays in the cluster. At most ``HOT`` frequent keys are broadcast, and a
+filter of fixed size (``FILTER_BITS``; left out where it would be full) spares keys that are not in the model the join; the others
+meet the model in an equi-join.
 
 Defined results: null and empty texts score as texts without evidence; rows without
 a label, or with a null one, are not learned from, nor are those whose checksum
@@ -24,20 +29,34 @@ on its own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import broadcast_if_small, text_or_empty
 from framelake.session import materialise
 
-TOKEN = r"[\p{L}\p{N}]+"
+#: Letters and digits.
+TOKEN = re.compile(r"[^\W_]+")
 DISCOUNT = 0.75
-#: Nats by which a word or pair must differ between the classes, and the occurrences in the smaller class that smooth its counts.
+#: Nats by which an expression must differ between the classes to be told apart, and the occurrences lent.
 NATS, PRIOR = 1.0, 2.0
-#: Most labelled rows that the logistic curve is fitted on.
-FIT_ROWS = 20_000
+#: Most labelled rows that the logistic curve is fitted on, and the fold they come from.
+FIT_ROWS, FIT_FOLD = 20_000, 1
 FOLDS = 5
+#: Most words and keys that are broadcast, and the size of the filter.
+HOT_WORDS, HOT, FILTER_BITS = 1 << 17, 1 << 18, 1 << 27
+#: Texts that one step of a worker holds.
+PART_ROWS = 1000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(key: Column) -> Column:
@@ -50,34 +69,71 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text_or_empty(text))
 
 
-def _word_hashes(text: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.transform(words, lambda w: F.when(F.hash(w) == 0, 1).otherwise(F.hash(w)))
+# --- keys ---
+
+
+def mixed(left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
+    """A well-spread 64-bit key of two numbers, in order."""
+    x = left * MIX + np.asarray(right, dtype=np.uint64)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+#: Second numbers of the keys of a word as such and of a word that another follows; pairs have a word's hash there.
+AS_WORD, AS_LEFT = 1, 2
+
+
+def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, the words of all texts as places in them, the text of each, and the place before it.
+
+    The place before a text's first word is that of the mark, the last of the hashes.
+    """
+    seen: dict[str, int] = {}
+    parts = [[seen.setdefault(w, len(seen)) for w in TOKEN.findall(t.lower())] for t in texts]
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    words = np.fromiter((w for p in parts for w in p), dtype=np.int64, count=int(sizes.sum()))
+    hashes = np.empty(len(seen) + 1, dtype=np.uint64)
+    hashes[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
+    hashes[-1] = 0
+    before = np.concatenate([[len(seen)], words[:-1]]) if len(words) else words
+    ends = np.cumsum(sizes)
+    before[ends[:-1][ends[:-1] < len(words)]] = len(seen)
+    return hashes, words, np.repeat(np.arange(len(texts)), sizes), before
 
 
-def _pair(left: Column, right: Column) -> Column:
-    """Both hashes in one long; 0 on the left stands for the word alone."""
-    return F.call_function("shiftleft", right.cast("long"), F.lit(32)).bitwiseOR(left.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, PART_ROWS):
+            yield b.slice(at, PART_ROWS)
 
 
-def _pairs(words: Column) -> Column:
-    """Each word with the one before it; the first follows the mark -1."""
-    return F.zip_with(F.concat(F.array(F.lit(-1)), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))), words, _pair)
+# --- the model ---
+
+
+def labelled(labels: DataFrame, key: str, label: str) -> DataFrame:
+    return labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("known_id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """Labelled documents outside the held-out fold: ``doc_id``, ``t``, ``toxic``."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("known_id")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
-    learn = docs.where(fold(F.col(key)) != 0).select(F.col(key).alias("doc_id"), text_or_empty("text").alias("t"))
-    return learn.join(broadcast_if_small(known), F.col("doc_id") == F.col("known_id")).select("doc_id", "t", "toxic")
+    """Labelled documents of the folds that are counted: ``doc_id``, ``t``, ``toxic``."""
+    learn = docs.where(~fold(F.col(key)).isin(0, FIT_FOLD)).select(F.col(key).alias("doc_id"), text_or_empty("text").alias("t"))
+    return learn.join(broadcast_if_small(materialise(labelled(labels, key, label), "labels")), F.col("doc_id") == F.col("known_id")).select("doc_id", "t", "toxic")
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of the training texts with their counts in toxic and in ordinary texts."""
-    pairs = rows.where("t <> ''").select("toxic", _word_hashes(F.col("t")).alias("w")).where(F.size("w") > 0).select("toxic", F.explode(_pairs(F.col("w"))).alias("pair"))
-    # One long carries both counts through the shuffle.
-    both = F.sum(F.when(F.col("toxic") == 1, F.lit(1 << 32)).otherwise(F.lit(1)).cast("long"))
-    return pairs.groupBy("pair").agg(both.alias("both")).select("pair", F.call_function("shiftright", "both", F.lit(32)).alias("toxic"), F.col("both").bitwiseAND(F.lit(0xFFFFFFFF)).alias("plain"))
+    """Rows (v, w, toxic, plain): pairs of word hashes with their counts in toxic and in ordinary texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            hashes, words, text, before = tokenised(b.column(0).to_pylist())
+            pair, at, which = np.unique(before * len(hashes) + words, return_index=True, return_inverse=True)
+            toxic = b.column(1).to_numpy(zero_copy_only=False)[text]
+            counts = [np.bincount(which, weights=x, minlength=len(pair)).astype(np.int64) for x in (toxic == 1, toxic != 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes[before[at]].view(np.int64), hashes[words[at]].view(np.int64), *counts)], ["v", "w", "toxic", "plain"])
+
+    found = rows.select("t", "toxic").mapInArrow(run, "v long, w long, toxic long, plain long")
+    return found.groupBy("v", "w").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
 def _smoothed(toxic: Column, plain: Column, share: float) -> Column:
@@ -86,95 +142,70 @@ def _smoothed(toxic: Column, plain: Column, share: float) -> Column:
     return F.log(toxic / share + lent) - F.log(plain / (1 - share) + lent)
 
 
-def model(pairs: DataFrame) -> DataFrame | None:
-    """Rows (pair, value): log-likelihood ratios that differ significantly; a pair's adds to its word's.
+def frequent(table: DataFrame, most: int) -> int:
+    """The least ``freq`` that at most ``most`` rows reach, on a grid of powers of two."""
+    rows = sorted(table.groupBy(F.length(F.bin("freq")).alias("bits")).count().collect(), key=lambda r: -r["bits"])
+    total, least = 0, 1 << 62
+    for r in rows:
+        total += r["count"]
+        if total > most:
+            break
+        least = 1 << (r["bits"] - 1)
+    return least
+
+
+def model(pairs: DataFrame) -> tuple[DataFrame, float] | None:
+    """Rows (key, told, other, freq) of the model, and the value of a word that it has not.
 
     None without training texts of both classes.
     """
-    right = F.call_function("shiftright", "pair", F.lit(32)).cast("int")
-    left = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-    pairs = pairs.withColumn("w", right).withColumn("v", left)
-    one = lambda c: F.count_if(F.col(c) > 0)
-    sums = pairs.agg(F.sum("toxic").alias("t"), F.sum("plain").alias("o"), one("toxic").alias("tt"), one("plain").alias("oo"), F.count("*").alias("all")).first()
-    if not sums["t"] or not sums["o"]:
+
+    def of(word: str, role: str) -> Column:
+        return F.struct(F.col(word).alias("word"), *((F.col(c) if role == r else F.lit(0).cast("long")).alias(f"{c}_{r}") for r in ("w", "v") for c in ("toxic", "plain")), F.lit(role == "w").alias("as_word"))
+
+    sides = pairs.select(F.inline(F.array(of("w", "w"), of("v", "v"))))
+    some = lambda c: F.count_if(F.col(c) > 0)
+    sums = [F.sum(c).alias(c) for c in ("toxic_w", "plain_w", "toxic_v", "plain_v")]
+    kinds = [some(c).alias(n) for c, n in (("toxic_w", "tt"), ("plain_w", "to"), ("toxic_v", "kt"), ("plain_v", "ko"))]
+    words = materialise(sides.groupBy("word").agg(*sums, *kinds, F.count_if("as_word").alias("ts")), "words")
+    total = words.agg(*(F.sum(c).alias(c) for c in ("toxic_w", "plain_w", "tt", "to", "ts")), *(some(c).alias(f"u_{c}") for c in ("tt", "to", "ts"))).first()
+    if not total["tt"] or not total["to"]:
         return None
-    words = materialise(pairs.groupBy("w").agg(one("toxic").alias("nt"), one("plain").alias("no"), F.count("*").alias("ns"), F.sum("toxic").alias("ct"), F.sum("plain").alias("co")), "words")
-    kinds = words.agg(one("nt").alias("t"), one("no").alias("o"), F.count("*").alias("all")).first()
-
-    def of_word(n: str, total: int, kind: int) -> Column:
-        shared = F.col("ns") / float(sums["all"])
-        return F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / float(total) + DISCOUNT * kind / total * shared
-
-    # The smaller class backs off more: the ratio counts from where both back off alike.
-    tilt = np.log(kinds["t"] / sums["tt"]) - np.log(kinds["o"] / sums["oo"])
-    share = sums["tt"] / (sums["tt"] + sums["oo"])
-    scored = words.withColumn("pt", of_word("nt", sums["tt"], kinds["t"])).withColumn("po", of_word("no", sums["oo"], kinds["o"]))
-    ratio = F.log("pt") - F.log("po") - F.when((F.col("nt") == 0) | (F.col("no") == 0), F.lit(float(tilt)) * F.when(F.col("nt") == 0, 1.0).otherwise(0.0)).otherwise(0.0)
-    tokens = sums["t"] / (sums["t"] + sums["o"])
+    unseen = math.log(total["u_tt"] / total["tt"]) - math.log(total["u_to"] / total["to"])
+    shared = (F.greatest(F.col("ts") - DISCOUNT, F.lit(0.0)) + DISCOUNT * total["u_ts"] / (total["u_ts"] + 1)) / total["ts"]
+    for n, p in (("tt", "pt"), ("to", "po")):
+        words = words.withColumn(p, (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * total[f"u_{n}"] * shared) / total[n])
+    share, tokens = total["tt"] / (total["tt"] + total["to"]), total["toxic_w"] / (total["toxic_w"] + total["plain_w"])
+    words = words.withColumn("freq", F.col("toxic_w") + F.col("plain_w") + F.col("toxic_v") + F.col("plain_v"))
+
+    def entry(key: Column, value: Column, told: Column, freq: Column, *, instead: float = 0.0) -> list[Column]:
+        return [key.alias("key"), F.when(told, value).otherwise(0.0).cast("float").alias("told"), (F.when(told, 0.0).otherwise(value) - instead).cast("float").alias("other"), freq.alias("freq")]
+
     # Enough distinct words before it or enough occurrences: the last word of a fixed expression has one word before it.
-    told = (F.abs(_smoothed(F.col("nt"), F.col("no"), share)) >= NATS) | (F.abs(_smoothed(F.col("ct"), F.col("co"), tokens)) >= NATS)
-    differs = told & (F.abs("ratio") >= NATS)
-    scored = scored.withColumn("ratio", ratio)
-    singles = scored.where(differs).select(_pair(F.lit(0), F.col("w")).alias("pair"), F.col("ratio").alias("value"))
-
-    before = materialise(pairs.groupBy("v").agg(one("toxic").alias("vt_kinds"), one("plain").alias("vo_kinds"), F.sum("toxic").alias("vt"), F.sum("plain").alias("vo")), "before")
-    likely = pairs.where(F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS)
-    likely = likely.join(before.withColumnRenamed("v", "v2"), F.col("v") == F.col("v2")).join(scored.select(F.col("w").alias("w2"), "pt", "po", F.when(differs, F.col("ratio")).otherwise(0.0).alias("single")), F.col("w") == F.col("w2"))
-
-    def of_pair(c: str, n: str, k: str, low: str) -> Column:
-        return F.when(F.col(n) == 0, F.col(low)).otherwise((F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(k) * F.col(low)) / F.greatest(F.col(n), F.lit(1)))
-
-    both = likely.withColumn("ratio", F.log(of_pair("toxic", "vt", "vt_kinds", "pt")) - F.log(of_pair("plain", "vo", "vo_kinds", "po")))
-    doubles = both.where(F.abs("ratio") >= NATS).select("pair", (F.col("ratio") - F.col("single")).alias("value")).where(F.abs("value") >= NATS)
-    return singles.unionByName(doubles)
-
-
-def evidence(docs: DataFrame, entries: DataFrame | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: ``doc_id``, ``text_hash``, ``n`` words, and the summed log-likelihood ratio ``total``."""
-    base = docs.select(F.col(key).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), _word_hashes(text_or_empty(text)).alias("w")).withColumn("n", F.size("w"))
-    if entries is None:
-        return base.select("doc_id", "text_hash", "n", F.lit(0.0).alias("total"))
-    alone = F.transform("w", lambda w: _pair(F.lit(0), w))
-    # 0 is no word: it keeps texts without any entry in the inner join.
-    keys = F.concat(F.array(F.lit(0).cast("long")), alone, F.when(F.col("n") > 0, _pairs(F.col("w"))).otherwise(F.array().cast("array<bigint>")))
-    rows = base.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text_hash", "n", F.explode(keys).alias("pair"))
-    entries = entries.unionByName(entries.sparkSession.range(1, numPartitions=1).select(F.lit(0).cast("long").alias("pair"), F.lit(0.0).alias("value")))
-    met = rows.join(broadcast_if_small(entries), "pair")
-    summed = met.groupBy("row", "doc_id", "text_hash", "n").agg(F.sum("value").alias("total"))
-    return summed.select("doc_id", "text_hash", "n", "total")
-
-
-def _features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
-    mean = total / np.maximum(n, 1)
-    return np.stack([np.ones_like(mean), np.arcsinh(total), np.arcsinh(100 * mean)], axis=1)
-
-
-def fit_curve(total: np.ndarray, n: np.ndarray, label: np.ndarray) -> list[float]:
-    """Weights of a logistic curve over the summed and the length-normalised ratio, by Newton's steps with a small ridge."""
-    x, w = _features(total, n), np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - label) + 1e-2 * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
-        step = np.linalg.solve(bend, slope)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
-            break
-    return [float(v) for v in w]
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, ``held_out``, ``score``, ``predicted``, and the evidence it rests on."""
-    rows = training_rows(docs.select(F.col(key), F.col(text).alias("text")), labels, key)
-    entries = model(materialise(count_pairs(rows), "pairs"))
-    if entries is None:
-        found = evidence(docs, None, key, text).withColumn("score", F.lit(0.0))
-    else:
-        found = materialise(evidence(docs, materialise(entries, "model"), key, text), "evidence")
-        known = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("known_id")).agg(F.max("toxic").alias("label"))
-        fit = found.where(fold(F.col("doc_id")) != 0).join(known, F.col("doc_id") == F.col("known_id")).orderBy(F.xxhash64("doc_id"), "n").limit(FIT_ROWS).select("total", "n", "label").toPandas()
-        w = fit_curve(fit["total"].to_numpy(float), fit["n"].to_numpy(float), fit["label"].to_numpy(float))
-        mean = F.col("total") / F.greatest(F.col("n"), F.lit(1))
-        z = F.lit(w[0]) + w[1] * F.asinh("total") + w[2] * F.asinh(100 * mean)
-        found = found.withColumn("score", 1 / (1 + F.exp(-z)))
-    return found.select(F.col("doc_id").alias(key), (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash", "total", "n")
+    ratio = F.log("pt") - F.log("po")
+    told = ((F.abs(_smoothed(F.col("tt"), F.col("to"), share)) >= NATS) | (F.abs(_smoothed(F.col("toxic_w"), F.col("plain_w"), tokens)) >= NATS)) & (F.abs(ratio) >= NATS)
+    alone = words.where("ts > 0").select(*entry(_key("word", F.lit(AS_WORD)), ratio, told, F.col("toxic_w") + F.col("plain_w"), instead=unseen))
+    weight = lambda k, n: F.when(F.col(n) > 0, F.log(DISCOUNT * F.col(k) / F.col(n))).otherwise(0.0)
+    left = words.where("toxic_v + plain_v > 0").select(*entry(_key("word", F.lit(AS_LEFT)), weight("kt", "toxic_v") - weight("ko", "plain_v"), F.lit(False), F.col("toxic_v") + F.col("plain_v")))
+
+    lefts, rights = words.select(F.col("word").alias("v_"), "kt", "ko"), words.select(F.col("word").alias("w_"), "pt", "po")
+    least = frequent(words, HOT_WORDS)
+    hot_left, hot_right = (F.broadcast(x) for x in (words.where(F.col("freq") >= least).select(F.col("word").alias("v_"), "kt", "ko"), words.where(F.col("freq") >= least).select(F.col("word").alias("w_"), "pt", "po")))
+    met = pairs.join(hot_left, F.col("v") == F.col("v_"), "left").join(hot_right, F.col("w") == F.col("w_"), "left")
+    known = F.col("kt").isNotNull() & F.col("pt").isNotNull()
+    rare = met.where(~known).select("v", "w", "toxic", "plain").join(lefts, F.col("v") == F.col("v_")).join(rights, F.col("w") == F.col("w_"))
+    gain = lambda c, k, p: F.when(F.col(c) > 0, F.log1p((F.col(c) - DISCOUNT) / (DISCOUNT * F.col(k) * F.col(p)))).otherwise(0.0)
+    both = entry(_key("v", F.col("w")), gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS, F.col("toxic") + F.col("plain"))
+    doubles = met.where(known).select(*both).unionByName(rare.select(*both))
+    return alone.unionByName(left).unionByName(doubles), unseen
+
+
+def _key(left: str, right: Column) -> Column:
+    """``mixed`` of two longs as an expression: the same bits."""
+
+    def times(x: Column, factor: int) -> Column:
+        # Low 64 bits of the product, from parts that can't overflow a decimal or raise.
+        factor = factor - (1 << 64) if factor >> 63 else factor
+        return F.call_function("try_multiply", x, F.lit(factor))
+
+    raise NotImplementedError

@@ -323,7 +323,7 @@ def test_line_dedup_equals_the_definition(spark):
 
 def test_passages_are_removed_once(spark):
     rng = random.Random(9)
-    sentence = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 6) for _ in range(rng.randrange(4, 12))).capitalize() + ". "
+    sentence = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8))) for _ in range(rng.randrange(4, 12))).capitalize() + ". "
     passages = ["".join(sentence() for _ in range(12)) for _ in range(10)]
     data = []
     for i in range(60):
