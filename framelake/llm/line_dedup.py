@@ -7,8 +7,8 @@ two neighbouring lines chooses where chunks end: where it is less than at the ``
 insertion moves no boundary far beyond its own, and a chunk has several lines: ``APART`` + 1 or more, but for the ends of a text.
 
 Chunks meet by a 64-bit hash; their first place (least key, then position) stays.
-The bytes of a repeated chunk are compared with those of its first place, and so are the
-lines before and after it, up to the next repeated chunk there or ``MOST`` lines, as far as they agree;
+The bytes of a repeated chunk are compared with those of its first place. At the ends of a row of such chunks so are the
+lines around, up to ``GROW`` lines, as far as they agree, since chunks at the ends of a passage differ by what stands around it;
 lines are removed where repeated chunks cover a run of at least ``LEAST_WORDS`` words.
 
 Keys that a third of the rows share are aggregated and written before they are joined, so that a skewed partition can be split.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import broadcast_if_small
@@ -41,6 +41,8 @@ CUT = re.compile(rf"([{ENDING}.!?] +|\n)")
 #: Lines to both sides among which the least rolling hash ends a chunk; least and most
 #: lines of a chunk; and words that a removed run has at least.
 APART, LEAST, MOST, LEAST_WORDS = 1, 2, 32, 25
+#: Lines by which a hit may grow to either side.
+GROW = 16
 #: Rows of an Arrow batch that are lists at one time.
 PART_ROWS = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +114,7 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 
 
 def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Rows (hash, chunk, before, after): the text of each repeated chunk at its first place, and the lines around it up to the next chunks."""
+    """Rows (hash, chunk, before, after): the text of each repeated chunk at its first place, and the lines around it."""
     wanted = firsts.groupBy("at_doc").agg(F.collect_list("at_first").alias("places"))  # a document's own chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,20 +122,16 @@ def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
             hashes, chunks, before, after = [], [], [], []
             texts = [lines_of(t) for t in b.column(0).to_pylist()]
             places = [set(p) for p in b.column(1).to_pylist()]
-            low, last, text = 0, -1, -1
-            waiting: list[str] | None = None  # where the lines behind the chunk before may still grow
-            rows = [(k, a, n, h) for k, a, n, h in zip(*(x.tolist() for x in chunks_of(texts)), strict=True) if a in places[k]]
-            for k, first, n, h in rows:
+            text = -1
+            for k, first, n, h in zip(*(x.tolist() for x in chunks_of(texts)), strict=True):
+                if first not in places[k]:
+                    continue
                 if k != text:
-                    text, low, bare = k, 0, [x.strip() for x in texts[k]]
-                if waiting is not None and last == k:
-                    after[-1] = "\n".join(bare[low : min(first, low + MOST)])
+                    text, bare = k, [x.strip() for x in texts[k]]
                 hashes.append(h)
                 chunks.append("\n".join(bare[first : first + n]))
-                before.append("\n".join(bare[max(low, first - MOST) : first]))
-                low = first + n
-                after.append("\n".join(bare[low : low + MOST]))
-                waiting, last = bare, k
+                before.append("\n".join(bare[max(0, first - GROW) : first]))
+                after.append("\n".join(bare[first + n : first + n + GROW]))
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *(pa.array(x, pa.string()) for x in (chunks, before, after))], ["hash", "chunk", "before", "after"])
 
     met = texts.join(broadcast_if_small(materialise(wanted, "wanted")), F.col("doc_id") == F.col("at_doc")).select("text", "places")
@@ -198,7 +196,14 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     firsts = materialise(hits.where("doc_id = at_doc").groupBy("hash", "at_doc").agg(F.min("first").alias("at_first")), "firsts")
     bodies = _first_texts(texts, firsts).join(firsts.select(F.col("hash").alias("h"), "at_first"), F.col("hash") == F.col("h")).drop("h")
     bodies = materialise(bodies, "bodies")
-    later = hits.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
+    # Hits side by side cover what is between them: only the ends of a row of hits carry the lines around.
+    own = Window.partitionBy("doc_id").orderBy("first")
+    other = F.col("doc_id") != F.col("at_doc")
+    open_low = ~F.coalesce(F.lag(F.when(other, F.col("first") + F.col("n"))).over(own) == F.col("first"), F.lit(False))
+    open_high = ~F.coalesce(F.lead(F.when(other, F.col("first"))).over(own) == F.col("first") + F.col("n"), F.lit(False))
+    edged = hits.select("*", open_low.alias("open_low"), open_high.alias("open_high"))
+    later = edged.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
+    later = later.withColumn("before", F.when(F.col("open_low"), F.col("before")).otherwise("")).withColumn("after", F.when(F.col("open_high"), F.col("after")).otherwise(""))
     marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk", "before", "after")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"))
     met = rows.join(marks, F.col("doc_id") == F.col("mark_doc"), "left").select("row", "marks")

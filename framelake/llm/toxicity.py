@@ -56,7 +56,6 @@ FOLDS = 5
 HOT_WORDS, HOT, FILTER_BITS = 1 << 17, 1 << 18, 1 << 27
 #: Texts that one step of a worker holds.
 PART_ROWS = 1000
-MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(key: Column) -> Column:
@@ -72,12 +71,21 @@ def text_hash(text: Column) -> Column:
 # --- keys ---
 
 
-def mixed(left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
-    """A well-spread 64-bit key of two numbers, in order."""
-    x = left * MIX + np.asarray(right, dtype=np.uint64)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+def _hash_long(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """XXH64 of eight bytes."""
+    # The five primes of XXH64.
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda v, n: v << np.uint64(n) | v >> np.uint64(64 - n)
+    h = (seed + p5 + np.uint64(8)) ^ turned(x * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The 64-bit key of two numbers, in order: what ``xxhash64`` of both is in SQL."""
+    return _hash_long(right, _hash_long(left, np.full(len(left), 42, dtype=np.uint64)))
 
 
 #: Second numbers of the keys of a word as such and of a word that another follows; pairs have a word's hash there.
@@ -184,9 +192,9 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float] | None:
     # Enough distinct words before it or enough occurrences: the last word of a fixed expression has one word before it.
     ratio = F.log("pt") - F.log("po")
     told = ((F.abs(_smoothed(F.col("tt"), F.col("to"), share)) >= NATS) | (F.abs(_smoothed(F.col("toxic_w"), F.col("plain_w"), tokens)) >= NATS)) & (F.abs(ratio) >= NATS)
-    alone = words.where("ts > 0").select(*entry(_key("word", F.lit(AS_WORD)), ratio, told, F.col("toxic_w") + F.col("plain_w"), instead=unseen))
+    alone = words.where("ts > 0").select(*entry(F.xxhash64("word", F.lit(AS_WORD).cast("long")), ratio, told, F.col("toxic_w") + F.col("plain_w"), instead=unseen))
     weight = lambda k, n: F.when(F.col(n) > 0, F.log(DISCOUNT * F.col(k) / F.col(n))).otherwise(0.0)
-    left = words.where("toxic_v + plain_v > 0").select(*entry(_key("word", F.lit(AS_LEFT)), weight("kt", "toxic_v") - weight("ko", "plain_v"), F.lit(False), F.col("toxic_v") + F.col("plain_v")))
+    left = words.where("toxic_v + plain_v > 0").select(*entry(F.xxhash64("word", F.lit(AS_LEFT).cast("long")), weight("kt", "toxic_v") - weight("ko", "plain_v"), F.lit(False), F.col("toxic_v") + F.col("plain_v")))
 
     lefts, rights = words.select(F.col("word").alias("v_"), "kt", "ko"), words.select(F.col("word").alias("w_"), "pt", "po")
     least = frequent(words, HOT_WORDS)
@@ -195,17 +203,136 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float] | None:
     known = F.col("kt").isNotNull() & F.col("pt").isNotNull()
     rare = met.where(~known).select("v", "w", "toxic", "plain").join(lefts, F.col("v") == F.col("v_")).join(rights, F.col("w") == F.col("w_"))
     gain = lambda c, k, p: F.when(F.col(c) > 0, F.log1p((F.col(c) - DISCOUNT) / (DISCOUNT * F.col(k) * F.col(p)))).otherwise(0.0)
-    both = entry(_key("v", F.col("w")), gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS, F.col("toxic") + F.col("plain"))
+    both = entry(F.xxhash64("v", "w"), gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS, F.col("toxic") + F.col("plain"))
     doubles = met.where(known).select(*both).unionByName(rare.select(*both))
     return alone.unionByName(left).unionByName(doubles), unseen
 
 
-def _key(left: str, right: Column) -> Column:
-    """``mixed`` of two longs as an expression: the same bits."""
+def key_filter(entries: DataFrame) -> np.ndarray | None:
+    """A bit for each key of the model, or None where the bits would nearly all be set.
+
+    Tasks send the places they set as gaps, which one task joins: with at most twice the bits as keys that is bounded.
+    """
+    if entries.limit(2 * FILTER_BITS + 1).count() > 2 * FILTER_BITS:
+        return None
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.diff(at, prepend=np.uint32(0)).tobytes(), 1)], pa.binary())], ["gaps"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        for b in batches:
+            for gaps in b.column(0).to_pylist():
+                bits[np.cumsum(np.frombuffer(zlib.decompress(gaps), dtype="<u4"), dtype=np.uint32)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+
+    found = entries.select("key").mapInArrow(places, "gaps binary").repartition(1).mapInArrow(joined, "bits binary").first()
+    return np.frombuffer(zlib.decompress(found["bits"]), dtype=np.uint8)
 
-    def times(x: Column, factor: int) -> Column:
-        # Low 64 bits of the product, from parts that can't overflow a decimal or raise.
-        factor = factor - (1 << 64) if factor >> 63 else factor
-        return F.call_function("try_multiply", x, F.lit(factor))
 
-    raise NotImplementedError
+# --- scores ---
+
+
+def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: ``doc_id``, ``text_hash``, ``n`` words, and the log-likelihood difference in its two parts ``told`` and ``other``."""
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), text_or_empty(text).alias("t"))
+    if entries is None:
+        return base.select("doc_id", "text_hash", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("told"), F.lit(0.0).alias("other"))
+    least = frequent(entries, HOT)
+    hot = entries.where(F.col("freq") >= least).select("key", "told", "other").orderBy("key").toPandas()  # HOT rows at most
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((hot["key"].to_numpy(np.int64), hot["told"].to_numpy(float), hot["other"].to_numpy(float), key_filter(entries)))
+    names = ["row", "key", "doc_id", "text_hash", "n", "told", "other"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_keys, hot_told, hot_other, bits = shared.value
+        row = TaskContext.get().partitionId() << 33
+
+        def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Both values of each key, and whether it has to meet the model."""
+            own = keys.view(np.int64)
+            at = np.minimum(np.searchsorted(hot_keys, own), max(len(hot_keys) - 1, 0))
+            known = hot_keys[at] == own if len(hot_keys) else np.zeros(len(own), dtype=bool)
+            sought = ~known
+            if bits is not None:
+                place = keys % np.uint64(FILTER_BITS)
+                sought &= (bits[place >> np.uint64(3)] >> (np.uint64(7) - place % np.uint64(8)).astype(np.uint8) & 1).astype(bool)
+            if not len(hot_keys):
+                return np.zeros(len(own)), np.zeros(len(own)), sought
+            return np.where(known, hot_told[at], 0.0), np.where(known, hot_other[at], 0.0), sought
+
+        for b in _parts(batches):
+            hashes, words, text, before = tokenised(b.column(2).to_pylist())
+            number = lambda n: np.full(len(hashes), n, dtype=np.uint64)
+            alone, lefts = (mixed(hashes, number(n)) for n in (AS_WORD, AS_LEFT))
+            pairs = mixed(hashes[before], hashes[words])
+            told, other, cold_keys, cold_rows = np.zeros(b.num_rows), np.zeros(b.num_rows), [], []
+            for keys, at in ((alone, words), (lefts, before), (pairs, None)):
+                a, c, sought = look(keys)
+                if at is not None:
+                    keys, a, c, sought = keys[at], a[at], c[at], sought[at]
+                told += np.bincount(text, weights=a, minlength=b.num_rows)
+                other += np.bincount(text, weights=c, minlength=b.num_rows)
+                cold_keys.append(keys[sought].view(np.int64))
+                cold_rows.append(text[sought])
+            n = np.bincount(text, minlength=b.num_rows)
+            rows = row + np.arange(b.num_rows)
+            row += b.num_rows
+            # A row's own line meets no entry: it has no key.
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(b.num_rows, pa.int64()), b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(told), pa.array(other + n * unseen)], names)
+            cold, at = np.concatenate(cold_keys), rows[np.concatenate(cold_rows)]
+            nothing = [pa.nulls(len(cold), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cold), *nothing], names)
+
+    lines = base.mapInArrow(run, "row long, key long, doc_id long, text_hash long, n long, told double, other double")
+    model_of = entries.where(F.col("freq") < least).select(F.col("key").alias("k"), F.col("told").alias("k_told"), F.col("other").alias("k_other"))
+    # Lines without a key are dealt by their row.
+    dealt = lines.withColumn("spot", F.coalesce("key", F.xxhash64("row")))
+    met = dealt.join(model_of, F.col("spot") == F.col("k"), "left")
+    own = F.col("key").isNull()
+    value = lambda c: F.sum(F.when(own, F.col(c)).otherwise(F.coalesce(F.col(f"k_{c}").cast("double"), F.lit(0.0)))).alias(c)
+    found = met.where(own | F.col("k").isNotNull()).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("text_hash").alias("text_hash"), F.max("n").alias("n"), value("told"), value("other"))
+    return found.select("doc_id", "text_hash", "n", "told", "other")
+
+
+def _features(told: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
+    per = 100 / np.maximum(n, 1)
+    return np.stack([np.ones_like(per), np.arcsinh(per * told), np.arcsinh(per * other)], axis=1)
+
+
+def fit_curve(told: np.ndarray, other: np.ndarray, n: np.ndarray, label: np.ndarray) -> list[float]:
+    """Weights of a logistic curve over the two length-normalised parts, by Newton's steps with a small ridge."""
+    x, w = _features(told, other, n), np.zeros(3)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - label) + 1e-2 * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        step = np.linalg.solve(bend, slope)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return [float(v) for v in w]
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, ``held_out``, ``score``, ``predicted``, and the evidence it rests on."""
+    rows = training_rows(docs.select(F.col(key), F.col(text).alias("text")), labels, key)
+    found = model(materialise(count_pairs(rows), "pairs"))
+    if found is None:
+        scored = evidence(docs, None, key=key, text=text).withColumn("score", F.lit(0.0))
+    else:
+        scored = materialise(evidence(docs, materialise(found[0], "model"), found[1], key, text), "evidence")
+        known = labelled(labels, "doc_id" if key not in labels.columns else key, "toxic")
+        fit = scored.join(known, F.col("doc_id") == F.col("known_id")).where(fold(F.col("doc_id")) != 0)
+        # The fold that was not counted; where it has not both classes, all training rows.
+        fit = fit.withColumn("later", (fold(F.col("doc_id")) != FIT_FOLD).cast("int"))
+        fit = fit.orderBy("later", F.xxhash64("doc_id"), "n").limit(FIT_ROWS).select("later", "told", "other", "n", "toxic").toPandas()
+        first = fit[fit["later"] == 0]
+        fit = first if first["toxic"].nunique() == 2 else fit
+        w = fit_curve(*(fit[c].to_numpy(float) for c in ("told", "other", "n", "toxic")))
+        per = 100 / F.greatest(F.col("n"), F.lit(1))
+        z = F.lit(w[0]) + w[1] * F.asinh(per * F.col("told")) + w[2] * F.asinh(per * F.col("other"))
+        scored = scored.withColumn("score", 1 / (1 + F.exp(-z)))
+    return scored.select(F.col("doc_id").alias(key), (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash", "told", "other", "n")

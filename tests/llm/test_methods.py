@@ -1,5 +1,6 @@
 """Each operator against brute force, a library, or its own guarantees."""
 
+import math
 import random
 import re
 import zlib
@@ -278,27 +279,23 @@ def test_lines_are_the_text(text):
 
 
 def plain_dedup(data):
-    """Spans that go, straight from the definition: every repeated chunk is compared with its first place, and grows line by line."""
+    """Spans that go, straight from the definition: every repeated chunk grows line by line as its first place does."""
     cut = {i: line_dedup.lines_of(t) for i, t in data}
     bare = {i: [x.strip() for x in lines] for i, lines in cut.items()}
     places = defaultdict(list)
     for i in sorted(cut):
         for first, n, _ in line_dedup.chunk_lines(cut[i]):
             places[tuple(bare[i][first : first + n])].append((i, first))
-    firsts = {x: p[0] for x, p in places.items() if len(p) > 1}
-    taken = defaultdict(set)
-    for x, (i, first) in firsts.items():
-        taken[i].update(range(first, first + len(x)))
+    hits = {(j, at): (x, p[0]) for x, p in places.items() for j, at in p[1:]}
     covered = {i: [False] * len(lines) for i, lines in cut.items()}
-    for x, (i, first) in firsts.items():
-        for j, at in places[x][1:]:
-            for step, own, there in ((-1, at - 1, first - 1), (1, at + len(x), first + len(x))):
-                for _ in range(line_dedup.MOST):
-                    if not (0 <= own < len(bare[j]) and 0 <= there < len(bare[i])) or there in taken[i] or bare[j][own] != bare[i][there]:
-                        break
-                    covered[j][own] = True
-                    own, there = own + step, there + step
-            covered[j][at : at + len(x)] = [True] * len(x)
+    for (j, at), (x, (i, first)) in hits.items():
+        for step, own, there in ((-1, at - 1, first - 1), (1, at + len(x), first + len(x))):
+            for _ in range(line_dedup.GROW):
+                if not (0 <= own < len(bare[j]) and 0 <= there < len(bare[i])) or bare[j][own] != bare[i][there]:
+                    break
+                covered[j][own] = True
+                own, there = own + step, there + step
+        covered[j][at : at + len(x)] = [True] * len(x)
     out = {}
     for i, lines in cut.items():
         keep, k = [], 0
@@ -369,13 +366,55 @@ def test_short_passages_go(spark):
 # --- toxicity, neighbours, pipeline ---
 
 
+def plain_kneser_ney(rows):
+    """The difference of the log-likelihoods of the words after their predecessors, from counts in dictionaries."""
+    d, counts = toxicity.DISCOUNT, (Counter(), Counter())
+    for words, label in rows:
+        counts[label].update(zip([None, *words], words))
+    follows = [{x: Counter(pair[x] for pair in c) for x in (0, 1)} for c in counts]
+    shared, total = Counter(w for _, w in counts[0].keys() | counts[1].keys()), len(counts[0].keys() | counts[1].keys())
+    before = [Counter() for _ in counts]
+    for c, b in zip(counts, before, strict=True):
+        for (v, _), n in c.items():
+            b[v] += n
+
+    def likely(label, v, w):
+        low = (max(shared[w] - d, 0) + d * len(shared) / (len(shared) + 1)) / total
+        kinds = follows[label][1]
+        low = (max(kinds[w] - d, 0) + d * len(kinds) * low) / len(counts[label])
+        n = before[label][v]
+        return (max(counts[label][v, w] - d, 0) + d * follows[label][0][v] * low) / n if n else low
+
+    return lambda words: sum(math.log(likely(1, v, w) / likely(0, v, w)) for v, w in zip([None, *words], words))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_toxicity_equals_a_plain_model(spark, texts, monkeypatch, few):
+    """With and without keys that have to be joined."""
+    if few:
+        monkeypatch.setattr(toxicity, "HOT", 64)
+        monkeypatch.setattr(toxicity, "HOT_WORDS", 16)
+        monkeypatch.setattr(toxicity, "FILTER_BITS", 1 << 16)
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    words = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in texts.items()}
+    rows = [(words[r["doc_id"]], r["toxic"]) for r in labels.collect() if r["doc_id"] in words and zlib.crc32(str(r["doc_id"]).encode()) % 5 > 1]
+    assert {y for _, y in rows} == {0, 1}
+    total = plain_kneser_ney(rows)
+    got = {r["doc_id"]: (r["n"], r["told"] + r["other"]) for r in toxicity.score_documents(docs, labels).collect()}
+    assert len(got) == len(words)
+    for i, w in words.items():
+        assert got[i][0] == len(w) and got[i][1] == pytest.approx(total(w), abs=1e-3, rel=1e-4)
+
+
 def test_held_out_accuracy(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = QUERIES["op8_toxicity"](spark, sf).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
     held = [(r["predicted"], labels[r["doc_id"]]) for r in found if r["held_out"] and r["doc_id"] in labels]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    caught = sum(a == b == 1 for a, b in held)
+    print(f"{len(held)} held out, {sum(b for _, b in held)} toxic, {caught} caught, {sum(a for a, _ in held) - caught} others rejected")
+    assert caught >= 0.85 * sum(b for _, b in held) and caught >= 0.85 * sum(a for a, _ in held)
 
 
 def test_phrases_of_neutral_words_and_rare_expressions_count(spark):
@@ -391,7 +430,7 @@ def test_phrases_of_neutral_words_and_rare_expressions_count(spark):
         labels.append((i, int(toxic)))
     ask = [(1000, "w2 w3 grey lamp w4"), (1001, "w2 w3 lamp w4 grey"), (1002, "w2 w3 hollow quern w4"), (1003, "w2 w3 w5 quern w4"), (1004, "w2 w3 w5 w6 w4")]
     df = spark.createDataFrame(data + ask, "doc_id long, text string")
-    got = {r["doc_id"]: r["total"] for r in toxicity.score_documents(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    got = {r["doc_id"]: r["told"] + r["other"] for r in toxicity.score_documents(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert got[1000] >= got[1001] + 1 and got[1002] >= got[1004] + 1 and got[1003] >= got[1004] + 1
 
 
