@@ -2,10 +2,10 @@
 
 A text is cut where no vocabulary piece can span: before each run of spaces and
 around each line feed, which is always one byte token. The pieces of a pre-token
-are counted once for the whole corpus, in a table of distinct pre-tokens. The most
-frequent pre-tokens (at most ``HOT``, a proven bound) are a dictionary in every
-worker, which sums them while it splits a text; each remaining pre-token joins the
-table by an equi-join on the pre-token. No token ids are kept.
+are counted once for the whole corpus, in a table of distinct pre-tokens. Each document gives its
+distinct pre-tokens with their frequencies, which meet the table in an equi-join and are summed. Only the most
+frequent pre-tokens (at most ``HOT``, which are in most documents and would make hot keys of the join) are
+broadcast and summed where the text is split. No token ids are kept.
 
 The cuts are exact for a SentencePiece BPE model with the identity normaliser, a
 dummy prefix, and no piece that has a space after another character or that
@@ -19,6 +19,7 @@ special strings in a text are ordinary text; an empty table gives an empty resul
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,11 @@ from framelake.llm.common import text_or_empty
 from framelake.session import materialise
 
 SPACE = "▁"
-HOT = 1 << 19
-PRETOKEN = " *[^ ]+| +"
+#: Most pre-tokens that are broadcast.
+HOT = 1 << 16
+#: Texts whose pre-tokens are counted together before they are shuffled.
+PART_ROWS = 1000
+PIECES = re.compile(" *[^ ]+| +").findall
 
 
 @lru_cache(maxsize=2)
@@ -57,20 +61,24 @@ def count_pieces(path: str, pretokens: list[str]) -> list[int]:
     return [len(ids) - 2 for ids in _model(path).encode(["\n" + p for p in pretokens], num_threads=1)]
 
 
-def split_pretokens(text: str) -> list[list[str]]:
-    """Pre-tokens of each line; the first starts with the dummy prefix."""
-    if not text:
-        return []
-    find = re.compile(PRETOKEN).findall
-    return [find(line) for line in (" " + text.replace(SPACE, " ")).split("\n")]
+def pretokens_of(text: str) -> list[str]:
+    """Pre-tokens of the lines of a text, the first with the dummy prefix; line feeds are not among them."""
+    return [p for line in (" " + text.replace(SPACE, " ")).split("\n") for p in PIECES(line)] if text else []
 
 
 def distinct_pretokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every distinct pre-token of the corpus with its frequency and its number of tokens."""
-    spaced = F.concat(F.lit(" "), F.replace(text_or_empty(text), F.lit(SPACE), F.lit(" ")))
-    lines = docs.where(F.length(text_or_empty(text)) > 0).select(F.split(spaced, "\n").alias("lines"))
-    pieces = lines.select(F.explode(F.flatten(F.transform("lines", lambda x: F.regexp_extract_all(x, F.lit(PRETOKEN), F.lit(0))))).alias("pretoken"))
-    counted = pieces.groupBy("pretoken").agg(F.count("*").alias("freq"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PART_ROWS):
+                found: Counter[str] = Counter()
+                for t in b.column(0).slice(at, PART_ROWS).to_pylist():
+                    found.update(pretokens_of(t))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pretoken", "freq"])
+
+    pieces = docs.select(text_or_empty(text).alias("t")).where("t <> ''").mapInArrow(split, "pretoken string, freq long")
+    counted = pieces.groupBy("pretoken").agg(F.sum("freq").alias("freq"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,7 +88,7 @@ def distinct_pretokens(docs: DataFrame, path: str, text: str = "text") -> DataFr
     return counted.mapInArrow(count, "pretoken string, freq long, n long")
 
 
-def hot_threshold(table: DataFrame, most: int = HOT) -> int:
+def hot_threshold(table: DataFrame, most: int) -> int:
     """The least frequency that at most ``most`` pre-tokens reach, on a grid of powers of two."""
     grid = F.length(F.bin("freq"))
     rows = sorted(table.groupBy(grid.alias("bits")).count().collect(), key=lambda r: -r["bits"])
@@ -98,46 +106,39 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", key: str = "
     check_model(path)
     spark = docs.sparkSession
     table = materialise(distinct_pretokens(docs, path, text), "pretokens")
-    least = hot_threshold(table)
+    least = hot_threshold(table, HOT)
     hot = spark.sparkContext.broadcast({r["pretoken"]: r["n"] for r in table.where(F.col("freq") >= least).toLocalIterator()})
-    schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("pretoken", pa.string())])
+    names = ["row", "key", "n_bytes", "n", "pretoken"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, find = hot.value.get, re.compile(PRETOKEN).findall
+        get = hot.value.get
         row = (TaskContext.get().partitionId() << 33) - 1
-        out: list[list] = [[], [], [], [], []]
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-            for x in out:
-                x.clear()
-            return batch
-
-        for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row += 1
-                total = 0
-                if t:
-                    lines = (" " + t.replace(SPACE, " ")).split("\n")
-                    total = len(lines) - 1
-                    for line in lines:
-                        for p in find(line):
-                            n = get(p)
-                            if n is None:
-                                for x, v in zip(out, (row, None, None, None, p), strict=True):
-                                    x.append(v)
-                            else:
-                                total += n
-                # A row's own line: its key meets no pre-token, since none holds a line feed.
-                for x, v in zip(out, (row, doc, len((t or "").encode()), total, f"\n{row}"), strict=True):
-                    x.append(v)
-                if len(out[0]) >= 50_000:
-                    yield flush()
-        if out[0]:
-            yield flush()
+        for whole in batches:
+            for at in range(0, whole.num_rows, PART_ROWS):
+                b = whole.slice(at, PART_ROWS)
+                rows, keys, sizes, totals = [], b.column(0), [], []
+                rare_rows, times, pretokens = [], [], []
+                for t in b.column(1).to_pylist():
+                    row += 1
+                    total = t.count("\n")
+                    for p, c in Counter(pretokens_of(t)).items():
+                        n = get(p)
+                        if n is None:
+                            rare_rows.append(row)
+                            times.append(c)
+                            pretokens.append(p)
+                        else:
+                            total += n * c
+                    rows.append(row)
+                    sizes.append(len(t.encode()))
+                    totals.append(total)
+                # A row's own line: its pre-token meets none, since none holds a line feed.
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), keys, pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([f"\n{r}" for r in rows], pa.string())], names)
+                nothing = pa.nulls(len(rare_rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(rare_rows, pa.int64()), nothing, nothing, pa.array(times, pa.int64()), pa.array(pretokens, pa.string())], names)
 
     parts = docs.select(F.col(key).cast("long"), text_or_empty(text)).mapInArrow(split, "row long, key long, n_bytes long, n long, pretoken string")
     rare = table.where(F.col("freq") < least).select("pretoken", F.col("n").alias("rare_n"))
-    joined = parts.join(rare, "pretoken", "left").select("row", "key", "n_bytes", F.coalesce("n", "rare_n").alias("n"))
+    joined = parts.join(rare, "pretoken", "left").select("row", "key", "n_bytes", (F.col("n") * F.coalesce("rare_n", F.lit(1))).alias("n"))
     summed = joined.groupBy("row").agg(F.max("key").alias(key), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return summed.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

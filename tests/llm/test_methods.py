@@ -67,8 +67,7 @@ def test_cached_ids_equal_the_library(text):
 @given(st.text(alphabet=" \n\tab.,1é日\u2581<s>", max_size=60))
 def test_pretoken_counts_add_up(text):
     path = vocabulary("piece_bpe_32k.model")
-    lines = token_counts.split_pretokens(text)
-    total = sum(sum(token_counts.count_pieces(path, line)) for line in lines) + max(0, len(lines) - 1)
+    total = sum(token_counts.count_pieces(path, token_counts.pretokens_of(text))) + text.count("\n")
     assert total == len(token_counts._model(path).encode(text))
 
 
@@ -143,6 +142,19 @@ def test_thresholds_follow_groups(spark):
     assert all(got[i] for i in range(300)) and all(got[1000 + i] for i in range(300)) and not got[5000]
 
 
+@pytest.mark.parametrize("hot", [0, 100, token_counts.HOT])
+def test_token_counts_equal_the_library(spark, texts, monkeypatch, hot):
+    """Through the join alone, through both, and with as many broadcast as in production."""
+    import sentencepiece
+
+    monkeypatch.setattr(token_counts, "HOT", hot)
+    path = vocabulary("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op9_token_counts"](spark, SF).collect()}
+    want = {i: (len(t.encode()), len(sp.encode(t))) for i, t in texts.items()}
+    assert got == {i: (b, n, n > 4096) for i, (b, n) in want.items()}
+
+
 # --- near copies ---
 
 
