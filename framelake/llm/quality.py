@@ -1,13 +1,17 @@
 """Quality rules whose thresholds follow each language and source.
 
-Texts give integer rates: symbols, repeated lines and repeated words per mille,
+Texts give integer rates: symbols, repeated lines and repeated words per 100,000,
 and a hundred times the mean word length. For each language and source a
 histogram on a grid of six significant binary digits counts the values of each
 rate. Such a sketch answers quantiles to one part in 32, and sketches merge by
-adding counts, so partial results combine in any order to the same sketch, and a
-group with fewer than ``FEW`` documents uses its language's merged sketch, or all.
-From the quartiles come Tukey's far fences, never closer to the quartile than
-``SLACK``. Rows meet their group's fences in a join.
+adding counts, so partial results combine in any order to the same sketch: those of a language's
+sources to the language's, and those to the sketch of all.
+
+A sketch's fence lies ``reach`` halves of the distance from its median to an upper quantile beyond that
+quantile; ``RULES`` names both for each rate. A group's fence is the mean of its own and its language's fence, the own
+weighing as many documents as it has and the other ``SHRINK``; likewise a language's and that of all. So small groups
+follow their language and large ones themselves, with no size where one turns into the other. Where nearly
+all values are zero the fence of the shares is at least ``FLOOR``. Rows meet their group's fences in a join.
 
 Only documents that pass the base rules enter the sketches. Everything is a
 DataFrame expression; the sketches hold at most a few thousand rows a group and
@@ -30,11 +34,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
-#: Documents below which a group takes the fences of its language, then of all.
-FEW = 200
-#: A fence lies REACH interquartile ranges beyond the quartile, SLACK at least.
-REACH = 3
-SLACK = {"symbol_rate": 250, "line_rate": 300, "repeat_rate": 200, "word_length": 400}
+#: Quantile in per cent and reach of each rate's fence. Mean word lengths have a fence below as well, mirrored.
+RULES = {"symbol_rate": (95, 1), "line_rate": (99, 1), "repeat_rate": (99, 1), "word_length": (90, 6)}
+#: Documents that the parent's fence weighs, and the least fence of a share (5 %).
+SHRINK, FLOOR = 200, 5_000
 
 
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -76,9 +79,9 @@ def grid(value: Column) -> Column:
 
 def _rates() -> dict[str, Column]:
     return {
-        "symbol_rate": F.expr("n_symbols * 1000 div greatest(n_words, 1)"),
-        "line_rate": F.expr("n_dup_lines * 1000 div greatest(n_lines, 1)"),
-        "repeat_rate": F.expr("n_repeat_words * 1000 div greatest(n_words, 1)"),
+        "symbol_rate": F.expr("n_symbols * 100000 div greatest(n_words, 1)"),
+        "line_rate": F.expr("n_dup_lines * 100000 div greatest(n_lines, 1)"),
+        "repeat_rate": F.expr("n_repeat_words * 100000 div greatest(n_words, 1)"),
         "word_length": F.expr("word_chars * 100 div greatest(n_words, 1)"),
     }
 
@@ -91,35 +94,35 @@ def group_sketches(features: DataFrame) -> DataFrame:
 
 
 def fences(sketches: DataFrame) -> DataFrame:
-    """Low and high fence for each (lang, source, rate), from the smallest merged sketch that has enough rows.
-
-    ``level`` is 0 for a group's own sketch, 1 for its language, 2 for all.
-    """
+    """Low and high fence for each (lang, source, rate), and ``n``, the documents of its own sketch."""
     groups = sketches.select("lang", "source").distinct()
     levels = F.array(
         F.struct(F.lit(0).alias("level"), F.col("lang").alias("at_lang"), F.col("source").alias("at_source")),
         F.struct(F.lit(1).alias("level"), F.col("lang").alias("at_lang"), F.lit(None).cast("string").alias("at_source")),
         F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("at_lang"), F.lit(None).cast("string").alias("at_source")),
     )
-    merged = sketches.select("*", F.inline(levels)).groupBy("level", "at_lang", "at_source", "rate", "value").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("level", "at_lang", "at_source", "rate").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("level", "at_lang", "at_source", "rate")
-    ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(whole))
-    quartiles = ranked.groupBy("level", "at_lang", "at_source", "rate").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("value"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("value"))).alias("q3"),
-    )
-    slack = F.create_map(*(F.lit(x) for kv in SLACK.items() for x in kv))[F.col("rate")]
-    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)
-    limits = quartiles.withColumn("low", F.col("q1") - reach).withColumn("high", F.col("q3") + reach)
-    usable = limits.where((F.col("level") == 2) | (F.col("total") >= FEW))
-    met = groups.select("lang", "source", F.inline(levels)).join(
-        usable.select(F.col("level").alias("l"), F.col("at_lang").alias("al"), F.col("at_source").alias("as_"), "rate", "low", "high"),
-        (F.col("level") == F.col("l")) & F.col("at_lang").eqNullSafe(F.col("al")) & F.col("at_source").eqNullSafe(F.col("as_")),
-    )
-    best = met.groupBy("lang", "source", "rate").agg(F.min(F.struct("level", "low", "high")).alias("f"))
-    return best.select("lang", "source", "rate", "f.level", "f.low", "f.high")
+    keys = ["level", "at_lang", "at_source", "rate"]
+    merged = sketches.select("*", F.inline(levels)).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    by_rate = lambda place: F.create_map(*(F.lit(x) for rate, rule in RULES.items() for x in (rate, rule[place])))[F.col("rate")]
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("value")))
+    ranked = ranked.withColumn("percent", by_rate(0))
+    quantiles = ranked.groupBy(*keys).agg(F.max("total").alias("total"), at(100 - F.col("percent")).alias("less"), at(F.lit(50)).alias("middle"), at(F.col("percent")).alias("more")).withColumn("reach", by_rate(1))
+    own = quantiles.select(
+        F.col("level").alias("l"), F.col("at_lang").alias("al"), F.col("at_source").alias("as_"), "rate", "total",
+        F.expr("greatest(less - reach * (middle - less) div 2, 0)").alias("low"), F.expr("more + reach * (more - middle) div 2").alias("high"),
+    )
+    met = groups.select("lang", "source", F.inline(levels)).join(own, (F.col("level") == F.col("l")) & F.col("at_lang").eqNullSafe(F.col("al")) & F.col("at_source").eqNullSafe(F.col("as_")))
+    pick = lambda c, level: F.max(F.when(F.col("level") == level, F.col(c))).alias(f"{c}{level}")
+    wide = met.groupBy("lang", "source", "rate").agg(*(pick(c, level) for c in ("total", "low", "high") for level in range(3)))
+
+    def shrunk(c: str) -> Column:
+        language = f"((total1 * {c}1 + {SHRINK} * {c}2) div (total1 + {SHRINK}))"
+        return F.expr(f"(total0 * {c}0 + {SHRINK} * {language}) div (total0 + {SHRINK})")
+
+    least = F.when(F.col("rate") == "word_length", 0).otherwise(FLOOR)
+    return wide.select("lang", "source", "rate", F.col("total0").alias("n"), shrunk("low").alias("low"), F.greatest(shrunk("high"), least).alias("high"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -132,11 +135,11 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     features = materialise(df.withColumn("base_failed", failed), "quality")
     limits = fences(group_sketches(features)).groupBy("lang", "source").agg(
-        *(F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{r}_{side}") for r in SLACK for side in ("low", "high"))
+        *(F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{r}_{side}") for r in RULES for side in ("low", "high"))
     )
-    limits = broadcast_if_small(materialise(limits, "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in SLACK for s in ("low", "high"))))
+    limits = broadcast_if_small(materialise(limits, "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RULES for s in ("low", "high"))))
     rates = _rates()
-    inside = [rates[r] <= F.col(f"{r}_high") for r in SLACK] + [rates["word_length"] >= F.col("word_length_low")]
+    inside = [rates[r] <= F.col(f"{r}_high") for r in RULES] + [rates["word_length"] >= F.col("word_length_low")]
     good = inside[0]
     for x in inside[1:]:
         good = good & x

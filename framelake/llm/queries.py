@@ -143,20 +143,23 @@ f AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(transla
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM x LEFT JOIN rep USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-rates AS (SELECT *, n_symbols * 1000 // greatest(n_words, 1) AS symbol_rate, n_dup_lines * 1000 // greatest(n_lines, 1) AS line_rate,
-    n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM b),
+rates AS (SELECT *, n_symbols * 100000 // greatest(n_words, 1) AS symbol_rate, n_dup_lines * 100000 // greatest(n_lines, 1) AS line_rate,
+    n_repeat_words * 100000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM b),
 long AS (SELECT lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate,
     unnest([symbol_rate, line_rate, repeat_rate, word_length]) AS v FROM rates WHERE NOT base_failed),
 grid AS (SELECT lang, source, rate, (v // (1 << greatest(length(bin(v)) - 6, 0))::BIGINT) * (1 << greatest(length(bin(v)) - 6, 0))::BIGINT AS v FROM long),
 lev AS (SELECT 0 AS level, lang, source, rate, v FROM grid UNION ALL SELECT 1, lang, NULL, rate, v FROM grid UNION ALL SELECT 2, NULL, NULL, rate, v FROM grid),
 cell AS (SELECT level, lang, source, rate, v, count(*) AS n FROM lev GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM cell),
-q AS (SELECT level, lang, source, rate, max(total) AS total, min(v) FILTER (upto * 4 >= total) AS q1, min(v) FILTER (upto * 4 >= total * 3) AS q3 FROM cum GROUP BY ALL),
-lim AS (SELECT level, lang, source, rate, q1 - greatest(3 * (q3 - q1), s) AS low, q3 + greatest(3 * (q3 - q1), s) AS high
-    FROM q JOIN (VALUES ('symbol_rate', 250), ('line_rate', 300), ('repeat_rate', 200), ('word_length', 400)) t(rate, s) USING (rate) WHERE level = 2 OR total >= 200),
+q AS (SELECT level, lang, source, rate, max(total) AS total, any_value(reach) AS reach, min(v) FILTER (upto * 100 >= total * (100 - p)) AS less,
+    min(v) FILTER (upto * 100 >= total * 50) AS middle, min(v) FILTER (upto * 100 >= total * p) AS more
+    FROM cum JOIN (VALUES ('symbol_rate', 95, 1), ('line_rate', 99, 1), ('repeat_rate', 99, 1), ('word_length', 90, 6)) t(rate, p, reach) USING (rate) GROUP BY ALL),
+lim AS (SELECT level, lang, source, rate, total, greatest(less - reach * (middle - less) // 2, 0) AS low, more + reach * (more - middle) // 2 AS high FROM q),
 grp AS (SELECT DISTINCT lang, source FROM long),
-pick AS (SELECT g.lang, g.source, l.rate, arg_min(l.low, l.level) AS low, arg_min(l.high, l.level) AS high FROM grp g JOIN lim l
-    ON (l.level = 2 OR l.lang IS NOT DISTINCT FROM g.lang) AND (l.level > 0 OR l.source IS NOT DISTINCT FROM g.source) GROUP BY ALL),
+pick AS (SELECT g.lang, g.source, a.rate, (a.total * a.low + 200 * ((b.total * b.low + 200 * c.low) // (b.total + 200))) // (a.total + 200) AS low,
+    greatest((a.total * a.high + 200 * ((b.total * b.high + 200 * c.high) // (b.total + 200))) // (a.total + 200), CASE WHEN a.rate = 'word_length' THEN 0 ELSE 5000 END) AS high
+    FROM grp g JOIN lim a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source
+    JOIN lim b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM g.lang AND b.rate = a.rate JOIN lim c ON c.level = 2 AND c.rate = a.rate),
 bad AS (SELECT r.lang, r.source, r.doc_id, r.symbol_rate, r.line_rate, r.repeat_rate, r.word_length FROM rates r JOIN pick p
     ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source
     WHERE (p.rate = 'symbol_rate' AND r.symbol_rate > p.high) OR (p.rate = 'line_rate' AND r.line_rate > p.high)

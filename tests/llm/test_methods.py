@@ -155,6 +155,20 @@ def test_token_counts_equal_the_library(spark, texts, monkeypatch, hot):
     assert got == {i: (b, n, n > 4096) for i, (b, n) in want.items()}
 
 
+def test_fences_follow_language_and_source(spark):
+    """On sf0.1 nearly every group has fences of its own, and a group of few documents is close to its language's."""
+    found = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    limits = defaultdict(dict)
+    for r in quality.fences(quality.group_sketches(found)).collect():
+        limits[r["rate"]][r["lang"], r["source"]] = (r["low"], r["high"])
+    for rate, by_group in limits.items():
+        assert len({high for _, high in by_group.values()}) >= len(by_group) / 4, rate
+    assert len({low for low, _ in limits["word_length"].values()}) > 4
+    groups = [(lang, "large", "word_length", v, 1000) for lang, v in (("a", 400), ("a", 420), ("b", 800), ("b", 840))] + [("a", "small", "word_length", 2000, 2)]
+    got = {(r["lang"], r["source"]): r["high"] for r in quality.fences(spark.createDataFrame(groups, "lang string, source string, rate string, value long, n long")).collect()}
+    assert got["a", "large"] < got["a", "small"] < 1000 and got["b", "large"] > got["a", "large"] + 200
+
+
 # --- near copies ---
 
 
