@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import broadcast_if_small
-from framelake.session import materialise
+from framelake.session import materialise, release
 
 #: Characters, of any script, that end a line where spaces follow: by their number, as that costs one table look-up each.
 ENDING = re.escape("".join(chr(c) for c in range(33, 0x10000) if c % 5 == 1 and not 0xD800 <= c < 0xE000))
@@ -42,7 +42,7 @@ CUT = re.compile(rf"([{ENDING}.!?] +|\n)")
 #: lines of a chunk; and words that a removed run has at least.
 APART, LEAST, MOST, LEAST_WORDS = 1, 2, 32, 25
 #: Lines by which a hit may grow to either side.
-GROW = 16
+GROW = 12
 #: Rows of an Arrow batch that are lists at one time.
 PART_ROWS = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -115,13 +115,13 @@ def chunk_table(texts: DataFrame) -> DataFrame:
 
 def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
     """Rows (hash, chunk, before, after): the text of each repeated chunk at its first place, and the lines around it."""
-    wanted = firsts.groupBy("at_doc").agg(F.collect_list("at_first").alias("places"))  # a document's own chunks
+    wanted = firsts.groupBy("at_doc").agg(F.collect_list(F.struct("at_first", "low", "high")).alias("places"))  # a document's own chunks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
             hashes, chunks, before, after = [], [], [], []
             texts = [lines_of(t) for t in b.column(0).to_pylist()]
-            places = [set(p) for p in b.column(1).to_pylist()]
+            places = [{p["at_first"]: (p["low"], p["high"]) for p in own} for own in b.column(1).to_pylist()]
             text = -1
             for k, first, n, h in zip(*(x.tolist() for x in chunks_of(texts)), strict=True):
                 if first not in places[k]:
@@ -130,8 +130,9 @@ def _first_texts(texts: DataFrame, firsts: DataFrame) -> DataFrame:
                     text, bare = k, [x.strip() for x in texts[k]]
                 hashes.append(h)
                 chunks.append("\n".join(bare[first : first + n]))
-                before.append("\n".join(bare[max(0, first - GROW) : first]))
-                after.append("\n".join(bare[first + n : first + n + GROW]))
+                low, high = places[k][first]
+                before.append("\n".join(bare[max(0, first - GROW) : first]) if low else "")
+                after.append("\n".join(bare[first + n : first + n + GROW]) if high else "")
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *(pa.array(x, pa.string()) for x in (chunks, before, after))], ["hash", "chunk", "before", "after"])
 
     met = texts.join(broadcast_if_small(materialise(wanted, "wanted")), F.col("doc_id") == F.col("at_doc")).select("text", "places")
@@ -192,18 +193,19 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     chunks = materialise(chunk_table(texts), "chunks")
     # Written, so that a frequent chunk's partition of the next join can be split.
     repeated = materialise(chunks.groupBy("hash").agg(F.min("doc_id").alias("at_doc"), F.count("*").alias("times")).where("times > 1").select("hash", "at_doc"), "repeated")
-    hits = materialise(chunks.join(repeated, "hash"), "hits")
-    firsts = materialise(hits.where("doc_id = at_doc").groupBy("hash", "at_doc").agg(F.min("first").alias("at_first")), "firsts")
-    bodies = _first_texts(texts, firsts).join(firsts.select(F.col("hash").alias("h"), "at_first"), F.col("hash") == F.col("h")).drop("h")
-    bodies = materialise(bodies, "bodies")
-    # Hits side by side cover what is between them: only the ends of a row of hits carry the lines around.
+    # Hits side by side cover what is between them: only at the ends of a row of hits do the lines around count.
     own = Window.partitionBy("doc_id").orderBy("first")
     other = F.col("doc_id") != F.col("at_doc")
     open_low = ~F.coalesce(F.lag(F.when(other, F.col("first") + F.col("n"))).over(own) == F.col("first"), F.lit(False))
     open_high = ~F.coalesce(F.lead(F.when(other, F.col("first"))).over(own) == F.col("first") + F.col("n"), F.lit(False))
-    edged = hits.select("*", open_low.alias("open_low"), open_high.alias("open_high"))
-    later = edged.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
-    later = later.withColumn("before", F.when(F.col("open_low"), F.col("before")).otherwise("")).withColumn("after", F.when(F.col("open_high"), F.col("after")).otherwise(""))
+    hits = materialise(chunks.join(repeated, "hash").select("*", open_low.alias("low"), open_high.alias("high")), "hits")
+    release(chunks, repeated)
+    at_first = F.min(F.when(~other, F.col("first"))).alias("at_first")
+    firsts = materialise(hits.groupBy("hash", "at_doc").agg(at_first, F.max("low").alias("low"), F.max("high").alias("high")), "firsts")
+    places = firsts.select(F.col("hash").alias("h"), "at_first")
+    bodies = materialise(_first_texts(texts, firsts).join(places, F.col("hash") == F.col("h")).drop("h"), "bodies")
+    later = hits.join(bodies, "hash").where("doc_id <> at_doc OR first <> at_first")
+    later = later.withColumn("before", F.when(F.col("low"), F.col("before")).otherwise("")).withColumn("after", F.when(F.col("high"), F.col("after")).otherwise(""))
     marks = later.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", "chunk", "before", "after")).alias("marks")).withColumnRenamed("doc_id", "mark_doc")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"))
     met = rows.join(marks, F.col("doc_id") == F.col("mark_doc"), "left").select("row", "marks")

@@ -9,7 +9,8 @@ backoff. As logarithms the two differ by
     log p(w | v, toxic) - log p(w | v, ordinary) = A(v) + B(w) + C(v, w),
 
 of the backoff weights of v, of the backed-off probabilities of w, and of a pair that was seen. So the model is one
-table of keys with a value each, and the difference of a text is a sum over the keys of its tokens.
+table of keys, of words (B + A, as each word but the last is on both sides) and of pairs (C), and the difference of a text is a
+sum over its keys.
 
 Plain sums drown a few telling words in the noise of many rare ones. So the sum is kept in two parts: the
 expressions that training texts tell apart (smoothed counts differ by ``NATS`` or more, where both classes together
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import broadcast_if_small, text_or_empty
-from framelake.session import materialise
+from framelake.session import materialise, release
 
 #: Letters and digits.
 TOKEN = re.compile(r"[^\W_]+")
@@ -53,7 +54,7 @@ NATS, PRIOR = 1.0, 2.0
 FIT_ROWS, FIT_FOLD = 20_000, 1
 FOLDS = 5
 #: Most words and keys that are broadcast, and the size of the filter.
-HOT_WORDS, HOT, FILTER_BITS = 1 << 17, 1 << 18, 1 << 27
+HOT_WORDS, HOT, FILTER_BITS = 1 << 17, 1 << 19, 1 << 27
 #: Texts that one step of a worker holds.
 PART_ROWS = 1000
 
@@ -88,8 +89,8 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _hash_long(right, _hash_long(left, np.full(len(left), 42, dtype=np.uint64)))
 
 
-#: Second numbers of the keys of a word as such and of a word that another follows; pairs have a word's hash there.
-AS_WORD, AS_LEFT = 1, 2
+#: Second numbers of the keys of a word, and of the last word of a text, whose A does not count; pairs have a word's hash there.
+AS_WORD, AS_LAST = 1, 2
 
 
 def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,8 +163,8 @@ def frequent(table: DataFrame, most: int) -> int:
     return least
 
 
-def model(pairs: DataFrame) -> tuple[DataFrame, float] | None:
-    """Rows (key, told, other, freq) of the model, and the value of a word that it has not.
+def model(pairs: DataFrame) -> tuple[DataFrame, float, float] | None:
+    """Rows (key, told, other, freq) of the model, the value of a word that it has not, and that of a text's start.
 
     None without training texts of both classes.
     """
@@ -175,7 +176,7 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float] | None:
     some = lambda c: F.count_if(F.col(c) > 0)
     sums = [F.sum(c).alias(c) for c in ("toxic_w", "plain_w", "toxic_v", "plain_v")]
     kinds = [some(c).alias(n) for c, n in (("toxic_w", "tt"), ("plain_w", "to"), ("toxic_v", "kt"), ("plain_v", "ko"))]
-    words = materialise(sides.groupBy("word").agg(*sums, *kinds, F.count_if("as_word").alias("ts")), "words")
+    words = counted = materialise(sides.groupBy("word").agg(*sums, *kinds, F.count_if("as_word").alias("ts")), "words")
     total = words.agg(*(F.sum(c).alias(c) for c in ("toxic_w", "plain_w", "tt", "to", "ts")), *(some(c).alias(f"u_{c}") for c in ("tt", "to", "ts"))).first()
     if not total["tt"] or not total["to"]:
         return None
@@ -186,26 +187,33 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float] | None:
     share, tokens = total["tt"] / (total["tt"] + total["to"]), total["toxic_w"] / (total["toxic_w"] + total["plain_w"])
     words = words.withColumn("freq", F.col("toxic_w") + F.col("plain_w") + F.col("toxic_v") + F.col("plain_v"))
 
-    def entry(key: Column, value: Column, told: Column, freq: Column, *, instead: float = 0.0) -> list[Column]:
-        return [key.alias("key"), F.when(told, value).otherwise(0.0).cast("float").alias("told"), (F.when(told, 0.0).otherwise(value) - instead).cast("float").alias("other"), freq.alias("freq")]
+    def entry(key: Column, told: Column | float, other: Column, freq: Column) -> list[Column]:
+        told = told if isinstance(told, Column) else F.lit(told)
+        return [key.alias("key"), told.cast("float").alias("told"), other.cast("float").alias("other"), freq.alias("freq")]
 
     # Enough distinct words before it or enough occurrences: the last word of a fixed expression has one word before it.
     ratio = F.log("pt") - F.log("po")
-    told = ((F.abs(_smoothed(F.col("tt"), F.col("to"), share)) >= NATS) | (F.abs(_smoothed(F.col("toxic_w"), F.col("plain_w"), tokens)) >= NATS)) & (F.abs(ratio) >= NATS)
-    alone = words.where("ts > 0").select(*entry(F.xxhash64("word", F.lit(AS_WORD).cast("long")), ratio, told, F.col("toxic_w") + F.col("plain_w"), instead=unseen))
+    tells = ((F.abs(_smoothed(F.col("tt"), F.col("to"), share)) >= NATS) | (F.abs(_smoothed(F.col("toxic_w"), F.col("plain_w"), tokens)) >= NATS)) & (F.abs(ratio) >= NATS)
     weight = lambda k, n: F.when(F.col(n) > 0, F.log(DISCOUNT * F.col(k) / F.col(n))).otherwise(0.0)
-    left = words.where("toxic_v + plain_v > 0").select(*entry(F.xxhash64("word", F.lit(AS_LEFT).cast("long")), weight("kt", "toxic_v") - weight("ko", "plain_v"), F.lit(False), F.col("toxic_v") + F.col("plain_v")))
+    left = weight("kt", "toxic_v") - weight("ko", "plain_v")
+    start = words.where("word = 0").select(left.alias("a")).first()["a"]
+    freq = F.col("toxic_w") + F.col("plain_w")
+    known = words.where("ts > 0")
+    alone = known.select(*entry(F.xxhash64("word", F.lit(AS_WORD).cast("long")), F.when(tells, ratio).otherwise(0.0), F.when(tells, 0.0).otherwise(ratio) - unseen + left, freq))
+    last = known.where(left != 0).select(*entry(F.xxhash64("word", F.lit(AS_LAST).cast("long")), 0.0, -left, F.lit(1).cast("long")))
 
     lefts, rights = words.select(F.col("word").alias("v_"), "kt", "ko"), words.select(F.col("word").alias("w_"), "pt", "po")
     least = frequent(words, HOT_WORDS)
     hot_left, hot_right = (F.broadcast(x) for x in (words.where(F.col("freq") >= least).select(F.col("word").alias("v_"), "kt", "ko"), words.where(F.col("freq") >= least).select(F.col("word").alias("w_"), "pt", "po")))
     met = pairs.join(hot_left, F.col("v") == F.col("v_"), "left").join(hot_right, F.col("w") == F.col("w_"), "left")
-    known = F.col("kt").isNotNull() & F.col("pt").isNotNull()
-    rare = met.where(~known).select("v", "w", "toxic", "plain").join(lefts, F.col("v") == F.col("v_")).join(rights, F.col("w") == F.col("w_"))
+    warm = F.col("kt").isNotNull() & F.col("pt").isNotNull()
+    rare = met.where(~warm).select("v", "w", "toxic", "plain").join(lefts, F.col("v") == F.col("v_")).join(rights, F.col("w") == F.col("w_"))
     gain = lambda c, k, p: F.when(F.col(c) > 0, F.log1p((F.col(c) - DISCOUNT) / (DISCOUNT * F.col(k) * F.col(p)))).otherwise(0.0)
-    both = entry(F.xxhash64("v", "w"), gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS, F.col("toxic") + F.col("plain"))
-    doubles = met.where(known).select(*both).unionByName(rare.select(*both))
-    return alone.unionByName(left).unionByName(doubles), unseen
+    value, tells = gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS
+    both = entry(F.xxhash64("v", "w"), F.when(tells, value).otherwise(0.0), F.when(tells, 0.0).otherwise(value), F.col("toxic") + F.col("plain"))
+    entries = materialise(alone.unionByName(last).unionByName(met.where(warm).select(*both)).unionByName(rare.select(*both)), "model")
+    release(counted)
+    return entries, unseen, start
 
 
 def key_filter(entries: DataFrame) -> np.ndarray | None:
@@ -235,7 +243,7 @@ def key_filter(entries: DataFrame) -> np.ndarray | None:
 # --- scores ---
 
 
-def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, start: float = 0.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id``, ``text_hash``, ``n`` words, and the log-likelihood difference in its two parts ``told`` and ``other``."""
     base = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), text_or_empty(text).alias("t"))
     if entries is None:
@@ -244,7 +252,8 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, ke
     hot = entries.where(F.col("freq") >= least).select("key", "told", "other").orderBy("key").toPandas()  # HOT rows at most
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((hot["key"].to_numpy(np.int64), hot["told"].to_numpy(float), hot["other"].to_numpy(float), key_filter(entries)))
-    names = ["row", "key", "doc_id", "text_hash", "n", "told", "other"]
+    names = ["row", "key", "base"]
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("told", pa.float64()), ("other", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_told, hot_other, bits = shared.value
@@ -266,34 +275,36 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, ke
         for b in _parts(batches):
             hashes, words, text, before = tokenised(b.column(2).to_pylist())
             number = lambda n: np.full(len(hashes), n, dtype=np.uint64)
-            alone, lefts = (mixed(hashes, number(n)) for n in (AS_WORD, AS_LEFT))
-            pairs = mixed(hashes[before], hashes[words])
-            told, other, cold_keys, cold_rows = np.zeros(b.num_rows), np.zeros(b.num_rows), [], []
-            for keys, at in ((alone, words), (lefts, before), (pairs, None)):
-                a, c, sought = look(keys)
-                if at is not None:
-                    keys, a, c, sought = keys[at], a[at], c[at], sought[at]
-                told += np.bincount(text, weights=a, minlength=b.num_rows)
-                other += np.bincount(text, weights=c, minlength=b.num_rows)
-                cold_keys.append(keys[sought].view(np.int64))
-                cold_rows.append(text[sought])
             n = np.bincount(text, minlength=b.num_rows)
+            ends = np.cumsum(n)[n > 0] - 1
+            # Keys once for a batch: all words, the last words of texts, and the distinct pairs.
+            pair, at, which = np.unique(before * len(hashes) + words, return_index=True, return_inverse=True)
+            sides = ((mixed(hashes, number(AS_WORD)), words, text), (mixed(hashes, number(AS_LAST)), words[ends], text[ends]), (mixed(hashes[before[at]], hashes[words[at]]), which, text))
+            told, other, cold_keys, cold_rows = np.zeros(b.num_rows), n * unseen + np.where(n > 0, start, 0.0), [], []
+            for keys, at, of in sides:
+                a, c, sought = look(keys)
+                told += np.bincount(of, weights=a[at], minlength=b.num_rows)
+                other += np.bincount(of, weights=c[at], minlength=b.num_rows)
+                sought = sought[at]
+                cold_keys.append(keys[at[sought]].view(np.int64))
+                cold_rows.append(of[sought])
             rows = row + np.arange(b.num_rows)
             row += b.num_rows
+            values = (b.column(0), b.column(1), n.astype(np.int64), told, other)
+            base = pa.StructArray.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], fields=[pa.field(*f) for f in fields])
             # A row's own line meets no entry: it has no key.
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(b.num_rows, pa.int64()), b.column(0), b.column(1), pa.array(n.astype(np.int64)), pa.array(told), pa.array(other + n * unseen)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.nulls(b.num_rows, pa.int64()), base], names)
             cold, at = np.concatenate(cold_keys), rows[np.concatenate(cold_rows)]
-            nothing = [pa.nulls(len(cold), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cold), *nothing], names)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cold), pa.nulls(len(cold), base.type)], names)
 
-    lines = base.mapInArrow(run, "row long, key long, doc_id long, text_hash long, n long, told double, other double")
+    lines = base.mapInArrow(run, "row long, key long, base struct<doc_id:long,text_hash:long,n:long,told:double,other:double>")
     model_of = entries.where(F.col("freq") < least).select(F.col("key").alias("k"), F.col("told").alias("k_told"), F.col("other").alias("k_other"))
     # Lines without a key are dealt by their row.
-    dealt = lines.withColumn("spot", F.coalesce("key", F.xxhash64("row")))
+    dealt = lines.withColumn("spot", F.coalesce("key", F.xxhash64("row"))).drop("key")
     met = dealt.join(model_of, F.col("spot") == F.col("k"), "left")
-    own = F.col("key").isNull()
-    value = lambda c: F.sum(F.when(own, F.col(c)).otherwise(F.coalesce(F.col(f"k_{c}").cast("double"), F.lit(0.0)))).alias(c)
-    found = met.where(own | F.col("k").isNotNull()).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("text_hash").alias("text_hash"), F.max("n").alias("n"), value("told"), value("other"))
+    own = F.col("base").isNotNull()
+    value = lambda c: F.sum(F.when(own, F.col(f"base.{c}")).otherwise(F.coalesce(F.col(f"k_{c}").cast("double"), F.lit(0.0)))).alias(c)
+    found = met.where(own | F.col("k").isNotNull()).groupBy("row").agg(*(F.max(f"base.{c}").alias(c) for c in ("doc_id", "text_hash", "n")), value("told"), value("other"))
     return found.select("doc_id", "text_hash", "n", "told", "other")
 
 
@@ -319,11 +330,14 @@ def fit_curve(told: np.ndarray, other: np.ndarray, n: np.ndarray, label: np.ndar
 def score_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ``held_out``, ``score``, ``predicted``, and the evidence it rests on."""
     rows = training_rows(docs.select(F.col(key), F.col(text).alias("text")), labels, key)
-    found = model(materialise(count_pairs(rows), "pairs"))
+    pairs = materialise(count_pairs(rows), "pairs")
+    found = model(pairs)
+    release(pairs)
     if found is None:
         scored = evidence(docs, None, key=key, text=text).withColumn("score", F.lit(0.0))
     else:
-        scored = materialise(evidence(docs, materialise(found[0], "model"), found[1], key, text), "evidence")
+        scored = materialise(evidence(docs, *found, key, text), "evidence")
+        release(found[0])
         known = labelled(labels, "doc_id" if key not in labels.columns else key, "toxic")
         fit = scored.join(known, F.col("doc_id") == F.col("known_id")).where(fold(F.col("doc_id")) != 0)
         # The fold that was not counted; where it has not both classes, all training rows.
