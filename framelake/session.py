@@ -45,9 +45,21 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage and lets several consumers share one computation; it
-    survives lost executors because the files are in shared storage.
+    survives lost executors because the files are in shared storage. The shuffle
+    files of the steps before are then of no use: a collection on the driver lets Spark remove them.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    written = spark.read.schema(df.schema).parquet(path)
+    written.framelake_path = path
+    return written
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialise`` wrote, once all that reads them has been written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.framelake_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
