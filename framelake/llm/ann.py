@@ -4,24 +4,25 @@ Vectors gain one component that makes all lengths equal, so the largest inner
 product is the least distance. A Gaussian (2-stable) projection to ``DIMS`` dimensions
 keeps distances in this sense: the squared projected distance of a pair, over its squared
 distance, is chi-square with ``DIMS`` degrees of freedom. A kd-tree over the
-projections of a bounded sample (``SAMPLE`` rows) sets at most ``MAX_CELLS`` cells; every
-row is indexed in a cell, and a cell with many rows is dealt over blocks of about
-``BLOCK`` rows.
+projections of a bounded sample (``SAMPLE`` rows) sets at most ``MAX_CELLS`` cells, of ``LEAST_CELL`` to
+``BLOCK`` rows where that allows; every row is indexed in a cell, and a cell with more rows is dealt over blocks.
 
-A query first visits one block of its own cell. Then it visits the cells, and in a block the
-leaves of a local kd-tree, in the order of their least projected distance, and
-verifies their rows by exact inner products. It stops where the chi-square test holds:
-a row at the k-th best distance found so far would project at least as far as
-all that is left with probability 1 - ``CONFIDENCE`` at most. So each true neighbour
-is found with probability ``CONFIDENCE`` or more.
+A query takes its projected neighbours one after the other, in the order of their projected distance: leaves of a
+block's kd-tree open in the order of their distance, and a row is verified by its exact inner product
+once no closed leaf can hold a nearer one. It stops where the chi-square test holds: a row as near as the k-th best
+found so far would project nearer than what is left with probability ``CONFIDENCE`` or more. So each true neighbour
+is found with that probability at least. A query first visits a block of its own cell; the best found there bound
+the cells and rows that it takes elsewhere by the same test. How many rows it stops after depends on the data: where all
+distances are alike it is many. ``verified`` counts them.
 
 Of equal vectors in a block only the k + 1 with the least ids can be among a query's k
 nearest; the others are passed over, which keeps copies cheap and loses nothing.
 
-Defined results: vectors that are null, all zero, of another length than most, or that
+Defined results: vectors that are null, all zero, or that
 hold null or non-finite components take no part, as queries or candidates, nor do rows with a null
-id; a query with fewer candidates gets them all; ties go to the smaller id; rows that repeat an id
-are candidates each on its own, but not of that id's query; an empty table gives no rows.
+id; vectors of another length are neighbours of each other only; a query with fewer candidates gets them
+all; ties go to the smaller id; rows that repeat an id are candidates each on its own, but not of that id's query; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +38,16 @@ from pyspark.sql import functions as F
 
 from framelake.session import materialise
 
-DIMS = 8
+DIMS = 24
 SAMPLE = 16_384
 MAX_CELLS = 1024
-BLOCK = 8192
-LEAF = 64
-CONFIDENCE = 0.97
+LEAST_CELL, BLOCK = 256, 8192
+#: Cells that a table has at least, where it has rows for them.
+SPREAD = 16
+LEAF = 32
+#: Rows verified between two tests.
+STEP = 64
+CONFIDENCE = 0.85
 
 
 def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -55,6 +60,15 @@ def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
     return 1 - np.exp(-half) * total
 
 
+def chi_square_value(share: float, dims: int = DIMS) -> float:
+    """Where the distribution function reaches a share."""
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (low, middle) if chi_square(np.array(middle), dims) >= share else (middle, high)
+    return high
+
+
 def split_cells(points: np.ndarray, leaf: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[tuple]]:
     """kd-tree by medians of the widest dimension: rows of each leaf, lower and upper corners, and the tree.
 
@@ -125,14 +139,11 @@ def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, vector: str, key: str) -> tuple[DataFrame, int]:
-    """Rows (vec_id, v) that take part, and their number of components."""
+def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
+    """Rows (vec_id, v) that take part."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)).where(sound)
-    rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = sorted(((r["count"], -r["n"]) for r in rows.groupBy(F.size("v").alias("n")).count().collect()), reverse=True)
-    dim = -sizes[0][1] if sizes else 0
-    return rows.where(F.size("v") == dim), dim
+    return rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
 
 
 def make_plan(rows: DataFrame, dim: int, seed: int = 42) -> tuple[Plan, int]:
@@ -142,7 +153,7 @@ def make_plan(rows: DataFrame, dim: int, seed: int = 42) -> tuple[Plan, int]:
     x = np.array(sample.tolist(), dtype=float).reshape(-1, dim)
     matrix = np.random.default_rng(seed).standard_normal((dim + 1, DIMS))
     plan = Plan(dim, float(stats["reach"] or 0.0), matrix, np.full((1, DIMS), -np.inf), np.full((1, DIMS), np.inf), [])
-    cells = min(MAX_CELLS, max(1, stats["n"] // BLOCK))
+    cells = min(MAX_CELLS, stats["n"] // min(BLOCK, max(LEAST_CELL, stats["n"] // SPREAD)))
     if len(x) and cells > 1:
         _, plan.low, plan.high, plan.nodes = split_cells(plan.project(x, query=False), max(1, len(x) // cells))
     return plan, stats["n"]
@@ -160,34 +171,49 @@ class Block:
         ids, x = ids[keep], x[keep]
         z = plan.project(x, query=False)
         leaves, _, _, _ = split_cells(z, LEAF)
-        self.reach, self.k = plan.reach, k
+        self.reach, self.k, self.cut = plan.reach, k, chi_square_value(CONFIDENCE)
         self.low = np.array([z[r].min(axis=0) for r in leaves])
         self.high = np.array([z[r].max(axis=0) for r in leaves])
         order = np.concatenate(leaves)
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.x, self.z = ids[order], x[order], z[order]
         self.ends = np.cumsum([0, *map(len, leaves)])
 
-    def search(self, query: int, q: np.ndarray, far: np.ndarray, floor: float) -> list[tuple[int, float]]:
-        """Up to k (id, inner product), best first; ``floor`` is the k-th best inner product known so far."""
+    def search(self, query: int, q: np.ndarray, z: np.ndarray, far: np.ndarray, floor: float) -> tuple[list[tuple[int, float]], int]:
+        """Up to k (id, inner product), best first, and the rows verified; ``floor`` is the k-th best inner product known so far."""
         turn = np.argsort(far, kind="stable")
-        length, at, step = q @ q + self.reach, 0, 4
+        length = q @ q + self.reach
+        # Squared projected distance from which on the test holds.
+        limit = self.cut * max(length - 2 * floor, 0) + 1e-12 * length if np.isfinite(floor) else np.inf
         rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
-        while at < len(turn):
-            if np.isfinite(floor) and far[turn[at]] > 0 and chi_square(far[turn[at]] / max(length - 2 * floor, 1e-300)) >= CONFIDENCE:
+        wait, away = np.empty(0, dtype=np.int64), np.empty(0)  # rows of open leaves, by projected distance
+        at, step, verified = 0, 2, 0
+        while True:
+            edge = far[turn[at]] if at < len(turn) else np.inf
+            ready = int(np.searchsorted(away, min(edge, limit), side="right"))
+            if ready:
+                new = wait[: min(ready, STEP)]
+                wait, away = wait[len(new) :], away[len(new) :]
+                verified += len(new)
+                rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.x[new] @ q])
+                if len(scores) > self.k:
+                    least = np.partition(scores, -self.k)[-self.k]
+                    near = scores >= least - 1e-9 * max(1.0, abs(least))
+                    rows, scores = rows[near], scores[near]
+                if len(scores) >= self.k:
+                    floor = max(floor, float(np.partition(scores, -self.k)[-self.k]))
+                    limit = self.cut * max(length - 2 * floor, 0) + 1e-12 * length
+            elif at == len(turn) or edge > limit:
                 break
-            new = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in turn[at : at + step]])
-            new = new[self.ids[new] != query]
-            rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.x[new] @ q])
-            if len(scores) > self.k:
-                least = np.partition(scores, -self.k)[-self.k]
-                near = scores >= least - 1e-9 * max(1.0, abs(least))
-                rows, scores = rows[near], scores[near]
-                floor = max(floor, float(least))
-            at += step
-            step *= 2
+            else:
+                new = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in turn[at : at + step]])
+                new = new[self.ids[new] != query]
+                wait, away = np.concatenate([wait, new]), np.concatenate([away, ((self.z[new] - z) ** 2).sum(axis=1)])
+                order = np.argsort(away, kind="stable")
+                wait, away = wait[order], away[order]
+                at, step = min(at + step, len(turn)), min(2 * step, 64)
         exact = (self.x[rows] * q).sum(axis=1)  # one order of summation for every row, so that equal rows tie
         best = np.lexsort((self.ids[rows], -exact))[: self.k]
-        return [(int(self.ids[rows[i]]), float(exact[i])) for i in best]
+        return [(int(self.ids[rows[i]]), float(exact[i])) for i in best], verified
 
 
 def _search(sides: DataFrame, plan: Plan, k: int) -> DataFrame:
@@ -217,16 +243,19 @@ def _search(sides: DataFrame, plan: Plan, k: int) -> DataFrame:
                     continue
                 for at in range(first, last, 1024):
                     q = x[at : min(last, at + 1024)]
-                    far = box_distances(plan.project(q, query=True), block.low, block.high)
+                    z = plan.project(q, query=True)
+                    far = box_distances(z, block.low, block.high)
                     for i in range(len(q)):
                         query = int(own[at + i])
-                        out += [(query, v, s) for v, s in block.search(query, q[i], far[i], float(floors[at + i]))]
+                        best, verified = block.search(query, q[i], z[i], far[i], float(floors[at + i]))
+                        # The first row of a query in a block tells what the block cost.
+                        out += [(query, v, s, 0 if j else verified) for j, (v, s) in enumerate(best)]
             if out:
-                q, v, s = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+                q, v, s, n = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64()), pa.array(n, pa.int64())], ["query_id", "vec_id", "score", "verified"])
 
     dealt = sides.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double, verified long")
 
 
 def index(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -241,11 +270,18 @@ def index(rows: DataFrame, plan: Plan) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest rows of every row whose id is divisible by ``every``: query_id, rank, vec_id, score."""
-    rows, dim = usable(vectors, vector, key)
-    spark = vectors.sparkSession
-    if not dim:
-        return spark.sql("SELECT CAST(0 AS BIGINT) query_id, 0 rank, CAST(0 AS BIGINT) vec_id, CAST(0 AS DOUBLE) score WHERE false")
+    """The k nearest rows of every row whose id is divisible by ``every``: query_id, rank, vec_id, score, and ``verified``,
+    the rows whose inner product the query took."""
+    rows = usable(vectors, vector, key)
+    found = vectors.sparkSession.sql("SELECT CAST(0 AS BIGINT) query_id, 0 rank, CAST(0 AS BIGINT) vec_id, CAST(0 AS DOUBLE) score, CAST(0 AS BIGINT) verified WHERE false")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())  # one, or a few
+    for dim in lengths:
+        part = _nearest(rows.where(F.size("v") == dim), dim, every, k)
+        found = part if len(lengths) == 1 else found.unionByName(part)
+    return found
+
+
+def _nearest(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
     plan, _ = make_plan(rows, dim)
     placed = materialise(index(rows, plan), "cells")
     counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most MAX_CELLS rows, or a few more
@@ -253,7 +289,7 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec
     for cell, n in counts.items():
         salts[cell] = -(-n // BLOCK)
     salt_of = F.element_at(F.lit([int(max(1, s)) for s in salts]), F.col("cell") + 1)
-    nothing = F.lit(float("-inf"))
+    nothing, cut = F.lit(float("-inf")), chi_square_value(CONFIDENCE)
     data = placed.select("cell", F.pmod(F.xxhash64("vec_id"), salt_of).cast("int").alias("salt"), F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", nothing.alias("floor"))
 
     def visits(found: bool):
@@ -271,8 +307,8 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec
                     floors = b.column("floor").to_numpy(zero_copy_only=False)
                     length = (x * x).sum(axis=1) + plan.reach
                     known = np.isfinite(floors)
-                    scale = np.where(known, np.maximum(length - 2 * np.where(known, floors, 0), 1e-300), 1.0)
-                    over = known[:, None] & (far > 0) & (chi_square(far / scale[:, None]) >= CONFIDENCE)
+                    limit = np.where(known, cut * np.maximum(length - 2 * np.where(known, floors, 0), 0) + 1e-12 * length, np.inf)
+                    over = far > limit[:, None]
                     which, cell = np.nonzero(~over & (salts > 0)[None, :])
                     times = salts[cell]
                     which, cell = np.repeat(which, times), np.repeat(cell, times)
@@ -296,5 +332,5 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec
     known = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("least", nothing).alias("floor"))
     second = _search(data.unionByName(known.mapInArrow(visits(True), kind)), plan, k)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    best = first.unionByName(second).withColumn("rank", F.row_number().over(order)).withColumn("verified", F.sum("verified").over(Window.partitionBy("query_id"))).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", "verified")

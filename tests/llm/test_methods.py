@@ -476,12 +476,14 @@ def test_cells_hold_their_points():
     assert all((where[r] == i).all() for i, r in enumerate(rows))
 
 
-def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", 64)
-    t = spark.read.parquet(f"{SF}/embeddings.parquet")
-    found = defaultdict(list)
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_stopping(spark, sf):
+    """Recall against brute force in production settings, and that the chi-square test stops before all rows are verified."""
+    t = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    found, verified = defaultdict(list), {}
     for r in ann.nearest(t).collect():
         found[r["query_id"]].append(r["vec_id"])
+        verified[r["query_id"]] = r["verified"]
     rows = [(r["vec_id"], r["embedding"]) for r in t.collect() if r["embedding"]]
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
     hits = total = 0
@@ -491,7 +493,25 @@ def test_recall(spark, monkeypatch):
         best = ids[np.lexsort((ids, -s))[:20]]
         hits += len({*best.tolist()} & {*found[int(ids[at])]})
         total += len(best)
-    assert hits >= 0.9 * total
+    share = sum(verified.values()) / len(verified) / len(ids)
+    print(f"{sf}: recall {hits / total:.3f}, {share:.2f} of all rows verified")
+    assert hits >= 0.9 * total and share < 0.75
+
+
+def test_near_neighbours_stop_early(spark):
+    """Where neighbours are much nearer than other rows, few rows are verified and nearly all neighbours found."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((200, 32))
+    x = np.concatenate([c + 0.05 * rng.standard_normal((25, 32)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    found, verified = defaultdict(set), {}
+    for r in ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+        verified[r["query_id"]] = r["verified"]
+    hits = sum(len((set(np.argsort(-(x @ x[q]), kind="stable")[:21].tolist()) - {q}) & found[q]) for q in found)
+    assert len(found) == 250 and hits >= 0.9 * 20 * 250
+    assert sum(verified.values()) < 0.1 * 250 * len(x)
 
 
 def test_pipeline(spark):
