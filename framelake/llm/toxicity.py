@@ -54,7 +54,7 @@ NATS, PRIOR = 1.0, 2.0
 FIT_ROWS, FIT_FOLD = 20_000, 1
 FOLDS = 5
 #: Most words and keys that are broadcast, and the size of the filter.
-HOT_WORDS, HOT, FILTER_BITS = 1 << 17, 1 << 19, 1 << 27
+HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 1 << 17, 1 << 27
 #: Texts that one step of a worker holds.
 PART_ROWS = 1000
 
@@ -249,9 +249,9 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, st
     if entries is None:
         return base.select("doc_id", "text_hash", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("told"), F.lit(0.0).alias("other"))
     least = frequent(entries, HOT)
-    hot = entries.where(F.col("freq") >= least).select("key", "told", "other").orderBy("key").toPandas()  # HOT rows at most
+    hot = entries.where(F.col("freq") >= least).select("key", "told", "other").toArrow().sort_by("key")  # HOT rows at most
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((hot["key"].to_numpy(np.int64), hot["told"].to_numpy(float), hot["other"].to_numpy(float), key_filter(entries)))
+    shared = context.broadcast((*(hot[c].to_numpy() for c in ("key", "told", "other")), key_filter(entries)))
     names = ["row", "key", "base"]
     fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("told", pa.float64()), ("other", pa.float64())]
 
