@@ -8,7 +8,8 @@ insertion moves no boundary far beyond its own, and a chunk has several lines: `
 
 Chunks meet by a 64-bit hash; their first place (least key, then position) stays.
 The bytes of a repeated chunk are compared with those of its first place. At the ends of a row of such chunks so are the
-lines around, up to ``GROW`` lines, as far as they agree, since chunks at the ends of a passage differ by what stands around it;
+lines around, up to ``GROW`` lines, as far as they agree, since chunks at the ends of a passage differ by what stands around it (but
+not where a document repeats itself);
 lines are removed where repeated chunks cover a run of at least ``LEAST_WORDS`` words.
 
 Keys that a third of the rows share are aggregated and written before they are joined, so that a skewed partition can be split.
@@ -42,7 +43,7 @@ CUT = re.compile(rf"([{ENDING}.!?] +|\n)")
 #: lines of a chunk; and words that a removed run has at least.
 APART, LEAST, MOST, LEAST_WORDS = 1, 2, 32, 25
 #: Lines by which a hit may grow to either side.
-GROW = 12
+GROW = 8
 #: Rows of an Arrow batch that are lists at one time.
 PART_ROWS = 1000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -193,11 +194,12 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     chunks = materialise(chunk_table(texts), "chunks")
     # Written, so that a frequent chunk's partition of the next join can be split.
     repeated = materialise(chunks.groupBy("hash").agg(F.min("doc_id").alias("at_doc"), F.count("*").alias("times")).where("times > 1").select("hash", "at_doc"), "repeated")
-    # Hits side by side cover what is between them: only at the ends of a row of hits do the lines around count.
+    # Hits side by side cover what is between them: only at the ends of a row of hits do the lines around count,
+    # and not where a document repeats itself.
     own = Window.partitionBy("doc_id").orderBy("first")
     other = F.col("doc_id") != F.col("at_doc")
-    open_low = ~F.coalesce(F.lag(F.when(other, F.col("first") + F.col("n"))).over(own) == F.col("first"), F.lit(False))
-    open_high = ~F.coalesce(F.lead(F.when(other, F.col("first"))).over(own) == F.col("first") + F.col("n"), F.lit(False))
+    open_low = other & ~F.coalesce(F.lag(F.when(other, F.col("first") + F.col("n"))).over(own) == F.col("first"), F.lit(False))
+    open_high = other & ~F.coalesce(F.lead(F.when(other, F.col("first"))).over(own) == F.col("first") + F.col("n"), F.lit(False))
     hits = materialise(chunks.join(repeated, "hash").select("*", open_low.alias("low"), open_high.alias("high")), "hits")
     release(chunks, repeated)
     at_first = F.min(F.when(~other, F.col("first"))).alias("at_first")

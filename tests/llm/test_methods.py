@@ -316,7 +316,7 @@ def plain_dedup(data):
     covered = {i: [False] * len(lines) for i, lines in cut.items()}
     for (j, at), (x, (i, first)) in hits.items():
         for step, own, there in ((-1, at - 1, first - 1), (1, at + len(x), first + len(x))):
-            for _ in range(line_dedup.GROW):
+            for _ in range(line_dedup.GROW if i != j else 0):
                 if not (0 <= own < len(bare[j]) and 0 <= there < len(bare[i])) or bare[j][own] != bare[i][there]:
                     break
                 covered[j][own] = True
