@@ -205,10 +205,9 @@ def conformance_patterns(spark, sf):
 
 @query()
 def cache_hits(spark, sf):
-    """Hits of a cache of 32 frames with and without touching, when each track is asked for alternately, twice."""
-    s = access_pattern(presentation_order(views.samples(spark, sf)), "alternating")
-    once = s.select("track_id", F.col("turn").alias("request_no"), (F.col("presentation_index") % 48).alias("presentation_index"))
-    lru, fifo = cache_statistics(once, 32), cache_statistics(once, 32, touch=False)
+    """Hits of a cache of 32 frames with and without touching, when each track is asked for in order, in reverse and alternately."""
+    asked = conformance.requests_for(presentation_order(views.samples(spark, sf)))
+    lru, fifo = cache_statistics(asked, 32), cache_statistics(asked, 32, touch=False)
     return lru.join(fifo.select("track_id", F.col("hits").alias("fifo_hits")), "track_id")
 
 

@@ -102,8 +102,8 @@ def inverse_hadamard(coefficients: Column) -> Column:
 
 def safe_integer(text: Column, signed: bool = False) -> Column:
     """A text as a number that a double holds exactly; null otherwise."""
-    n = text.try_cast("decimal(38,10)")
-    whole = n.cast("decimal(38,0)")
-    most = F.lit((1 << 53) - 1).cast("decimal(38,0)")
-    low = -most if signed else F.lit(0).cast("decimal(38,0)")
-    return F.when((n == whole) & (whole <= most) & (whole >= low), whole.cast("long"))
+    # 28 digits leave room for a common type with the ten decimal places: at 38 the comparison would drop them.
+    n = text.try_cast("decimal(28,10)")
+    most = F.lit((1 << 53) - 1).cast("decimal(18,0)")
+    low = -most if signed else F.lit(0).cast("decimal(18,0)")
+    return F.when((n % 1 == 0) & (n <= most) & (n >= low), n.cast("long"))

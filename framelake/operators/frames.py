@@ -36,13 +36,13 @@ def frame_error(limits: Limits = DEFAULT) -> Column:
     pairs = F.zip_with("planes", layouts, lambda p, x: F.struct(p.alias("p"), x.alias("x")))
     total = F.aggregate("planes", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["data"]))
     return first_error(
-        ((w <= 0) | (h <= 0), "InvalidInput", "video dimensions must be nonzero"),
-        ((w > limits.max_width) | (h > limits.max_height), "ResourceLimit", "video dimensions exceed configured limits"),
+        ((w <= 0) | (h <= 0), "InvalidInput", "width or height of zero"),
+        ((w > limits.max_width) | (h > limits.max_height), "ResourceLimit", "width or height above the limit"),
         (layouts.isNull(), "InvalidInput", "unknown pixel format"),
-        (F.size("planes") != F.size(layouts), "InvalidInput", "video plane count does not match its pixel format"),
-        (F.exists(pairs, lambda z: z["p"]["stride"] < z["x"]["row_bytes"]), "InvalidInput", "video plane stride is shorter than its row"),
-        (F.exists(pairs, lambda z: F.octet_length(z["p"]["data"]) < z["p"]["stride"] * z["x"]["rows"]), "InvalidInput", "video plane is shorter than its rows"),
-        (total > limits.max_allocation, "ResourceLimit", "video frame exceeds the allocation limit"),
+        (F.size("planes") != F.size(layouts), "InvalidInput", "the pixel format has another number of planes"),
+        (F.exists(pairs, lambda z: z["p"]["stride"] < z["x"]["row_bytes"]), "InvalidInput", "stride less than a row's bytes"),
+        (F.exists(pairs, lambda z: F.octet_length(z["p"]["data"]) < z["p"]["stride"] * z["x"]["rows"]), "InvalidInput", "plane ends before its last row"),
+        (total > limits.max_allocation, "ResourceLimit", "frame larger than the allocation limit"),
     )
 
 
@@ -97,9 +97,9 @@ def transfer_plan(source: str = "source", target: str = "target") -> Column:
 def transfer_capability(mode: Column, required: Column, stages: Column) -> Column:
     """struct(mode, stages, reason) of a planned transfer: a strict policy must equal the mode, and sharing admits no stage."""
     reason = (
-        F.when(mode == "Unsupported", "the backend does not support this transfer")
-        .when(required.isNotNull() & ((required == "Unsupported") | (required != mode)), F.concat(F.lit("strict policy requires "), required, F.lit(", but the backend reports "), mode))
-        .when((mode == "Shared") & (F.size(stages) > 0), "the backend reported a shared transfer that requires conversion stages")
+        F.when(mode == "Unsupported", "no way to transfer between these frames")
+        .when(required.isNotNull() & ((required == "Unsupported") | (required != mode)), F.concat(F.lit("policy admits only "), required, F.lit(", but the backend reports "), mode))
+        .when((mode == "Shared") & (F.size(stages) > 0), "sharing was planned although frames have to be converted")
     )
     return F.struct(F.when(reason.isNull(), mode).otherwise("Unsupported").alias("mode"), F.when(reason.isNull(), stages).otherwise(F.array().cast("array<string>")).alias("stages"), reason.alias("reason"))
 

@@ -39,10 +39,10 @@ def audio_error(limits: Limits = DEFAULT) -> Column:
     """The first fault of an audio buffer (start, end, sample_rate, channels, n_samples)."""
     expected = (F.col("end") - F.col("start")) * F.col("channels")
     return first_error(
-        ((F.col("sample_rate") <= 0) | (F.col("sample_rate") > limits.max_sample_rate), "ResourceLimit", "audio sample rate is outside configured limits"),
-        ((F.col("channels") <= 0) | (F.col("channels") > limits.max_channels), "ResourceLimit", "audio channel count is outside configured limits"),
-        (F.col("n_samples") != expected, "InvalidInput", "audio data length does not match its range and channels"),
-        (expected * 4 > limits.max_allocation, "ResourceLimit", "audio buffer exceeds the allocation limit"),
+        ((F.col("sample_rate") <= 0) | (F.col("sample_rate") > limits.max_sample_rate), "ResourceLimit", "sample rate not allowed: zero or above the limit"),
+        ((F.col("channels") <= 0) | (F.col("channels") > limits.max_channels), "ResourceLimit", "channels not allowed: none or above the limit"),
+        (F.col("n_samples") != expected, "InvalidInput", "the samples do not fill the range in every channel"),
+        (expected * 4 > limits.max_allocation, "ResourceLimit", "buffer larger than the allocation limit"),
     )
 
 
@@ -54,12 +54,12 @@ def track_error() -> Column:
     wanted = F.when(F.col("codec") == "Hevc", "hvcC").when(F.col("codec") == "Av1", "av1C").when(F.col("codec") == "Aac", "esds")
     video = F.col("codec").isin("Hevc", "Av1")
     return first_error(
-        (F.col("timescale") <= 0, "InvalidInput", "a time scale must be nonzero"),
-        (F.octet_length(config) < 8, "InvalidInput", "codec configuration must contain a complete MP4 box"),
-        (declared != F.octet_length(config), "InvalidInput", "codec configuration box size is inconsistent"),
-        (wanted.isNull(), "InvalidInput", "the codec cannot be written to MP4"),
-        (kind != wanted, "InvalidInput", "codec configuration box type is incompatible"),
-        (video != (F.col("kind") == "Video"), "InvalidInput", "codec and MP4 track kind are incompatible"),
+        (F.col("timescale") <= 0, "InvalidInput", "time scale of zero"),
+        (F.octet_length(config) < 8, "InvalidInput", "the decoder configuration holds less than one box"),
+        (declared != F.octet_length(config), "InvalidInput", "the decoder configuration differs in length from its box"),
+        (wanted.isNull(), "InvalidInput", "no sample entry is known for this codec"),
+        (kind != wanted, "InvalidInput", "the decoder configuration is of another codec"),
+        (video != (F.col("kind") == "Video"), "InvalidInput", "this codec does not belong in a track of this kind"),
     )
 
 
@@ -68,17 +68,17 @@ def unit_list_error(types: Column) -> Column:
     count = lambda t: F.size(F.filter(types, lambda x: x == t))
     allowed = ["SequenceHeader", "Frame", "TemporalDelimiter", "Metadata", "Padding"]
     return first_error(
-        ((count("SequenceHeader") != 1) | (count("Frame") != 1), "MalformedMedia", "a unit needs exactly one sequence header and one frame"),
-        (F.exists(types, lambda x: ~x.isin(*allowed)), "Unsupported", "a unit of an unsupported type"),
+        ((count("SequenceHeader") != 1) | (count("Frame") != 1), "MalformedMedia", "not exactly one sequence header and one frame in the unit"),
+        (F.exists(types, lambda x: ~x.isin(*allowed)), "Unsupported", "unit type not supported here"),
     )
 
 
 def resource_error(lost: Column, current: Column, api: Column, context: Column, owner: Column) -> Column:
     """The first fault of a graphics resource; the last three say whether it matches the adapter."""
     return first_error(
-        (lost, "Graphics", "the graphics context is lost"),
-        (~current, "Graphics", "the graphics context is not current"),
-        (~api, "Graphics", "graphics resource API does not match the adapter"),
-        (~context, "Graphics", "graphics resource belongs to a different context"),
-        (~owner, "Graphics", "graphics resource belongs to a different execution owner"),
+        (lost, "Graphics", "context lost"),
+        (~current, "Graphics", "context not current"),
+        (~api, "Graphics", "resource made for another graphics interface"),
+        (~context, "Graphics", "resource made in another context"),
+        (~owner, "Graphics", "resource held by another owner"),
     )

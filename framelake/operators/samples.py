@@ -64,18 +64,18 @@ def run_errors(runs: DataFrame, sizes: DataFrame, keys: tuple[str, ...] = TRACK)
 
 
 def chunk_map(chunks: DataFrame, entries: DataFrame, keys: tuple[str, ...] = TRACK) -> DataFrame:
-    """Chunks (chunk_no from 1) with the samples_per_chunk of the last entry (first_chunk) at or before.
+    """Chunks (chunk_no from 1) with first_chunk and samples_per_chunk of the last entry at or before; none, no row.
 
-    An entry holds up to the next one, so this is an equi-join on the track with a range, not a scan of all
-    entries for each chunk.
+    One window over chunks and entries together: as many rows as both have, whatever their numbers in a track.
     """
-    nexts = F.lead("first_chunk").over(_by(keys, "first_chunk"))
-    spans = entries.select(*(F.col(k).alias(f"_{k}") for k in keys), "first_chunk", "samples_per_chunk", nexts.alias("_next"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    inside = (F.col("chunk_no") >= F.col("first_chunk")) & (F.col("_next").isNull() | (F.col("chunk_no") < F.col("_next")))
-    return chunks.join(spans, same & inside).drop("_next", *(f"_{k}" for k in keys))
+    others = [c for c in chunks.columns if c not in keys and c != "chunk_no"]
+    left = chunks.select(*keys, F.col("chunk_no").alias("_at"), F.lit(1).alias("_side"), F.struct(*others, F.lit(0).alias("_")).alias("_row"), F.lit(None).cast("long").alias("_per"))
+    right = entries.select(*keys, F.col("first_chunk").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col("samples_per_chunk").cast("long").alias("_per"))
+    # An entry comes before the chunk of its number; of entries of one number the last given counts, as they are equal.
+    upto = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    entry = F.last(F.when(F.col("_side") == 0, F.struct(F.col("_at").alias("first_chunk"), F.col("_per").alias("samples_per_chunk"))), ignorenulls=True).over(upto)
+    met = left.unionByName(right).withColumn("_entry", entry).where((F.col("_side") == 1) & F.col("_entry").isNotNull())
+    return met.select(*keys, F.col("_at").alias("chunk_no"), *(F.col("_row").getField(c).alias(c) for c in others), "_entry.*")
 
 
 def chunk_samples(mapped: DataFrame, keys: tuple[str, ...] = TRACK) -> DataFrame:
@@ -176,7 +176,7 @@ def fragment_samples(rows: DataFrame, trex: DataFrame, most_tracks: int = 64) ->
     df = df.withColumn("duration", F.coalesce("duration", none("default_duration"), none("trex_duration"))).withColumn("size", F.coalesce("size", none("default_size"), none("trex_size")))
     flags = F.coalesce("flags", F.when(F.col("i") == 0, F.col("first_flags")), none("default_flags"), F.coalesce("trex_flags", F.lit(0)))
     df = df.withColumn("flags", flags.cast("long"))
-    missing = F.when(F.col("duration").isNull(), "fragment sample duration is missing").when(F.col("size").isNull(), "fragment sample size is missing")
+    missing = F.when(F.col("duration").isNull(), "no duration for a fragment's sample").when(F.col("size").isNull(), "no size for a fragment's sample")
     df = df.withColumn("error", missing)
     traf = Window.partitionBy("file_id", "fragment_no", "traf_no").orderBy("run_no", "i")
     before = traf.rowsBetween(Window.unboundedPreceding, -1)

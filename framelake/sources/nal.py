@@ -69,21 +69,21 @@ def join_prefixed(units: list[bytes], width: int = 4) -> bytes:
 def parse_hvcc(data: bytes) -> dict:
     """The fields of a decoder configuration (without its box header), and its kept units."""
     if len(data) < 23:
-        raise malformed("hvcC configuration is too short")
+        raise malformed("decoder configuration shorter than its fixed part")
     if data[0] != 1:
-        raise malformed("hvcC version is not 1")
+        raise malformed("decoder configuration of an unknown version")
     if data[21] & 3 == 2:
         raise malformed("a length prefix has 1, 2 or 4 bytes")
     units, at = [], 23
     for _ in range(data[22]):
         if at + 3 > len(data):
-            raise malformed("hvcC ends early")
+            raise malformed("decoder configuration ends inside a unit")
         kind, n = data[at] & 63, int.from_bytes(data[at + 1 : at + 3], "big")
         at += 3
         for _ in range(n):
             size = int.from_bytes(data[at : at + 2], "big")
             if at + 2 > len(data) or at + 2 + size > len(data):
-                raise malformed("hvcC ends early")
+                raise malformed("decoder configuration ends inside a unit")
             if kind in CONFIG_TYPES:
                 units.append(data[at + 2 : at + 2 + size])
             at += 2 + size

@@ -132,7 +132,7 @@ def sequence_header(payload: bytes, limits: Limits = DEFAULT) -> dict:
     wide, high = b.u(4) + 1, b.u(4) + 1
     out["max_width"], out["max_height"] = b.u(wide) + 1, b.u(high) + 1
     if out["max_width"] > limits.max_width or out["max_height"] > limits.max_height:
-        raise limit("video dimensions exceed configured limits")
+        raise limit("width or height above the limit")
     out["frame_ids"] = False if reduced else b.flag()
     if out["frame_ids"]:
         out["delta_frame_id_bits"] = b.u(4) + 2
@@ -161,20 +161,20 @@ def sequence_header(payload: bytes, limits: Limits = DEFAULT) -> dict:
 def parse_av1c(data: bytes, limits: Limits = DEFAULT) -> dict:
     """A configuration record with its box header; its sequence header, if any, must agree with it."""
     if len(data) < 12:
-        raise malformed("av1C box is truncated")
+        raise malformed("configuration box shorter than its header")
     head = 16 if data[:4] == b"\0\0\0\1" else 8
     size = int.from_bytes(data[8:16] if head == 16 else data[:4], "big")
     if size != len(data) or data[4:8] != b"av1C":
-        raise malformed("av1C box size or fourcc is invalid")
+        raise malformed("not a configuration box of this size and type")
     p = data[head:]
     if len(p) < 4:
-        raise malformed("av1C record is truncated")
+        raise malformed("configuration record shorter than its fixed part")
     if p[0] != 0x81:
-        raise malformed("av1C marker or version is invalid")
+        raise malformed("configuration record of an unknown version")
     if p[2] & 3 or p[3] & 0xE0:
-        raise malformed("av1C reserved bits are nonzero")
+        raise malformed("reserved bits set in a configuration record")
     if p[1] >> 5 > 2:
-        raise malformed("av1C sequence profile is reserved")
+        raise malformed("reserved profile in a configuration record")
     out = {
         "profile": p[1] >> 5, "level": p[1] & 31, "tier": p[2] >> 7, "high_bitdepth": p[2] >> 6 & 1, "twelve_bit": p[2] >> 5 & 1, "monochrome": p[2] >> 4 & 1,
         "subsampling_x": p[2] >> 3 & 1, "subsampling_y": p[2] >> 2 & 1, "chroma_sample_position": p[2] & 3, "presentation_delay": (p[3] & 15) + 1 if p[3] & 16 else None,
@@ -182,14 +182,14 @@ def parse_av1c(data: bytes, limits: Limits = DEFAULT) -> dict:
     first = None
     for u in units(p[4:], limits):
         if u["obu_type"] not in ("SequenceHeader", "Metadata"):
-            raise malformed("av1C holds a unit of another type")
+            raise malformed("a configuration record may hold a sequence header only")
         if u["obu_type"] == "SequenceHeader" and first is None:
             first = sequence_header(u["payload"], limits)
     if first is not None:
         c = first["color"]
         told = (first["profile"], c["bit_depth"] > 8, c["bit_depth"] == 12, c["monochrome"], c["subsampling_x"], c["subsampling_y"], c["chroma_sample_position"])
         if told != tuple(out[k] for k in ("profile", "high_bitdepth", "twelve_bit", "monochrome", "subsampling_x", "subsampling_y", "chroma_sample_position")):
-            raise malformed("av1C disagrees with its sequence header")
+            raise malformed("configuration record and sequence header differ")
     return out
 
 

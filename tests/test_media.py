@@ -9,10 +9,11 @@ from framelake.errors import MediaError
 from framelake.limits import Limits
 from framelake.operators import audio, frames, intervals, pictures
 from framelake.operators import samples as S
-from framelake.operators.reader import ExactReader, FrameCache, ReorderingDecoder, cache_statistics, read_frames
+from framelake.operators.reader import Recent, cache_statistics, plan_reads, read_frames
 from framelake.sources import mp4, nal, obu
 from framelake.sources.boxes import Parser, box, compact_sizes, full_box, probe
-from framelake.streaming.playback import Player, play_stream
+from framelake.streaming import playback
+from framelake.streaming.playback import play_stream
 
 
 def rows(df, *order):
@@ -157,44 +158,114 @@ def test_written_file(spark, tmp_path):
 PACKETS = [(0, 10, True), (3, 40, False), (1, 20, False), (2, 30, False), (4, 50, True), (6, 70, False), (5, 60, False)]
 
 
-def reader(limits=Limits(max_cached_frames=3)):
-    return ExactReader([{"presentation_index": p, "random_access": r, "data": bytes([v])} for p, v, r in PACKETS], ReorderingDecoder(1), limits)
-
-
-def test_exact_reader():
-    r = reader()
-    assert [r.get(i)[0] for i in (1, 2)] == [20, 30]
-    assert r.resets == 1
-    assert [r.get(i)[0] for i in (3, 5)] == [40, 60]
-    with pytest.raises(MediaError) as e:
-        short = reader(Limits(max_cached_frames=3, max_decode_samples_per_seek=2))
-        short.get(3)
-    assert e.value.kind == "ResourceLimit" and short.submitted == 2
-    with pytest.raises(MediaError):
-        reader().get(99)
+def packets(spark):
+    return spark.createDataFrame([(1, i, p, r, bytearray([v])) for i, (p, v, r) in enumerate(PACKETS)], "track_id long, decode_index long, presentation_index long, random_access boolean, data binary")
+
+
+def asked(spark, *frames):
+    return spark.createDataFrame([(1, n, i) for n, i in enumerate(frames)], "track_id long, request_no long, presentation_index long")
+
+
+def test_exact_reader(spark):
+    got = read_frames(packets(spark), asked(spark, 1, 2, 3, 5, 99), "reordering", limits=Limits(max_cached_frames=3))
+    found = rows(got.select("request_no", "frame", "resets", "kind"), "request_no")
+    assert [(bytes(f)[0] if f else None, k) for _, f, _, k in found] == [(20, None), (30, None), (40, None), (60, None), (None, "InvalidInput")]
+    assert [r for _, _, r, _ in found[:2]] == [1, 1]
+    short = read_frames(packets(spark), asked(spark, 3), "reordering", limits=Limits(max_cached_frames=3, max_decode_samples_per_seek=2)).first()
+    assert short["kind"] == "ResourceLimit" and short["submitted"] == 2 and short["frame"] is None
+
+
+def test_reader_commands_and_faults(spark):
+    told = spark.createDataFrame([(1, 0, "get", 1), (1, 1, "drain", None), (1, 2, "get", 6), (1, 3, "reset", None), (1, 4, "get", 6), (2, 0, "get", 0)], "track_id long, request_no long, command string, presentation_index long")
+    plan = plan_reads(packets(spark), told, "reordering", {"depth": 2}, Limits(max_cached_frames=32))
+    got = {(r["track_id"], r["request_no"]): r for r in plan.collect()}
+    assert [got[1, n]["drains"] for n in range(5)] == [0, 1, 2, 2, 3]
+    assert [got[1, n]["resets"] for n in range(5)] == [1, 1, 2, 3, 4]
+    assert (got[1, 2]["first"], got[1, 2]["last"]) == (4, 7) and got[2, 0]["kind"] == "InvalidInput"
+    late = spark.createDataFrame([(1, 0, 0, False, bytearray(1)), (2, 0, 0, True, bytearray(1)), (2, 1, 0, True, bytearray(1)), (3, 0, 0, True, bytearray(2))], packets(spark).schema)
+    wants = spark.createDataFrame([(t, 0, 0) for t in (1, 2, 3)], asked(spark, 0).schema)
+    assert {r["track_id"]: r["kind"] for r in read_frames(late, wants, "gray8", {"width": 1, "height": 1}).collect()} == {1: "InvalidInput", 2: "InvalidInput", 3: "MalformedMedia"}
+
+
+def test_reader_equals_a_plain_decoder(spark):
+    """Counters and frames against a decoder that is run sample by sample, over requests at random."""
+    import random
+
+    rng = random.Random(3)
+    order = [b * 8 + i for b in range(12) for i in rng.sample(range(8), 8)]
+    samples = [(1, n, p, n % 8 == 0, bytearray([p])) for n, p in enumerate(order)]
+    turns = [rng.randrange(96) for _ in range(300)]
+    got = read_frames(spark.createDataFrame(samples, packets(spark).schema), asked(spark, *turns), "reordering", {"depth": 3}, Limits(max_cached_frames=5))
+    found = [(bytes(r["frame"])[0], r["cache_hits"], r["resets"], r["submitted"], r["drains"]) for r in got.orderBy("request_no").collect()]
+    cache, at, held, counts, want = [], None, [], [0, 0, 0, 0], []
+    for t in turns:
+        if t in cache:
+            counts[0] += 1
+            cache.remove(t)
+            cache.append(t)
+        else:
+            place = order.index(t)
+            if at is None or not place - place % 8 <= at <= place:
+                at, held = place - place % 8, []
+                counts[1] += 1
+            out = []
+            while t not in out:
+                if at == len(order):
+                    out += sorted(held)
+                    held = []
+                    counts[3] += 1
+                else:
+                    held.append(order[at])
+                    at += 1
+                    counts[2] += 1
+                    if len(held) > 3:
+                        out.append(min(held))
+                        held.remove(min(held))
+            for f in out:
+                if f in cache:
+                    cache.remove(f)
+                cache = [*cache, f][-5:]
+            cache.remove(t)
+            cache.append(t)
+        want.append((t, *counts))
+    assert found == want
 
 
 def test_reader_rows_and_caches(spark):
-    s = spark.createDataFrame([(1, i, p, r, bytearray([v])) for i, (p, v, r) in enumerate(PACKETS)], "track_id long, decode_index long, presentation_index long, random_access boolean, data binary")
-    asked = spark.createDataFrame([(1, n, i) for n, i in enumerate((6, 0, 9, 3))], "track_id long, request_no long, presentation_index long")
-    got = rows(read_frames(s, asked, "reordering", {"depth": 2}).select("request_no", "frame", "kind"), "request_no")
+    wanted = asked(spark, 6, 0, 9, 3)
+    got = rows(read_frames(packets(spark), wanted, "reordering", {"depth": 2}).select("request_no", "frame", "kind"), "request_no")
     assert [(bytes(f)[0] if f else None, k) for _, f, k in got] == [(70, None), (10, None), (None, "InvalidInput"), (40, None)]
-    touched, plain = FrameCache(2), FrameCache(2, touch=False)
+    touched, plain = Recent(2), Recent(2, touch=False)
     for c in (touched, plain):
-        c.put(1, "a"), c.put(2, "b"), c.get(1), c.put(3, "c")
-    assert touched.get(1) == "a" and plain.get(1) is None
-    assert rows(cache_statistics(asked, 2).select("hits", "misses"), "hits") == [(0, 4)]
+        c.hold(1), c.hold(2), c.use(1), c.hold(3)
+    assert touched.use(1) and not plain.use(1)
+    assert rows(cache_statistics(wanted, 2).select("hits", "misses"), "hits") == [(0, 4)]
+    import random
+
+    turns = [random.Random(5).randrange(9) for _ in range(1)] + [random.Random(i).randrange(9) for i in range(200)]
+    for touch in (True, False):
+        held, hits = [], 0
+        for t in turns:
+            hits += t in held
+            if t not in held:
+                held = [*held, t][-4:]
+            elif touch:
+                held = [*(x for x in held if x != t), t]
+        assert rows(cache_statistics(asked(spark, *turns), 4, touch).select("hits", "misses"), "hits") == [(hits, len(turns) - hits)]
 
 
 def test_player():
-    p = Player(48000, 30, 1, 1 << 40, 3200, 800)
-    assert p.act("play", 0, 100) == [("start", 0, 0, None), ("schedule", 0, 3200, None)]
-    assert p.act("present", 0, 3400)[-1] == ("frame", 2, 2, None)
-    assert ("schedule", 3300, 6500, None) in Player(48000, 30, 1, 1 << 40, 3200, 800, playing=True, queued_until=3200).act("present", 0, 3300)
-    done = p.act("seek", 10, 3500)
-    assert done[:2] == [("cancel", 1, 1, None), ("preroll", 15200, 16000, None)]
-    assert Player(48000, 30, 1, 10, 3200, 800).act("seek", 10, 0)[0][0] == "error"
-    assert Player(48000, 30, 1, 1600, 3200, 800).act("seek", 1, 0)[0][0] == "cancel"
+    s = playback.settings_of(48000, 30, 1, 1 << 40, 3200, 800)
+    state, events = playback.step(s, playback.State(), "play", 0, 100)
+    assert events == [("start", 0, 0, None), ("schedule", 0, 3200, None)]
+    state, events = playback.step(s, state, "present", 0, 3400)
+    assert events[-1] == ("frame", 2, 2, None)
+    assert ("schedule", 3300, 6500, None) in playback.step(s, playback.State(running=True, scheduled=3200), "present", 0, 3300)[1]
+    assert playback.step(s, state, "seek", 10, 3500)[1][:2] == [("cancel", 1, 1, None), ("preroll", 15200, 16000, None)]
+    assert playback.step(s._replace(length=10), playback.State(), "seek", 10, 0)[1][0][0] == "error"
+    assert playback.step(s._replace(length=1600), playback.State(), "seek", 1, 0)[1][0][0] == "cancel"
+    assert playback.step(s, playback.State(), "present", 0, 0)[1][0].error.startswith("InvalidState")
+    assert playback.step(s, state, "stop", 0, 0)[1] == [("stop", 0, 0, None)] and playback.step(s, playback.State(), "stop", 0, 0)[1] == []
 
 
 def test_player_stream(spark, tmp_path):
@@ -229,7 +300,7 @@ def test_frames(spark):
     limited = frames.transfer(bytes([0, 255, 128, 255]), {"width": 1, "height": 1, "pixel_format": "Rgba8", "color_range": "Full", "orientation": "TopLeft", "stride": 4}, {"width": 1, "height": 1, "pixel_format": "Rgba8", "color_range": "Limited", "orientation": "TopLeft", "stride": 4})
     assert limited == bytes([16, 235, 126, 255])
     plan = spark.range(1).select(frames.transfer_capability(F.lit("Shared"), F.lit(None).cast("string"), F.array(F.lit("Scale"))).alias("c")).first()["c"]
-    assert plan["mode"] == "Unsupported" and "conversion stages" in plan["reason"]
+    assert plan["mode"] == "Unsupported" and "sharing" in plan["reason"]
 
 
 def test_pictures(spark):
