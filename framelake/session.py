@@ -50,7 +50,7 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()
     written = spark.read.schema(df.schema).parquet(path)
     written.framelake_path = path
