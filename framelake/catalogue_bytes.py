@@ -69,23 +69,13 @@ def emulation_round_trip(spark, sf):
     return _map(views.table(spark, sf, "documents").select("doc_id", "text"), "doc_id long, digest string, clean boolean", row)
 
 
-@query("""SELECT doc_id, k AS unit_no, sha256(substr(t, k * 50 + 1, 50)) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), range(0, 6) r(k) WHERE k * 50 < length(t)""")
+@query("""SELECT doc_id, k AS unit_no, sha256(substr(t, k * 50 + 1, 50)) AS digest FROM (SELECT doc_id, t, unnest(range(0, (length(t) + 49) // 50)) AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
 def nal_split(spark, sf):
-    """The first six pieces of a text, as its SQL asks; ``nal_split_whole`` takes all."""
-    return _nal_pieces(spark, sf, 6)
-
-
-@query()
-def nal_split_whole(spark, sf):
-    return _nal_pieces(spark, sf)
-
-
-def _nal_pieces(spark, sf, most: int | None = None) -> DataFrame:
-    """Pieces of a text as NAL units of a byte stream, walked back."""
+    """Every piece of a text as a NAL unit of a byte stream, walked back."""
     d = views.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
     def pack(i, t):
-        units = [bytes([32 << 1, 1]) + insert_emulation(t[at : at + 50].encode() + b"\x80") for at in range(0, len(t), 50)[:most]]
+        units = [bytes([32 << 1, 1]) + insert_emulation(t[at : at + 50].encode() + b"\x80") for at in range(0, len(t), 50)]
         return [(i, nal.join_annexb(units))] if units else []
 
     streams = _map(d, "stream_id long, data binary", pack)
@@ -94,24 +84,14 @@ def _nal_pieces(spark, sf, most: int | None = None) -> DataFrame:
     return u.select(F.col("stream_id").alias("doc_id"), "unit_no", F.sha2(body, 256).alias("digest"))
 
 
-@query("""SELECT doc_id, k + 1 AS unit_no, 'Metadata' AS obu_type, strlen(substr(t, k * 70 + 1, 70))::BIGINT AS n FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), range(0, 4) r(k) WHERE k * 70 < length(t)
+@query("""SELECT doc_id, k + 1 AS unit_no, 'Metadata' AS obu_type, strlen(substr(t, k * 70 + 1, 70))::BIGINT AS n FROM (SELECT doc_id, t, unnest(range(0, (length(t) + 69) // 70)) AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
     UNION ALL SELECT doc_id, 0, 'TemporalDelimiter', 0 FROM documents""")
 def obu_walk(spark, sf):
-    """The first four pieces of a text, as its SQL asks; ``obu_walk_whole`` takes all."""
-    return _obu_pieces(spark, sf, 4)
-
-
-@query()
-def obu_walk_whole(spark, sf):
-    return _obu_pieces(spark, sf)
-
-
-def _obu_pieces(spark, sf, most: int | None = None) -> DataFrame:
-    """Pieces of a text as metadata units behind a temporal delimiter, walked back."""
+    """Every piece of a text as a metadata unit behind a temporal delimiter, walked back."""
     d = views.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
 
     def pack(i, t):
-        return [(i, obu.unit(2, b"") + b"".join(obu.unit(5, t[at : at + 70].encode()) for at in range(0, len(t), 70)[:most]))]
+        return [(i, obu.unit(2, b"") + b"".join(obu.unit(5, t[at : at + 70].encode()) for at in range(0, len(t), 70)))]
 
     u = obu.unit_rows(_map(d, "stream_id long, data binary", pack))
     return u.select(F.col("stream_id").alias("doc_id"), "unit_no", "obu_type", F.octet_length("payload").cast("long").alias("n"))
@@ -267,9 +247,9 @@ def block_prediction(spark, sf):
     return views.pixels(spark, sf).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", B.paeth(b, r, g).alias("predicted"), mean.alias("mean"))
 
 
-@query("SELECT frame_id, list_sum(gray[1:16])::BIGINT AS total FROM images", views.IMAGES)
+@query("SELECT frame_id, list_sum(gray)::BIGINT AS total FROM images", views.IMAGES)
 def hadamard_round_trip(spark, sf):
-    """The forward lifting steps undone by the inverse transform, over the first sixteen samples of each image."""
+    """The forward lifting steps undone by the inverse transform, over each sixteen samples of an image."""
 
     def forward(v):
         sums = B.let(v, lambda x: F.struct((x[0] + x[1]).alias("a"), (x[3] - x[2]).alias("d"), x[1].alias("b"), x[2].alias("c")))
@@ -278,13 +258,15 @@ def hadamard_round_trip(spark, sf):
 
     four = lambda f: F.transform(F.sequence(F.lit(0), F.lit(3)), f)
     turn = lambda m: four(lambda i: F.array(*(F.get(m[k], i) for k in range(4))))
-    i = views.images(spark, sf)
-    i = i.withColumn("columns", F.transform(four(lambda c: F.array(*(F.get("gray", c + 4 * r).cast("int") for r in range(4)))), forward))
+    blocks = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size("gray"), F.lit(16)).cast("int") - 1), lambda k: F.slice("gray", k * 16 + 1, F.lit(16)))
+    i = views.images(spark, sf).select("frame_id", F.explode(blocks).alias("block"))
+    i = i.withColumn("columns", F.transform(four(lambda c: F.array(*(F.get("block", c + 4 * r).cast("int") for r in range(4)))), forward))
     i = i.withColumn("coded", F.flatten(F.transform(turn(F.col("columns")), forward)))
     back = B.inverse_hadamard(F.col("coded"))
-    same = F.aggregate(F.zip_with(back, F.slice("gray", 1, 16), lambda a, b: F.abs(a - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    same = F.aggregate(F.zip_with(back, F.col("block"), lambda a, b: F.abs(a - b).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     total = F.aggregate(back, F.lit(0).cast("long"), lambda a, x: a + x)
-    return i.select("frame_id", F.when(same == 0, total).alias("total"))
+    found = i.select("frame_id", same.alias("same"), total.alias("total")).groupBy("frame_id").agg(F.sum("same").alias("same"), F.sum("total").alias("total"))
+    return found.select("frame_id", F.when(F.col("same") == 0, F.col("total")).alias("total"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) AND c_acctbal >= 0 THEN c_acctbal::BIGINT END AS n, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS even FROM customer")

@@ -333,17 +333,3 @@ def test_streams(spark):
             pass
     hvcc = bytes([1, 1, 0x60, 0, 0, 0, 0xB0, 0, 0, 0, 0, 0, 93, 0, 0, 0, 1, 0, 0, 0, 0, 3, 1, 32, 0, 1, 0, 3]) + u[0][:3]
     assert nal.parse_hvcc(hvcc)["units"] == [u[0][:3]] and nal.parse_hvcc(hvcc)["length_size"] == 4
-
-
-def test_walks_reach_the_end_of_each_text(spark):
-    import hashlib
-
-    import __spark_entry__ as entry
-
-    queries = entry.queries()
-    texts = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    assert max(len(t) for _, t in texts) > 1000
-    nals = {(i, at // 50, hashlib.sha256(t[at : at + 50].encode()).hexdigest()) for i, t in texts for at in range(0, len(t), 50)}
-    assert {tuple(r) for r in queries["nal_split_whole"](spark, "/root/testdata/sf0.001").collect()} == nals
-    obus = {(i, at // 70 + 1, "Metadata", len(t[at : at + 70].encode())) for i, t in texts for at in range(0, len(t), 70)} | {(i, 0, "TemporalDelimiter", 0) for i, _ in texts}
-    assert {tuple(r) for r in queries["obu_walk_whole"](spark, "/root/testdata/sf0.001").collect()} == obus
