@@ -11,8 +11,10 @@ multivariate-hypergeometric draws, so each shard holds a fixed number of draws
 from each source, and consecutive permuted draws go to consecutive shards:
 draws are disjoint and cover the quota. Rows are shuffled inside a shard only.
 
-The driver sees sources x BLOCKS sums of sizes, whatever the number of rows.
-Everything that touches rows is a DataFrame expression.
+The driver plans source by source, in code-point order, from a stream of sums per source and block; it keeps one number
+for each source and the plans of at most ``GROUP`` sources, which share a splitting tree. So the number of sources has
+no bound but eight bytes each. Everything that touches rows is a DataFrame expression. The documents that fill the last blocks
+are not drawn at random: of those that fit the largest go first, which favours long documents within these blocks.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
 source of its own, the last; a source of size 0 has target 0; rows that repeat
@@ -23,19 +25,23 @@ stay inside ``row``, so their names cannot clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelake.llm.common import WORD, literal_table, text_or_empty
+from framelake.llm.common import WORD, broadcast_if_small, literal_table, text_or_empty
+from framelake.session import materialise, shared_folder
 
 BLOCKS = 1024
 EDGE_ROWS = 512
 #: Rounds of filling what is left of a target with documents that still fit.
 ROUNDS = 6
-MAX_SOURCES = 20_000
+#: Sources that are planned together; plans of more are written as a table.
+GROUP = 4096
 
 PLAN = T.StructType(
     [
@@ -100,41 +106,51 @@ def _order(source: int, seed: int) -> tuple[int, int]:
     return int(rng.integers(0, BLOCKS // 2)) * 2 + 1, int(rng.integers(0, BLOCKS))
 
 
-def plan_mix(sums: list, weights: tuple[float, ...], share: float, most: int, shards: int, seed: int) -> list[dict]:
-    """One row per source from rows (source, block, size, n)."""
-    names = sorted({r["source"] for r in sums}, key=lambda s: (s is None, (s or "").encode()))
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"{len(names)} sources; mixing takes at most {MAX_SOURCES}")
-    at = {s: i for i, s in enumerate(names)}
-    size, rows = np.zeros((len(names), BLOCKS), dtype=np.int64), np.zeros((len(names), BLOCKS), dtype=np.int64)
-    plan = []
-    for i in range(len(names)):
-        plan.append(dict(zip(("factor", "shift"), _order(i, seed), strict=True)))
-    for r in sums:
-        i = at[r["source"]]
-        place = (plan[i]["factor"] * r["block"] + plan[i]["shift"]) % BLOCKS
-        size[i, place], rows[i, place] = r["size"], r["n"]
-    totals = [int(x) for x in size.sum(axis=1)]
-    targets = target_sizes(totals, [weights[i % len(weights)] for i in range(len(names))], share, most)
-    quotas = []
-    for i, name in enumerate(names):
-        total, target = totals[i], targets[i]
-        passes = min(most, math.floor(target / total + 1e-12)) if total else 0
-        rest = max(0.0, target - passes * total) if passes < most else 0.0
-        grown = np.cumsum(size[i])
-        whole = int(np.searchsorted(grown, rest, side="right")) if rest > 0 else 0
-        edge = whole
-        while rest > 0 and edge < BLOCKS and rows[i, whole:edge].sum() < EDGE_ROWS:
-            edge += 1
-        while rest > 0 and whole and rows[i, whole:edge].sum() < EDGE_ROWS:  # few documents: all of them are filled one by one
-            whole -= 1
-        gap = rest - (float(grown[whole - 1]) if whole else 0.0)
-        plan[i] |= {"plan_source": name, "source_size": total, "target": target, "passes": passes, "whole": whole, "edge": edge, "gap": gap, "lead": 0.5 if rows[i, whole:edge].sum() >= EDGE_ROWS / 4 else 0.0}
-        quotas.append(passes * BLOCKS + edge)
-    ends = split_quotas(np.array(quotas, dtype=np.int64), shards, seed).cumsum(axis=0)
-    for i in range(len(names)):
-        plan[i]["ends"] = [int(x) for x in ends[:, i]]
-    return plan
+def _plan_source(name: str | None, target: float, size: np.ndarray, rows: np.ndarray, most: int) -> dict:
+    """What is drawn of a source, from the sizes and rows of its blocks in permuted order."""
+    total = int(size.sum())
+    passes = min(most, math.floor(target / total + 1e-12)) if total else 0
+    rest = max(0.0, target - passes * total) if passes < most else 0.0
+    grown = np.cumsum(size)
+    whole = int(np.searchsorted(grown, rest, side="right")) if rest > 0 else 0
+    edge = whole
+    while rest > 0 and edge < BLOCKS and rows[whole:edge].sum() < EDGE_ROWS:
+        edge += 1
+    while rest > 0 and whole and rows[whole:edge].sum() < EDGE_ROWS:  # few documents: all of them are filled one by one
+        whole -= 1
+    gap = rest - (float(grown[whole - 1]) if whole else 0.0)
+    lead = 0.5 if rows[whole:edge].sum() >= EDGE_ROWS / 4 else 0.0
+    return {"plan_source": name, "source_size": total, "target": target, "passes": passes, "whole": whole, "edge": edge, "gap": gap, "lead": lead}
+
+
+def plan_mix(sums: Callable[[], Iterable], weights: tuple[float, ...], share: float, most: int, shards: int, seed: int) -> Iterator[list[dict]]:
+    """Plans of ``GROUP`` sources at a time. ``sums`` streams rows (source, block, size, n) in order of the source, null last."""
+    totals = [sum(r["size"] for r in rows) for _, rows in groupby(sums(), key=lambda r: r["source"])]
+    targets = target_sizes(totals, [weights[i % len(weights)] for i in range(len(totals))], share, most)
+    plan: list[dict] = []
+    for i, (name, blocks) in enumerate(groupby(sums(), key=lambda r: r["source"])):
+        factor, shift = _order(i, seed)
+        size, rows = np.zeros(BLOCKS, dtype=np.int64), np.zeros(BLOCKS, dtype=np.int64)
+        for r in blocks:
+            place = (factor * r["block"] + shift) % BLOCKS
+            size[place], rows[place] = r["size"], r["n"]
+        plan.append(_plan_source(name, targets[i], size, rows, most) | {"factor": factor, "shift": shift})
+        if len(plan) == GROUP or i + 1 == len(totals):
+            quotas = np.array([p["passes"] * BLOCKS + p["edge"] for p in plan], dtype=np.int64)
+            ends = split_quotas(quotas, shards, seed + i).cumsum(axis=0)
+            yield [p | {"ends": [int(x) for x in ends[:, j]]} for j, p in enumerate(plan)]
+            plan = []
+
+
+def _plan_table(spark: SparkSession, plans: Iterator[list[dict]]) -> DataFrame:
+    """The plans as a table: a broadcast literal if one group holds them all, else written group by group."""
+    first, second = next(plans, []), next(plans, None)
+    if second is None:
+        return F.broadcast(literal_table(spark, first, PLAN))
+    path = shared_folder(spark, "plans")
+    for part in chain([first, second], plans):
+        literal_table(spark, part, PLAN).write.mode("append").parquet(path)
+    return broadcast_if_small(spark.read.schema(PLAN).parquet(path))
 
 
 def mix_sources(
@@ -163,9 +179,11 @@ def mix_sources(
         hashed.alias("hash"),
         F.pmod(hashed, F.lit(BLOCKS)).cast("int").alias("block"),
     )
-    sums = base.groupBy("source", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    plan = literal_table(spark, plan_mix(sums, weights, share, most, shards, seed), PLAN)
-    placed = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("plan_source"))).withColumn(
+    sums = materialise(base.groupBy("source", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sums")
+    # Strings sort by their bytes, which is by code point.
+    ordered = sums.orderBy(F.asc_nulls_last("source"))
+    plan = _plan_table(spark, plan_mix(ordered.toLocalIterator, weights, share, most, shards, seed))
+    placed = base.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn(
         "place", F.pmod(F.col("factor") * F.col("block") + F.col("shift"), F.lit(BLOCKS)).cast("int")
     )
     in_edge = (F.col("place") >= F.col("whole")) & (F.col("place") < F.col("edge"))

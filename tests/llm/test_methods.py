@@ -119,6 +119,25 @@ def test_mix_query(spark, texts):
         assert abs(taken[s] - t) <= max(0.05 * t, 60), s
 
 
+def test_sources_without_a_cap(spark, monkeypatch):
+    """Plans in many groups take what one plan takes, near each target and never above three times a size."""
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    rng = random.Random(2)
+    data = [(i, f"s{rng.randrange(100):03}", " ".join("w" * rng.randrange(1, 30))) for i in range(4000)] + [(9000, None, "a b c")]
+    rows = mixing.mix_sources(spark.createDataFrame(data, "doc_id long, source string, text string")).select("row.doc_id", "row.source", "size", "source_size", "target", "shards").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for i, *_ in data)
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * len(r["shards"])
+        target[r["source"]] = r["target"]
+        assert len(r["shards"]) <= 3 and all(0 <= k < 64 for k in r["shards"])
+    names = sorted((s for s in sizes if s), key=str.encode) + [None]
+    want = mixing.target_sizes([sizes[s] for s in names], [(5.0, 2.0, 1.0)[i % 3] for i in range(len(names))])
+    for s, t in zip(names, want, strict=True):
+        assert target[s] == pytest.approx(t) and abs(taken[s] - t) <= max(30, 0.02 * t)
+
+
 # --- quality ---
 
 
