@@ -318,7 +318,7 @@ def test_lines_are_the_text(text):
     lines = line_dedup.lines_of(text)
     assert "".join(lines) == text
     covered = [False] * len(lines)
-    for first, n, _ in line_dedup.chunk_lines(lines):
+    for first, n, _ in line_dedup.chunk_lines(text):
         assert not any(covered[first : first + n]) and first + n <= len(lines)
         covered[first : first + n] = [True] * n
 
@@ -326,10 +326,11 @@ def test_lines_are_the_text(text):
 def plain_dedup(data):
     """Spans that go, straight from the definition: every repeated chunk grows line by line as its first place does."""
     cut = {i: line_dedup.lines_of(t) for i, t in data}
-    bare = {i: [x.strip() for x in lines] for i, lines in cut.items()}
+    bare = {i: [line_dedup.bare(x) for x in lines] for i, lines in cut.items()}
+    texts = dict(data)
     places = defaultdict(list)
     for i in sorted(cut):
-        for first, n, _ in line_dedup.chunk_lines(cut[i]):
+        for first, n, _ in line_dedup.chunk_lines(texts[i]):
             places[tuple(bare[i][first : first + n])].append((i, first))
     hits = {(j, at): (x, p[0]) for x, p in places.items() for j, at in p[1:]}
     covered = {i: [False] * len(lines) for i, lines in cut.items()}
