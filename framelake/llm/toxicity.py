@@ -54,7 +54,7 @@ NATS, PRIOR = 1.0, 2.0
 FIT_ROWS, FIT_FOLD = 20_000, 1
 FOLDS = 5
 #: Most words and keys that are broadcast, and the size of the filter.
-HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 1 << 18, 1 << 27
+HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 1 << 21, 1 << 27
 #: Texts that one step of a worker holds.
 PART_ROWS = 1000
 
@@ -152,14 +152,14 @@ def _smoothed(toxic: Column, plain: Column, share: float) -> Column:
 
 
 def frequent(table: DataFrame, most: int) -> int:
-    """The least ``freq`` that at most ``most`` rows reach, on a grid of powers of two."""
-    rows = sorted(table.groupBy(F.length(F.bin("freq")).alias("bits")).count().collect(), key=lambda r: -r["bits"])
+    """The least ``freq`` that at most ``most`` rows reach: exact below 64, beyond on a grid of powers of two."""
+    step = F.when(F.col("freq") < 64, F.col("freq")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin("freq")) - 1))
     total, least = 0, 1 << 62
-    for r in rows:
+    for r in sorted(table.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # 64 and one for each power
         total += r["count"]
         if total > most:
             break
-        least = 1 << (r["bits"] - 1)
+        least = r["step"]
     return least
 
 
@@ -249,7 +249,7 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, st
     if entries is None:
         return base.select("doc_id", "text_hash", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("told"), F.lit(0.0).alias("other"))
     least = frequent(entries, HOT)
-    hot = entries.where(F.col("freq") >= least).select("key", "told", "other").toArrow().sort_by("key")  # HOT rows at most
+    hot = entries.where(F.col("freq") >= least).select("key", "told", "other").toArrow().sort_by("key")  # HOT rows of 16 bytes at most
     context = docs.sparkSession.sparkContext
     shared = context.broadcast((*(hot[c].to_numpy() for c in ("key", "told", "other")), key_filter(entries)))
     names = ["row", "key", "base"]
