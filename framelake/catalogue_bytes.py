@@ -18,7 +18,9 @@ from framelake.operators import guards as G
 from framelake.operators.reader import cache_statistics, read_frames
 from framelake.operators.samples import access_pattern, presentation_order
 from framelake.plans import conformance
+from framelake.session import materialise
 from framelake.sources import mp4, nal, obu
+from framelake.sources import parameter_sets as PS
 from framelake.streaming.playback import play_batch
 
 
@@ -128,9 +130,8 @@ def _written(spark, sf) -> DataFrame:
 @query("""SELECT 'track' || track_id AS file_id, decode_index, dts, pts, duration, is_sync, row_number() OVER (PARTITION BY track_id ORDER BY pts, dts, decode_index) - 1 AS presentation_index, sha256('sample ' || event_id) AS digest FROM samples""", views.SAMPLES)
 def mp4_round_trip(spark, sf):
     """Written files, walked, their tables composed into the sample index, and the payloads read through it."""
-    files = _written(spark, sf)
-    content = files.select(F.col("file_id").alias("path"), "content")
-    tables = {t: mp4.tables_of(content, t) for t in ("stts", "ctts", "stsc", "sizes", "chunks", "sync", "sdtp", "trex", "frag_samples")}
+    files = materialise(_written(spark, sf), "files")
+    tables = mp4.split_tables(mp4.tables_of(files.select(F.col("file_id").alias("path"), "content"), "all"))
     found = mp4.payloads(mp4.sample_index(tables), files)
     return found.select("file_id", "decode_index", "dts", "pts", "duration", "is_sync", "presentation_index", F.sha2("data", 256).alias("digest"))
 

@@ -2,12 +2,14 @@
 
 ``spark.read.format("mp4_index").option("table", ...).load(path)`` gives one of the tables
 ``tracks``, ``stts``, ``ctts``, ``stsc``, ``sizes``, ``chunks``, ``sync``, ``sdtp``, ``edits``, ``trex``, ``frag_samples``, ``media`` or
-``errors``, one partition for each file; ``samples`` composes the sample index from them with the DataFrame
+``errors``, one partition for each file; ``all`` gives them together from one walk, each row with its ``table``. Files are
+mapped, so media bytes are passed over unread. ``sample_index`` composes the index of samples from the tables with the DataFrame
 operators. A file that is malformed gives a row in ``errors`` and none elsewhere.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from framelake.errors import MediaError
 from framelake.functions.pixels import unpack_dependency
 from framelake.operators import samples as S
+from framelake.session import materialise
 from framelake.sources.boxes import Movie, Parser, box, full_box, runs
 
 KEYS = ("file_id", "track_id")
@@ -40,6 +43,10 @@ SCHEMAS = {
     "boxes": "file_id string, path string, kind string, start long, payload_start long, end long, depth int",
     "errors": "file_id string, kind string, message string",
 }
+#: The tables of ``all``, and their columns side by side: a table's rows leave those of others null.
+INDEX = [t for t in SCHEMAS if t not in ("boxes", "errors")]
+WIDE = dict(c.split() for t in [*INDEX, "errors"] for c in SCHEMAS[t].split(", "))
+SCHEMAS["all"] = ", ".join(["table string", *(f"{n} {kind}" for n, kind in WIDE.items())])
 
 
 def table_rows(name: str, file: str, movie: Movie) -> Iterator[tuple]:
@@ -76,6 +83,18 @@ def table_rows(name: str, file: str, movie: Movie) -> Iterator[tuple]:
                 yield from ((*key, i, *e) for i, e in enumerate(t.edits))
 
 
+def wide_rows(file: str, movie: Movie) -> Iterator[tuple]:
+    """The rows of all tables, in the columns of ``all``."""
+    place = {n: i + 1 for i, n in enumerate(WIDE)}
+    for table in INDEX:
+        at = [place[c.split()[0]] for c in SCHEMAS[table].split(", ")]
+        for r in table_rows(table, file, movie):
+            wide = [table, *[None] * len(WIDE)]
+            for i, v in zip(at, r, strict=True):
+                wide[i] = v
+            yield tuple(wide)
+
+
 @dataclass
 class OneFile(InputPartition):
     path: str
@@ -111,8 +130,11 @@ class Mp4Reader(DataSourceReader):
         if not partition.path:
             return
         with open(partition.path, "rb") as f:
-            data = f.read()
-        yield from file_rows(self.table, os.path.basename(partition.path), data, self.track)
+            if not os.fstat(f.fileno()).st_size:
+                yield from file_rows(self.table, os.path.basename(partition.path), b"", self.track)
+                return
+            with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+                yield from file_rows(self.table, os.path.basename(partition.path), data, self.track)
 
 
 def file_rows(table: str, name: str, data: bytes, track: int | None = None) -> Iterator[tuple]:
@@ -122,9 +144,11 @@ def file_rows(table: str, name: str, data: bytes, track: int | None = None) -> I
             rows = [(name, b.path, b.kind.decode("latin-1"), b.start, b.payload, b.end, b.depth) for b in Parser().walk(data)]
         else:
             movie = Parser().movie(data)
-            rows = [] if table == "errors" else list(table_rows(table, name, movie))
+            rows = [] if table == "errors" else wide_rows(name, movie) if table == "all" else table_rows(table, name, movie)
     except MediaError as e:
         rows = [(name, e.kind, e.message)] if table == "errors" else []
+        if table == "all":
+            rows = [tuple({"table": "errors", "file_id": name, "kind": e.kind, "message": e.message}.get(n) for n in ["table", *WIDE])]
     at = SCHEMAS[table].replace(" string", "").replace(" long", "").split(", ").index("track_id") if track is not None and "track_id" in SCHEMAS[table] else None
     yield from (r for r in rows if at is None or r[at] == track)
 
@@ -162,6 +186,12 @@ def tables_of(content: DataFrame, table: str) -> DataFrame:
     return content.select("path", "content").mapInPandas(run, SCHEMAS[table])
 
 
+def split_tables(together: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``all``, which is written once and then read by its columns."""
+    written = materialise(together, "movies")
+    return {t: written.where(F.col("table") == t).select(*(c.split()[0] for c in SCHEMAS[t].split(", "))) for t in [*INDEX, "errors"]}
+
+
 def sample_index(tables: dict[str, DataFrame]) -> DataFrame:
     """All samples of all tracks: place, size, times, sync, dependencies and presentation index.
 
@@ -189,14 +219,46 @@ def sample_index(tables: dict[str, DataFrame]) -> DataFrame:
 
 def open_files(spark: SparkSession, path: str) -> DataFrame:
     """The sample index of the files below a path."""
-    return sample_index({t: read_table(spark, path, t) for t in ("stts", "ctts", "stsc", "sizes", "chunks", "sync", "sdtp", "trex", "frag_samples")})
+    return sample_index(split_tables(read_table(spark, path, "all")))
+
+
+#: Samples whose bytes are cut from one copy of their file.
+TOGETHER = 4096
 
 
 def payloads(samples: DataFrame, content: DataFrame) -> DataFrame:
     """Adds each sample's bytes from files as rows (file_id, content); a short read has ``error`` set."""
-    joined = samples.join(content.select("file_id", "content"), "file_id")
-    data = F.col("content").substr((F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
-    return joined.withColumn("data", data).withColumn("error", F.when(F.octet_length("data") != F.col("size"), "sample lies beyond the file")).drop("content")
+    names = [c for c in samples.columns if c != "file_id"]
+    part = F.call_function("div", F.col("decode_index"), F.lit(TOGETHER).cast("long"))
+    groups = samples.groupBy("file_id", "track_id", part.alias("part")).agg(F.collect_list(F.struct(*names)).alias("own")).drop("track_id")
+    joined = groups.join(content.select("file_id", "content"), "file_id")
+    cut = lambda s: F.struct(*(s[n].alias(n) for n in names), F.col("content").substr((s["offset"] + 1).cast("int"), s["size"].cast("int")).alias("data"))
+    found = joined.select("file_id", F.inline(F.transform("own", cut)))
+    return found.withColumn("error", F.when(F.octet_length("data") != F.col("size"), "the file ends inside the sample"))
+
+
+def read_payloads(samples: DataFrame, path: str) -> DataFrame:
+    """The same from the files below a path: each task reads the ranges of its samples, in the order of the file."""
+    folder = _local(path)
+
+    def run(parts):
+        import pandas as pd
+
+        for p in parts:
+            data = []
+            for name, rows in p.groupby("file_id", sort=False):
+                with open(folder if os.path.isfile(folder) else os.path.join(folder, name), "rb") as f:
+                    for i, offset, size in zip(rows.index, rows["offset"], rows["size"], strict=True):
+                        f.seek(int(offset))
+                        data.append((i, f.read(int(size))))
+            p = p.assign(data=pd.Series(dict(data), dtype=object))
+            yield p.assign(error=[None if len(d) == n else "the file ends inside the sample" for d, n in zip(p["data"], p["size"], strict=True)])
+
+    dealt = samples.repartition("file_id", F.call_function("div", F.col("decode_index"), F.lit(TOGETHER).cast("long"))).sortWithinPartitions("file_id", "offset")
+    flat = samples.drop("dependency") if "dependency" in samples.columns else samples
+    dealt = dealt.select(*flat.columns)
+    schema = ", ".join(f"{n} {t}" for n, t in flat.dtypes)
+    return dealt.mapInPandas(run, f"{schema}, data binary, error string")
 
 
 # --- writing ----------------------------------------------------------------------------------
