@@ -15,6 +15,7 @@ from framelake.functions.bits import Bits, BitWriter, insert_emulation, leb128,
 from framelake.functions.codecs import byte_at
 from framelake.operators import frames
 from framelake.operators import guards as G
+from framelake.operators.audio import edit_breaks
 from framelake.operators.reader import cache_statistics, read_frames
 from framelake.operators.samples import access_pattern, presentation_order
 from framelake.plans import conformance
@@ -309,3 +310,209 @@ def unit_allow_list(spark, sf):
     k = F.col("p_partkey")
     types = F.array(F.lit("TemporalDelimiter"), F.lit("SequenceHeader"), F.when(k % 4 == 0, "Metadata").otherwise("Frame"), F.when(k % 5 == 0, "TileList").otherwise("Padding"))
     return views.table(spark, sf, "part").select("p_partkey", G.unit_list_error(types)["kind"].alias("kind"))
+
+
+# --- units, sets and guards that the queries above do not reach ---
+
+
+def _pieces(t: str, n: int) -> list[str]:
+    return [t[at : at + n] for at in range(0, len(t), n)]
+
+
+@query("""SELECT doc_id, (length(t) + 89) // 90 AS units, strlen(t)::BIGINT AS n, sha256(t) AS digest FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def nal_prefixed(spark, sf):
+    """Every piece of a text as a unit behind its length, walked back."""
+
+    def row(i, t):
+        import hashlib
+
+        units = [bytes([39 << 1, 1]) + p.encode() for p in _pieces(t or "", 90)]
+        found = [u[2:] for u in nal.split_prefixed(nal.join_prefixed(units, 2), 2)] if units else []
+        return [(i, len(found), sum(map(len, found)), hashlib.sha256(b"".join(found)).hexdigest())]
+
+    return _map(views.table(spark, sf, "documents").select("doc_id", "text"), "doc_id long, units long, n long, digest string", row)
+
+
+@query("""SELECT p_partkey, p_partkey % 32 AS profile, p_partkey % 200 AS level, p_partkey % 4 AS chroma, p_partkey % 8 + 8 AS depth, p_partkey % 5 AS units FROM part""")
+def configuration_hevc(spark, sf):
+    """Decoder configurations with parameter sets, parsed."""
+
+    def row(k):
+        arrays = b"".join(bytes([32 + i % 3]) + (1).to_bytes(2, "big") + (3).to_bytes(2, "big") + bytes([64 + 2 * (i % 3), 1, i]) for i in range(k % 5))
+        fixed = bytes([1, k % 32]) + bytes(10) + bytes([k % 200]) + bytes(3) + bytes([0xFC | k % 4, 0xF8 | k % 8, 0xF8 | k % 8]) + bytes(2) + bytes([3, k % 5])
+        c = nal.parse_hvcc(fixed + arrays)
+        return [(k, c["profile"], c["level"], c["chroma_format"], c["bit_depth_luma"], len(c["units"]))]
+
+    return _map(views.table(spark, sf, "part").select("p_partkey"), "p_partkey long, profile long, level long, chroma long, depth long, units long", row)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 < 3 THEN p_partkey % 7 END AS profile, CASE WHEN p_partkey % 7 < 3 THEN p_partkey % 24 END AS level, p_partkey % 7 >= 3 AS refused FROM part""")
+def configuration_av1(spark, sf):
+    """Configuration records, parsed; reserved profiles are refused."""
+    from framelake.errors import MediaError
+
+    def row(k):
+        record = bytes([0, 0, 0, 12]) + b"av1C" + bytes([0x81, (k % 7) << 5 | k % 24, 0, 0])
+        try:
+            c = obu.parse_av1c(record)
+        except MediaError:
+            return [(k, None, None, True)]
+        return [(k, c["profile"], c["level"], False)]
+
+    return _map(views.table(spark, sf, "part").select("p_partkey"), "p_partkey long, profile long, level long, refused boolean", row)
+
+
+@query("""SELECT doc_id, k::BIGINT AS tile, strlen(CASE WHEN k < 3 THEN substr(t, k * (length(t) // 4) + 1, length(t) // 4) ELSE substr(t, 3 * (length(t) // 4) + 1) END)::BIGINT AS n
+    FROM (SELECT doc_id, text AS t FROM documents WHERE length(text) >= 4), range(0, 4) r(k)""")
+def tile_groups(spark, sf):
+    """A text cut into four tiles of a group, the last without a size, walked back."""
+
+    def row(i, t):
+        q = len(t) // 4
+        tiles = [t[q * k : q * (k + 1)].encode() for k in range(3)] + [t[3 * q :].encode()]
+        payload = bytes([0]) + b"".join((len(x) - 1).to_bytes(4, "little") + x for x in tiles[:3]) + tiles[3]
+        return [(i, tile, len(data)) for tile, data in obu.tile_group(payload, 1, 1, 4)]
+
+    return _map(views.table(spark, sf, "documents").where("length(text) >= 4").select("doc_id", "text"), "doc_id long, tile long, n long", row)
+
+
+@query("""SELECT doc_id, k AS part, sha256(CASE WHEN k < (length(t) + 299) // 300 - 1 THEN substr(t, k * 300 + 1, 300) ELSE substr(t, k * 300 + 1) END) AS digest
+    FROM (SELECT doc_id, t, unnest(range(0, greatest(1, (length(t) + 299) // 300))) AS k FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""")
+def slice_substreams(spark, sf):
+    """Pieces of a text as substreams, whose entry points count the bytes with emulation prevention."""
+
+    def row(i, t):
+        import hashlib
+
+        pieces = [p.encode() for p in _pieces(t or "", 300)] or [b""]
+        spread = [p.replace(b"e", b"\0\0\1") for p in pieces]
+        data = b"".join(spread)
+        escaped, ends, at = insert_emulation(data), [], 0
+        for p in spread[:-1]:
+            at += len(p)
+            # Bytes of the escaped stream up to the one that stands for the next piece's first.
+            ends.append(len(insert_emulation(data[: at + 1])) - 1)
+        points = [b - a for a, b in zip([0, *ends], ends, strict=False)]
+        found = nal.split_substreams(data, escaped, points)
+        return [(i, k, hashlib.sha256(x.replace(b"\0\0\1", b"e")).hexdigest()) for k, x in enumerate(found)]
+
+    return _map(views.table(spark, sf, "documents").select("doc_id", "text"), "doc_id long, part long, digest string", row)
+
+
+@query("""SELECT p_partkey, 16 * (p_partkey % 100 + 1) AS width, 8 * (p_partkey % 60 + 1) - 2 * (p_partkey % 3) AS height, p_partkey % 16 AS id, p_partkey % 4 AS reorder, 16 << (p_partkey % 13)::INTEGER AS poc_lsb,
+    concat_ws(',', -(p_partkey % 5 + 1), -(p_partkey % 5 + 2), p_partkey % 7 + 1) AS pictures FROM part""")
+def sequence_sets(spark, sf):
+    """Sequence sets written and read back."""
+
+    def row(k):
+        sets = [{"before": 2, "after": 1, "earlier": [{"step": k % 5, "used": 1}, {"step": 0}], "later": [{"step": k % 7}]}]
+        values = {"profile": {"profile": 1}, "id": k % 16, "chroma": 1, "width": 16 * (k % 100 + 1), "height": 8 * (k % 60 + 1), "cropped": 1, "crop_top": k % 3, "poc_bits": k % 13, "ordering": [{"reorder": k % 4}], "set_count": 1, "sets": sets}
+        found = PS.read(PS.sequence_set, PS.write(PS.sequence_set, values))
+        facts = PS.sequence_facts(found)
+        return [(k, facts["width"], facts["height"], found["id"], facts["reorder"], facts["poc_lsb"], ",".join(str(d) for d, _ in found["sets"][0]["pictures"]))]
+
+    return _map(views.table(spark, sf, "part").select("p_partkey"), "p_partkey long, width long, height long, id long, reorder long, poc_lsb long, pictures string", row)
+
+
+@query("""SELECT track_id, n + 2 AS unit_no, poc_lsb, ['B', 'P', 'I'][event_id % 3 + 1] AS kind, event_id % 21 - 10 AS qp, (event_id % 40)::INTEGER AS address FROM pictures""", views.PICTURES)
+def slice_headers(spark, sf):
+    """Streams of a sequence set, a picture set and a slice for each picture: the headers in their sets."""
+    sps = PS.write(PS.sequence_set, {"profile": {"profile": 1}, "chroma": 1, "width": 128, "height": 80, "ordering": [{}], "set_count": 1, "sets": [{"before": 1, "earlier": [{"used": 1}]}]})
+    pps = PS.write(PS.picture_set, {"refs1": 1})
+    sets = ({0: PS.read(PS.picture_set, pps)}, {0: PS.read(PS.sequence_set, sps)})
+
+    def row(track, n, poc, e):
+        header = {"first": int(e % 40 == 0), "address": e % 40, "type": e % 3, "poc_lsb": poc, "from_sequence": 1, "qp": e % 21 - 10}
+        return [(track, n + 2, 1, PS.write(PS.slice_header, header, 1, *sets))]
+
+    p = views.pictures(spark, sf)
+    slices = _map(p.select("track_id", "n", "poc_lsb", "event_id"), "track_id long, unit_no long, nal_type int, rbsp binary", row)
+    first = p.select("track_id").distinct()
+    heads = [first.select("track_id", F.lit(i).cast("long").alias("unit_no"), F.lit(k).alias("nal_type"), F.lit(d).alias("rbsp")) for i, (k, d) in enumerate(((PS.SPS, sps), (PS.PPS, pps)))]
+    found = PS.slice_rows(slices.unionByName(heads[0]).unionByName(heads[1]), key="track_id")
+    return found.select("track_id", "unit_no", "poc_lsb", F.col("type").alias("kind"), F.col("qp").cast("long").alias("qp"), "address")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'context lost' WHEN p_partkey % 3 = 0 THEN 'context not current' WHEN p_partkey % 5 = 0 THEN 'resource made for another graphics interface'
+    WHEN p_partkey % 7 = 0 THEN 'resource made in another context' WHEN p_partkey % 11 = 0 THEN 'resource held by another owner' END AS fault FROM part""")
+def graphics_resources(spark, sf):
+    k = F.col("p_partkey")
+    return views.table(spark, sf, "part").select("p_partkey", G.resource_error(k % 2 == 0, k % 3 != 0, k % 5 != 0, k % 7 != 0, k % 11 != 0)["message"].alias("fault"))
+
+
+@query("""SELECT track_id, decode_index AS frame, 'left' AS side FROM samples WHERE event_id % 9 = 0 UNION ALL SELECT track_id, decode_index + 1000000, 'right' FROM samples WHERE event_id % 9 = 0""", views.SAMPLES)
+def frame_identities(spark, sf):
+    """Frames that a decoder was asked for and those that it gave, where a ninth comes under another number."""
+    s = views.samples(spark, sf)
+    asked = s.select("track_id", F.col("decode_index").alias("frame"))
+    given = s.select("track_id", F.when(F.col("event_id") % 9 == 0, F.col("decode_index") + 1000000).otherwise(F.col("decode_index")).alias("frame"))
+    return conformance.identity_errors(asked, given, ("track_id", "frame"))
+
+
+_PACKETS = """p AS (SELECT track_id, decode_index, pts, dts - (event_id % 13) * 100 AS dts, is_sync AND event_id % 4 > 0 AS sync FROM samples),
+q AS (SELECT *, lag(dts) OVER (PARTITION BY track_id ORDER BY decode_index) AS b FROM p),
+f AS (SELECT track_id, count(*) AS n, count(DISTINCT pts) AS times, count(*) FILTER (dts <= b) AS back, count(*) FILTER (decode_index = 0 AND sync) AS opened FROM q GROUP BY track_id)"""
+
+
+@query("""SELECT track_id, unnest(list_filter([CASE WHEN track_id % 5 = 0 THEN 'one packet per frame is required' END, CASE WHEN opened = 0 THEN 'the first packet must be a sync sample' END,
+    CASE WHEN times < n THEN 'presentation times must be unique' END, CASE WHEN back > 0 THEN 'decode times must increase' END], lambda x: x IS NOT NULL)) AS problem FROM f""", views.SAMPLES, _PACKETS)
+def encoder_packets(spark, sf):
+    s = views.samples(spark, sf)
+    packets = s.select("track_id", F.col("decode_index").alias("packet_no"), "pts", (F.col("dts") - F.col("event_id") % 13 * 100).alias("dts"), (F.col("is_sync") & (F.col("event_id") % 4 > 0)).alias("is_sync"))
+    frames_ = s.select("track_id").unionByName(s.select("track_id").distinct().where("track_id % 5 = 0"))
+    return conformance.packet_errors(packets, frames_)
+
+
+@query("""SELECT track_id, edit_no FROM (SELECT *, lag("end") OVER (PARTITION BY track_id ORDER BY edit_no) AS b FROM (SELECT track_id, edit_no, start - CASE WHEN edit_no % 4 = 3 THEN 5 ELSE 0 END AS start, "end", media_start FROM edits))
+    WHERE start < coalesce(b, 0) OR "end" <= start OR (media_start IS NOT NULL AND (media_start < 20 OR media_start + "end" - start > 900))""", views.EDITS)
+def edit_order(spark, sf):
+    """Edits that overlap the one before, are empty, or reach outside what the track decodes to."""
+    e = views.edits(spark, sf).withColumn("start", F.col("start") - F.when(F.col("edit_no") % 4 == 3, 5).otherwise(0))
+    e = e.withColumn("priming", F.lit(20)).withColumn("padding", F.lit(100)).withColumn("decoded_length", F.lit(1000))
+    return edit_breaks(e).select("track_id", "edit_no")
+
+
+def _fragmented(spark, sf) -> DataFrame:
+    """A file per track whose samples are in fragments of three."""
+    from framelake.sources.boxes import box, full_box
+
+    def pack(track, rows):
+        import struct
+
+        rows = [tuple(int(v) for v in r.values()) for r in rows]
+        config = box(b"av1C", bytes([0x81, 4, 0, 0]))
+        entry = bytes(6) + struct.pack(">H", 1) + bytes(16) + struct.pack(">HH", 2, 2) + bytes(50)
+        empty = lambda kind, *head: full_box(kind, 0, 0, *head, bytes(4))
+        stbl = box(b"stbl", full_box(b"stsd", 0, 0, struct.pack(">I", 1), box(b"av01", entry, config)), empty(b"stts"), empty(b"stsc"), full_box(b"stsz", 0, 0, bytes(8)), empty(b"stco"))
+        mdhd = full_box(b"mdhd", 0, 0, struct.pack(">IIII", 0, 0, 1000, 0), bytes(4))
+        tkhd = full_box(b"tkhd", 0, 3, struct.pack(">III", 0, 0, 1), bytes(68))
+        elst = box(b"edts", full_box(b"elst", 0, 0, struct.pack(">I", 2), struct.pack(">IiHH", 40, -1, 1, 0), struct.pack(">IiHH", 60, 7, 1, 0)))
+        hdlr = full_box(b"hdlr", 0, 0, bytes(4), b"vide", bytes(13))
+        trak = box(b"trak", tkhd, elst, box(b"mdia", mdhd, hdlr, box(b"minf", stbl)))
+        mvex = box(b"mvex", full_box(b"trex", 0, 0, struct.pack(">IIIII", 1, 1, 100, 8, 0)))
+        out = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", full_box(b"mvhd", 0, 0, struct.pack(">IIII", 0, 0, 1000, 0), bytes(80)), trak, mvex)
+        at = 0
+        for first in range(0, len(rows), 3):
+            part = rows[first : first + 3]
+            entries = b"".join(struct.pack(">Ii", n, shift) for n, shift, _ in part)
+            make = lambda start: box(b"moof", full_box(b"mfhd", 0, 0, struct.pack(">I", first)), box(b"traf", full_box(b"tfhd", 0, 0x20000, struct.pack(">I", 1)), full_box(b"tfdt", 1, 0, struct.pack(">Q", at)), full_box(b"trun", 1, 0x901, struct.pack(">Ii", len(part), start), entries)))  # noqa: B023, E731
+            out += make(len(make(0)) + 8) + box(b"mdat", b"".join(event.to_bytes(8, "big") for _, _, event in part))
+            at += sum(n for n, _, _ in part)
+        return [(f"f{track}", out)]
+
+    rows = views.samples(spark, sf).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("decode_index", "duration", "cto", "event_id"))).alias("rows"))
+    return _map(rows.select("track_id", F.transform("rows", lambda r: F.struct(r["duration"].alias("n"), r["cto"].alias("shift"), r["event_id"].alias("held"))).alias("rows")), "path string, content binary", pack)
+
+
+@query("""SELECT 'f' || track_id AS file_id, decode_index, dts, pts, duration, event_id AS held FROM samples""", views.SAMPLES)
+def mp4_fragments(spark, sf):
+    """Samples of fragmented files, with the number that each sample's bytes hold."""
+    files = materialise(_fragmented(spark, sf), "files")
+    tables = mp4.split_tables(mp4.tables_of(files, "all"))
+    found = mp4.payloads(mp4.sample_index(tables), files.withColumnRenamed("path", "file_id"))
+    return found.select("file_id", "decode_index", "dts", "pts", "duration", F.conv(F.hex("data"), 16, 10).cast("long").alias("held"))
+
+
+@query("""SELECT DISTINCT 'f' || track_id AS file_id, edit_no, segment_duration, media_time FROM samples, (VALUES (0::BIGINT, 40::BIGINT, -1::BIGINT), (1, 60, 7)) t(edit_no, segment_duration, media_time)""", views.SAMPLES)
+def mp4_edits(spark, sf):
+    return mp4.tables_of(_fragmented(spark, sf), "edits").select("file_id", "edit_no", "segment_duration", "media_time")
