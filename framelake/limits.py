@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+
+from framelake.errors import MediaError
 
 
 @dataclass(frozen=True)
@@ -27,5 +29,25 @@ class Limits:
     max_operating_points: int = 32
     max_tiles: int = 4096
 
+    def __post_init__(self) -> None:
+        for f in fields(self):
+            if getattr(self, f.name) <= 0:
+                raise MediaError("ResourceLimit", f"{f.name} must let something through")
+
+    @classmethod
+    def of(cls, options: dict) -> Limits:
+        """Limits from a bag of options, whose numbers may be texts; an unknown name or a value that is no whole number raises."""
+        known, found = {f.name for f in fields(cls)}, {}
+        for name, value in options.items():
+            if name not in known:
+                raise MediaError("InvalidInput", f"there is no limit named {name}")
+            try:
+                found[name] = int(value)
+            except (TypeError, ValueError):
+                raise MediaError("InvalidInput", f"{name} must be a whole number") from None
+            if isinstance(value, float) and value != found[name]:
+                raise MediaError("InvalidInput", f"{name} must be a whole number")
+        return cls(**found)
+
 
 DEFAULT = Limits()

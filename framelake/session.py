@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.errors import MediaError
+
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benches; clusters bring their own."""
@@ -27,6 +32,32 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
+@contextmanager
+def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
+    """Jobs started inside can be cancelled from another thread by what is yielded; what then fails raises as cancelled."""
+    context, group, asked = spark.sparkContext, f"{name}-{uuid.uuid4().hex}", Event()
+    before = [context.getLocalProperty(p) for p in ("spark.jobGroup.id", "spark.job.description")]
+
+    def cancel() -> None:
+        asked.set()
+        context.cancelJobGroup(group)
+
+    context.setJobGroup(group, name, interruptOnCancel=True)
+    try:
+        yield cancel
+        if asked.is_set():
+            raise MediaError("Cancelled", f"{name} was cancelled")
+    except MediaError:
+        raise
+    except Exception as e:
+        if asked.is_set():
+            raise MediaError("Cancelled", f"{name} was cancelled") from e
+        raise
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", before[0])
+        context.setLocalProperty("spark.job.description", before[1])
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 

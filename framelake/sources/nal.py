@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -118,6 +119,37 @@ def parse_sei(rbsp: bytes, suffix: bool = False) -> list[tuple[int, int, str, by
     return out
 
 
+#: The methods of a picture hash by their number, and the bytes of each.
+HASHES = {0: ("md5", 16), 1: ("crc", 2), 2: ("checksum", 4)}
+
+
+def picture_hashes(payload: bytes, planes: int) -> tuple[str, list[bytes]]:
+    """Method and values, one for each plane, of a picture hash message."""
+    method, size = HASHES.get(payload[0] if payload else 255, (None, 0))
+    if method is None or len(payload) < 1 + planes * size:
+        raise malformed("a picture hash of an unknown method, or without all planes")
+    return method, [payload[1 + size * k : 1 + size * (k + 1)] for k in range(planes)]
+
+
+def plane_hashes(method: str, planes: list[tuple[bytes, int, int]]) -> list[bytes]:
+    """The values that a message should hold, of planes of 8-bit samples (bytes, width, height)."""
+    import binascii
+    import hashlib
+
+    def checksum(data: bytes, width: int, height: int) -> bytes:
+        x, y = np.arange(width, dtype=np.uint32), np.arange(height, dtype=np.uint32)[:, None]
+        mask = (x & 255) ^ (y & 255) ^ (x >> 8) ^ (y >> 8)
+        total = (np.frombuffer(data, dtype=np.uint8).reshape(height, width) ^ mask).sum(dtype=np.uint64)
+        return (int(total) & 0xFFFFFFFF).to_bytes(4, "big")
+
+    def crc(data: bytes) -> bytes:
+        # A register of ones that is pushed out by two zero bytes is the same as one that starts at 0x1D0F.
+        return binascii.crc_hqx(data, 0x1D0F).to_bytes(2, "big")
+
+    ways = {"md5": lambda d, w, h: hashlib.md5(d).digest(), "crc": lambda d, w, h: crc(d), "checksum": checksum}
+    return [ways[method](*p) for p in planes]
+
+
 def split_substreams(data: bytes, escaped: bytes, entry_points: list[int]) -> list[bytes]:
     """Substreams of slice data; entry points count the bytes before emulation prevention goes."""
     skipped, zeros, where = 0, 0, []
