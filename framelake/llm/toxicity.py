@@ -8,9 +8,9 @@ backoff. As logarithms the two differ by
 
     log p(w | v, toxic) - log p(w | v, ordinary) = A(v) + B(w) + C(v, w),
 
-of the backoff weights of v, of the backed-off probabilities of w, and of a pair that was seen. So the model is one
-table of keys, of words (B + A, as each word but the last is on both sides) and of pairs (C), and the difference of a text is a
-sum over its keys.
+of the backoff weights of v, of the backed-off probabilities of w, and of a pair that was seen. The end of a text is a
+token as well, so each word is on both sides. So the model is one
+table of keys, of words (B + A) and of pairs (C), and the difference of a text is a sum over its keys.
 
 Plain sums drown a few telling words in the noise of many rare ones. So the sum is kept in two parts: the
 expressions that training texts tell apart (smoothed counts differ by ``NATS`` or more, where both classes together
@@ -34,6 +34,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,9 @@ NATS, PRIOR = 1.0, 2.0
 FIT_ROWS, FIT_FOLD = 20_000, 1
 FOLDS = 5
 #: Most words and keys that are broadcast, and the size of the filter.
-HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 1 << 21, 1 << 27
+HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 3 << 20, 1 << 27
 #: Texts that one step of a worker holds.
-PART_ROWS = 1000
+PART_ROWS = 500
 
 
 def fold(key: Column) -> Column:
@@ -89,26 +90,26 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return _hash_long(right, _hash_long(left, np.full(len(left), 42, dtype=np.uint64)))
 
 
-#: Second numbers of the keys of a word, and of the last word of a text, whose A does not count; pairs have a word's hash there.
-AS_WORD, AS_LAST = 1, 2
+#: The hashes of a text's start and end; and the second number of a word's key, where pairs have a hash.
+START, END, AS_WORD = 0, 1, 2
 
 
 def tokenised(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the distinct words, the words of all texts as places in them, the text of each, and the place before it.
+    """Hashes of the distinct words, the tokens of all texts as places in them, the text of each, and the place before it.
 
-    The place before a text's first word is that of the mark, the last of the hashes.
+    The last two hashes are those of a start and an end. A text without words has no tokens.
     """
     seen: dict[str, int] = {}
     parts = [[seen.setdefault(w, len(seen)) for w in TOKEN.findall(t.lower())] for t in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    words = np.fromiter((w for p in parts for w in p), dtype=np.int64, count=int(sizes.sum()))
-    hashes = np.empty(len(seen) + 1, dtype=np.uint64)
-    hashes[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-    hashes[-1] = 0
-    before = np.concatenate([[len(seen)], words[:-1]]) if len(words) else words
-    ends = np.cumsum(sizes)
-    before[ends[:-1][ends[:-1] < len(words)]] = len(seen)
-    return hashes, words, np.repeat(np.arange(len(texts)), sizes), before
+    sizes = np.array([len(p) + 1 if p else 0 for p in parts], dtype=np.int64)
+    tokens = np.fromiter((w for p in parts if p for w in chain(p, (-1,))), dtype=np.int64, count=int(sizes.sum()))
+    tokens[tokens < 0] = len(seen) + 1
+    hashes = np.empty(len(seen) + 2, dtype=np.uint64)
+    hashes[:-2] = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
+    hashes[-2:] = START, END
+    before = np.concatenate([[len(seen)], tokens[:-1]]) if len(tokens) else tokens
+    before[before == len(seen) + 1] = len(seen)
+    return hashes, tokens, np.repeat(np.arange(len(texts)), sizes), before
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +197,10 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float, float] | None:
     tells = ((F.abs(_smoothed(F.col("tt"), F.col("to"), share)) >= NATS) | (F.abs(_smoothed(F.col("toxic_w"), F.col("plain_w"), tokens)) >= NATS)) & (F.abs(ratio) >= NATS)
     weight = lambda k, n: F.when(F.col(n) > 0, F.log(DISCOUNT * F.col(k) / F.col(n))).otherwise(0.0)
     left = weight("kt", "toxic_v") - weight("ko", "plain_v")
-    start = words.where("word = 0").select(left.alias("a")).first()["a"]
+    start = words.where(F.col("word") == START).select(left.alias("a")).first()["a"]
     freq = F.col("toxic_w") + F.col("plain_w")
     known = words.where("ts > 0")
     alone = known.select(*entry(F.xxhash64("word", F.lit(AS_WORD).cast("long")), F.when(tells, ratio).otherwise(0.0), F.when(tells, 0.0).otherwise(ratio) - unseen + left, freq))
-    last = known.where(left != 0).select(*entry(F.xxhash64("word", F.lit(AS_LAST).cast("long")), 0.0, -left, F.lit(1).cast("long")))
-
     lefts, rights = words.select(F.col("word").alias("v_"), "kt", "ko"), words.select(F.col("word").alias("w_"), "pt", "po")
     least = frequent(words, HOT_WORDS)
     hot_left, hot_right = (F.broadcast(x) for x in (words.where(F.col("freq") >= least).select(F.col("word").alias("v_"), "kt", "ko"), words.where(F.col("freq") >= least).select(F.col("word").alias("w_"), "pt", "po")))
@@ -211,7 +210,7 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float, float] | None:
     gain = lambda c, k, p: F.when(F.col(c) > 0, F.log1p((F.col(c) - DISCOUNT) / (DISCOUNT * F.col(k) * F.col(p)))).otherwise(0.0)
     value, tells = gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS
     both = entry(F.xxhash64("v", "w"), F.when(tells, value).otherwise(0.0), F.when(tells, 0.0).otherwise(value), F.col("toxic") + F.col("plain"))
-    entries = materialise(alone.unionByName(last).unionByName(met.where(warm).select(*both)).unionByName(rare.select(*both)), "model")
+    entries = materialise(alone.unionByName(met.where(warm).select(*both)).unionByName(rare.select(*both)), "model")
     release(counted)
     return entries, unseen, start
 
@@ -275,12 +274,12 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, st
         for b in _parts(batches):
             hashes, words, text, before = tokenised(b.column(2).to_pylist())
             number = lambda n: np.full(len(hashes), n, dtype=np.uint64)
-            n = np.bincount(text, minlength=b.num_rows)
-            ends = np.cumsum(n)[n > 0] - 1
-            # Keys once for a batch: all words, the last words of texts, and the distinct pairs.
+            tokens = np.bincount(text, minlength=b.num_rows)
+            n = np.maximum(tokens - 1, 0)
+            # Keys once for a batch: its words, and its distinct pairs.
             pair, at, which = np.unique(before * len(hashes) + words, return_index=True, return_inverse=True)
-            sides = ((mixed(hashes, number(AS_WORD)), words, text), (mixed(hashes, number(AS_LAST)), words[ends], text[ends]), (mixed(hashes[before[at]], hashes[words[at]]), which, text))
-            told, other, cold_keys, cold_rows = np.zeros(b.num_rows), n * unseen + np.where(n > 0, start, 0.0), [], []
+            sides = ((mixed(hashes, number(AS_WORD)), words, text), (mixed(hashes[before[at]], hashes[words[at]]), which, text))
+            told, other, cold_keys, cold_rows = np.zeros(b.num_rows), tokens * unseen + np.where(n > 0, start, 0.0), [], []
             for keys, at, of in sides:
                 a, c, sought = look(keys)
                 told += np.bincount(of, weights=a[at], minlength=b.num_rows)

@@ -416,7 +416,7 @@ def plain_kneser_ney(rows):
     """The difference of the log-likelihoods of the words after their predecessors, from counts in dictionaries."""
     d, counts = toxicity.DISCOUNT, (Counter(), Counter())
     for words, label in rows:
-        counts[label].update(zip([None, *words], words))
+        counts[label].update(zip([None, *words], [*words, "."]) if words else ())
     follows = [{x: Counter(pair[x] for pair in c) for x in (0, 1)} for c in counts]
     shared, total = Counter(w for _, w in counts[0].keys() | counts[1].keys()), len(counts[0].keys() | counts[1].keys())
     before = [Counter() for _ in counts]
@@ -431,7 +431,7 @@ def plain_kneser_ney(rows):
         n = before[label][v]
         return (max(counts[label][v, w] - d, 0) + d * follows[label][0][v] * low) / n if n else low
 
-    return lambda words: sum(math.log(likely(1, v, w) / likely(0, v, w)) for v, w in zip([None, *words], words))
+    return lambda words: sum(math.log(likely(1, v, w) / likely(0, v, w)) for v, w in zip([None, *words], [*words, "."])) if words else 0.0
 
 
 @pytest.mark.parametrize("few", [True, False])
