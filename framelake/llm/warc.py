@@ -1,8 +1,9 @@
 """WARC archives: a writer, and a Python data source that reads headers first.
 
-Writing is a DataFrame plan: a record is a string, and the text writer puts the two
-line ends that close a record between records, so files land through Spark's own
-commit protocol in any storage Spark can write. Files are gzip streams.
+Writing is a DataFrame plan up to one string per record; payloads stay where they are, as only digests meet. The data source then
+writes each record as a gzip member of its own, as is customary, so that a reader can start at any record whose place it knows.
+A file ends behind ``FILE_BYTES``. A task writes under a name that readers pass over; the driver gives the files of tasks
+that succeeded their names, so a lost executor leaves nothing behind.
 
 Reading plans whole files into partitions of about ``split_bytes``. Predicates on
 ``file``, ``warc_type``, ``record_id``, ``target_uri``, ``refers_to``, ``payload_digest``
@@ -23,20 +24,23 @@ from __future__ import annotations
 import gzip
 import io
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
-from framelake.llm.common import text_or_empty
+from framelake.llm.common import broadcast_if_small, text_or_empty
+from framelake.session import materialise
 
 MIN_REVISIT = 100
 SALTS = 32
-#: Records that a file takes.
-FILE_RECORDS = 200_000
+#: Bytes behind which a file ends.
+FILE_BYTES = 1 << 30
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -56,8 +60,8 @@ def record_key(uri: str) -> Column:
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
     """``row``, ``payload``, ``digest`` and ``first``: the id of the record that a row revisits, or null.
 
-    Only digests that occur twice stay on the small side, once per salt, so one
-    payload that fills a third of the table is dealt over many tasks.
+    Only digests that occur twice stay on the small side. It is broadcast where it is small; else it is there once per
+    salt, so one payload that fills a third of the table is dealt over many tasks.
     """
     body = text_or_empty(payload)
     rows = pages.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("key"), body.alias("payload"), F.sha2(body, 256).alias("digest"))
@@ -68,10 +72,16 @@ def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html") -> D
         .groupBy("digest")
         .agg(F.min("key").alias("first"), F.count("*").alias("n"))
         .where("n > 1 AND first IS NOT NULL")
-        .select(F.col("digest").alias("first_digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("first_salt"))
+        .select(F.col("digest").alias("first_digest"), "first")
     )
-    salt = F.pmod(F.xxhash64("key", "digest"), F.lit(SALTS)).cast("int")
-    met = rows.join(firsts, (F.col("digest") == F.col("first_digest")) & (salt == F.col("first_salt")), "left")
+    firsts = materialise(firsts, "firsts")
+    small = broadcast_if_small(firsts)
+    if small is not firsts:
+        met = rows.join(small, F.col("digest") == F.col("first_digest"), "left")
+    else:
+        salted = firsts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("first_salt"))
+        salt = F.pmod(F.xxhash64("key", "digest"), F.lit(SALTS)).cast("int")
+        met = rows.join(salted, (F.col("digest") == F.col("first_digest")) & (salt == F.col("first_salt")), "left")
     return met.select("row", "key", "payload", "digest", F.when(F.col("first") < F.col("key"), F.col("first")).alias("first"))
 
 
@@ -105,8 +115,8 @@ def records(found: DataFrame, url: str = "url") -> DataFrame:
 
 def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
     """Write one record per row below ``path``."""
-    writer = records(revisits(pages, key, payload), url).write
-    writer.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    pages.sparkSession.dataSource.register(WarcSource)
+    records(revisits(pages, key, payload), url).write.format("warc").mode("append").save(path)
 
 
 @dataclass
@@ -272,6 +282,60 @@ class WarcReader(DataSourceReader):
                     yield (*values.values(), size, body)
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task, by the names that readers pass over."""
+
+    files: tuple[str, ...]
+
+
+class WarcWriter(DataSourceWriter):
+    """Rows of one column, a record each without the line ends that close it."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"].rstrip("/")
+        self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        store, folder = _store(self.path)
+        part, files, out, size = TaskContext.get().partitionId(), [], None, 0
+        for row in rows:
+            if out is None or size > self.file_bytes:
+                if out is not None:
+                    out.close()
+                files.append(f"{folder}/.part-{part:05}-{len(files):05}-{uuid.uuid4().hex}.warc.gz")
+                out, size = self._create(store, folder, files[-1]), 0
+            member = gzip.compress((row[0] + END).encode("utf-8", "surrogatepass"), 6, mtime=0)
+            out.write(member)
+            size += len(member)
+        if out is not None:
+            out.close()
+        return Written(tuple(files))
+
+    @staticmethod
+    def _create(store, folder: str, name: str):
+        if store is None:
+            os.makedirs(folder, exist_ok=True)
+            return open(name, "wb")
+        store.create_dir(folder, recursive=True)
+        return store.open_output_stream(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, folder = _store(self.path)
+        if store is None:
+            os.makedirs(folder, exist_ok=True)
+        else:
+            store.create_dir(folder, recursive=True)
+        for name in (f for m in messages if m is not None for f in m.files):
+            known = f"{folder}/{name.rsplit('/', 1)[1][1:]}"
+            os.rename(name, known) if store is None else store.move(name, known)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        store, _ = _store(self.path)
+        for name in (f for m in messages if m is not None for f in m.files):
+            os.remove(name) if store is None else store.delete_file(name)
+
+
 class WarcSource(DataSource):
     """``spark.read.format("warc").load(path)``; options ``payload`` and ``split_bytes``."""
 
@@ -285,6 +349,9 @@ class WarcSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return WarcReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return WarcWriter(dict(self.options))
+
 
 def read_archive(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
     """The records below ``path``."""

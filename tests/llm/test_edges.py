@@ -1,9 +1,11 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
-import corpus_pipeline
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from framelake.llm import ann, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity, url_filters, warc
 from framelake.llm.queries import RULES, vocabulary
 
@@ -158,6 +160,32 @@ def test_warc(spark, tmp_path):
     empty = str(tmp_path / "none")
     warc.write_archive(pages.where("false"), empty)
     assert warc.read_archive(spark, empty).count() == 0
+    members = []
+    for name in sorted(tmp_path.glob("w/part-*.warc.gz")):
+        rest = name.read_bytes()
+        while rest:
+            one = zlib.decompressobj(31)
+            members.append(one.decompress(rest))
+            rest = one.unused_data
+    assert len(members) == len(data) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+    assert not [p for p in tmp_path.glob("w/*") if p.name.startswith(".part")]
+
+
+def test_warc_passes_over_bodies(spark, tmp_path, monkeypatch):
+    """Bodies of records that no predicate admits are neither split nor decoded; files end by bytes."""
+    from pyspark.sql.datasource import EqualTo, In
+
+    pages = spark.createDataFrame([(i, "u", f"{i}" * 500) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.records(warc.revisits(pages)).write.format("warc").option("file_bytes", 1000).mode("append").save(path)
+    assert len(list(tmp_path.glob("w/part-*"))) > 2
+    opened, split = [], warc.split_http
+    monkeypatch.setattr(warc, "split_http", lambda block: opened.append(block) or split(block))
+    reader = warc.WarcReader({"path": path, "split_bytes": "1"})
+    assert list(reader.pushFilters([EqualTo(("record_id",), "<urn:framelake:7>"), In(("warc_type",), ("response", "revisit"))])) == []
+    assert len(reader.partitions()) > 2
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[2] for r in rows] == ["<urn:framelake:7>"] and rows[0][-1] == "7" * 500 and len(opened) == 1
 
 
 def test_nearest(spark):
