@@ -177,6 +177,7 @@ def test_warc_passes_over_bodies(spark, tmp_path, monkeypatch):
 
     pages = spark.createDataFrame([(i, "u", f"{i}" * 500) for i in range(20)], "page_id long, url string, html string").coalesce(1)
     path = str(tmp_path / "w")
+    spark.dataSource.register(warc.WarcSource)
     warc.records(warc.revisits(pages)).write.format("warc").option("file_bytes", 1000).mode("append").save(path)
     assert len(list(tmp_path.glob("w/part-*"))) > 2
     opened, split = [], warc.split_http
