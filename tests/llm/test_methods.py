@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from framelake.llm import ann, graph, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity
 from framelake.llm.queries import QUERIES, vocabulary
+from framelake.session import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -534,6 +535,37 @@ def test_near_neighbours_stop_early(spark):
     assert sum(verified.values()) < 0.1 * 250 * len(x)
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """What each stage removes, on every row that the one before kept."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bad = {r["doc_id"] for r in toxicity.score_documents(docs, labels).where("predicted = 1").collect()}
+    clean = materialise(stages["toxicity"](spark, docs, SF), "clean")
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in bad)
+    lines = materialise(stages["line_dedup"](spark, clean, SF), "lines")
+    data = {r["doc_id"]: r["text"] for r in clean.collect()}
+    plain = plain_dedup([(i, t) for i, t in data.items() if t is not None])
+    texts = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert lines.columns == docs.columns and texts == {i: plain.get(i) for i in data}
+    kept = materialise(stages["near_dedup"](spark, lines, SF), "kept")
+    sets = {}
+    for i, t in texts.items():
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words_of(t or "")]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    want = sorted(min(g) for g in brute_groups({i: s or {()} for i, s in sets.items()}))
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+    size = {i: len(words_of(texts[i] or "")) for i in want}
+    mixed = Counter(r["doc_id"] for r in stages["mixing"](spark, kept, SF).collect())
+    source = {r["doc_id"]: r["source"] for r in kept.collect()}
+    names = sorted({s for s in source.values() if s is not None}, key=str.encode) + [None] * (None in source.values())
+    sums = [sum(size[i] for i in want if source[i] == s) for s in names]
+    for s, target in zip(names, mixing.target_sizes(sums, [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))]), strict=True):
+        taken, largest = sum(size[i] * n for i, n in mixed.items() if source[i] == s), max([size[i] for i in want if source[i] == s])
+        assert abs(taken - target) <= largest
+    assert set(mixed) <= set(want) and max(mixed.values()) <= 3
+
+
 def test_pipeline(spark):
     found = corpus_pipeline.run(spark, SF).collect()
     assert found
