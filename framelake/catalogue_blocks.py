@@ -12,6 +12,7 @@ from framelake.functions.blocks import explicit_tiles, scan_order
 from framelake.functions.pixels import div
 from framelake.operators import blocks as O
 from framelake.operators import pictures
+from framelake.operators import residuals as RS
 
 
 def _part(spark, sf) -> DataFrame:
@@ -298,3 +299,67 @@ def reference_slots(spark, sf):
     slots = F.array(slot(F.when(F.col("k") % 7 == 0, 8).otherwise(16).cast("long")), F.when(F.col("k") % 5 > 0, slot(F.lit(16).cast("long"))), slot(F.lit(16).cast("long")))
     indexes = F.array((F.col("k") % 3).cast("int"), (F.col("k") % 2).cast("int"))
     return O.referred_slots(_part(spark, sf), slots, indexes, F.lit(16), F.lit(16)).select("k", "error")
+
+
+# --- residuals and prediction ---
+
+_MATRIX = ", ".join(f"({k}, {n}, {v})" for k, row in enumerate(RS.transform_matrix(8).tolist()) for n, v in enumerate(row))
+_RESIDUAL = f"""t(k, n, m) AS (VALUES {_MATRIX}),
+c AS (SELECT frame_id, i // 8 AS y, i % 8 AS x, greatest(-32768, least(32767, floor(((v - 128) * 16 * [40, 45, 51, 57, 64, 72][(frame_id % 52 % 6 + 1)::INTEGER] * (1 << (frame_id % 52 // 6)::INTEGER) + 32) / 64.0)))::BIGINT AS v FROM cells),
+h AS (SELECT frame_id, n AS y, x, greatest(-32768, least(32767, floor((sum(m * v) + 64) / 128.0)))::BIGINT AS v FROM c JOIN t ON t.k = c.y GROUP BY frame_id, n, x)"""
+
+
+@query("""SELECT frame_id, (y * 8 + n)::INTEGER AS i, floor((sum(m * v) + 2048) / 4096.0)::BIGINT AS v FROM h JOIN t ON t.k = h.x GROUP BY frame_id, y, n""", views.IMAGES, _CELLS, _RESIDUAL)
+def residuals_8x8(spark, sf):
+    """Images as levels, scaled at a quantiser of their own and transformed back."""
+    b = views.images(spark, sf).select("frame_id", F.transform("gray", lambda v: v - 128).alias("levels"), (F.col("frame_id") % 52).alias("qp"))
+    return RS.residual_blocks(b, 8).select("frame_id", F.posexplode("residual").alias("i", "v"))
+
+
+@query("""SELECT frame_id, i::INTEGER AS i, ((7 - i % 8) * l[i // 8 + 1] + (i % 8 + 1) * t[9] + (7 - i // 8) * t[i % 8 + 1] + (i // 8 + 1) * l[9] + 8) // 16 AS planar
+    FROM (SELECT frame_id, gray[1:16] AS t, gray[17:32] AS l, unnest(range(0, 64)) AS i FROM images)""", views.IMAGES)
+def planar_prediction(spark, sf):
+    b = views.images(spark, sf).select("frame_id", F.lit(0).alias("mode"), F.slice("gray", 1, 16).alias("top"), F.slice("gray", 17, 16).alias("left"), F.get("gray", F.lit(40)).alias("corner"))
+    return RS.predicted_blocks(b).select("frame_id", F.posexplode("block").alias("i", "planar"))
+
+
+@query()
+def directional_prediction(spark, sf):
+    """A directional mode of each image; held against a plain walk in a test."""
+    b = views.images(spark, sf).select("frame_id", (F.col("frame_id") % 34 + 1).cast("int").alias("mode"), F.slice("gray", 1, 16).alias("top"), F.slice("gray", 17, 16).alias("left"), F.get("gray", F.lit(40)).alias("corner"))
+    return RS.predicted_blocks(b).select("frame_id", "mode", joined(F.col("block")).alias("samples"))
+
+
+@query()
+def quantiser_chains(spark, sf):
+    """Quantisers of units of 8 samples in rows of a picture of 128; held against a plain walk in a test."""
+    p = _part(spark, sf).select("k", div(F.col("k"), F.lit(256).cast("long")).alias("slice_id"), (F.col("k") % 256).alias("n"))
+    u = p.withColumn("x", F.col("n") % 16 * 8).withColumn("y", div(F.col("n"), F.lit(16).cast("long")) * 8).withColumn("size", F.lit(8).cast("long")).withColumn("delta", F.col("k") % 11 - 5).withColumn("start_qp", F.lit(30).cast("long"))
+    return RS.quantiser_chain(u).select("k", "qp")
+
+
+@query(f"""WITH {_K} SELECT k, CASE WHEN k % 3 = 0 AND k % 5 > 0 AND k % 2 = 1 AND k % 7 > 0 AND k % 11 > 0 AND k % 13 > 0 THEN NULL ELSE 'Unsupported' END AS inter,
+    CASE WHEN k % 3 = 0 AND k % 5 > 0 AND k % 2 = 0 AND k % 13 > 0 THEN NULL ELSE 'Unsupported' END AS still FROM k""")
+def av1_sequences(spark, sf):
+    no = F.lit(False)
+    k = F.col("k")
+    values = {"profile": k % 3, "bit_depth": F.when(k % 5 > 0, 8).otherwise(10), "monochrome": F.lit(True), "reduced": k % 2 == 0, "order_hints": k % 7 > 0, "warped_motion": k % 11 == 0, "cdef": k % 13 == 0}
+    others = ("frame_ids", "decoder_model", "ref_frame_mvs", "interintra", "masked_compound", "dual_filter", "jnt_comp", "superres", "restoration", "film_grain")
+    s = F.struct(*(v.alias(n) for n, v in values.items()), *(no.alias(n) for n in others))
+    return _part(spark, sf).select("k", RS.av1_support(s, inter=True).alias("inter"), RS.av1_support(s, inter=False).alias("still"))
+
+
+@query("""SELECT event_id, event_id % 9 AS short, event_id AS long_, event_id % 300 AS level, CASE WHEN event_id % 9 < 8 THEN event_id % 9 + 1 ELSE 8 END
+    + 2 * floor(log2(event_id / 4.0 + 1) + 0.0000001)::BIGINT + 3 AS bits FROM events""")
+def binarisations(spark, sf):
+    """Truncated unary, Exp-Golomb of order 2 and Rice codes of order 1, read back; and the bits of the first two."""
+    from framelake.catalogue_bytes import _map
+    from framelake.functions.bits import Bits, BitWriter
+
+    def row(i):
+        first = BitWriter().unary(i % 9, 8).egk(i, 2)
+        n = first.n
+        b = Bits(first.rice(i % 300, 1).trailing().bytes())
+        return [(i, b.unary(8), b.egk(2), b.rice(1), n)]
+
+    return _map(views.table(spark, sf, "events").select("event_id"), "event_id long, short long, long_ long, level long, bits long", row)

@@ -65,6 +65,28 @@ class Bits:
         value = self.u(width - 1)
         return value if value < short else (value << 1) - short + self.u(1)
 
+    def unary(self, most: int) -> int:
+        """Ones up to a zero, or up to ``most`` of them."""
+        n = 0
+        while n < most and self.u(1):
+            n += 1
+        return n
+
+    def egk(self, k: int) -> int:
+        """Exp-Golomb of order k as arithmetic coders have it: ones count up the order."""
+        value = 0
+        while self.u(1):
+            value += 1 << k
+            k += 1
+            if k > 32:
+                raise malformed("an Exp-Golomb code is too long")
+        return value + self.u(k)
+
+    def rice(self, k: int, most: int = 4) -> int:
+        """A prefix of up to ``most`` ones and k bits; beyond, Exp-Golomb of the next order."""
+        prefix = self.unary(most)
+        return (prefix << k) + self.u(k) if prefix < most else (most << k) + self.egk(k + 1)
+
     def align(self) -> None:
         self.at = (self.at + 7) & ~7
 
@@ -111,6 +133,23 @@ class BitWriter:
     def se(self, value: int) -> BitWriter:
         return self.ue(2 * value - 1 if value > 0 else -2 * value)
 
+    def unary(self, value: int, most: int) -> BitWriter:
+        self.u((1 << value) - 1, value)
+        return self if value == most else self.u(0, 1)
+
+    def egk(self, value: int, k: int) -> BitWriter:
+        while value >= 1 << k:
+            self.u(1, 1)
+            value -= 1 << k
+            k += 1
+        return self.u(0, 1).u(value, k)
+
+    def rice(self, value: int, k: int, most: int = 4) -> BitWriter:
+        prefix = value >> k
+        if prefix < most:
+            return self.unary(prefix, most).u(value & (1 << k) - 1, k)
+        return self.unary(most, most).egk(value - (most << k), k + 1)
+
     def trailing(self) -> BitWriter:
         """A one bit and zeros to the byte's end."""
         self.u(1, 1)

@@ -1,8 +1,11 @@
 """Reconstruction arithmetic and block relations against plain Python."""
 
+import numpy as np
+
 import __spark_entry__ as entry
 from framelake import views
 from framelake.functions import rebuild
+from framelake.operators import residuals
 
 SF = "/root/testdata/sf0.001"
 
@@ -101,3 +104,70 @@ def test_reorder_buffer(spark):
 def test_taps_sum_to_one():
     assert all(sum(rebuild.taps("luma", p)) == 64 for p in range(4)) and all(sum(rebuild.taps("chroma", p)) == 64 for p in range(8))
     assert rebuild.taps("luma", 3) == rebuild.taps("luma", 1)[::-1] and len(rebuild.LIMITS) == 54
+
+
+def plain_direction(mode, top, left, corner):
+    """A directional block sample by sample, from the position on the projected line."""
+    n = len(top) // 2
+    angle = residuals.ANGLES[mode - 2]
+    main, side = (top, left) if mode >= 18 else (left, top)
+
+    def line(i):
+        if i == 0:
+            return corner
+        return main[i - 1] if i > 0 else side[((-i * round(8192 / -angle) + 128) >> 8) - 1]
+
+    out = [[0] * n for _ in range(n)]
+    for j in range(n):
+        for i in range(n):
+            at = (i + 1) * 32 + (j + 1) * angle
+            whole, part = at >> 5, at & 31
+            v = ((32 - part) * line(whole) + (part * line(whole + 1) if part else 0) + 16) >> 5
+            if angle == 0 and i == 0:
+                v = clip(main[0] + ((side[j] - corner) >> 1), 0, 255)
+            if mode >= 18:
+                out[j][i] = v
+            else:
+                out[i][j] = v
+    return [x for r in out for x in r]
+
+
+def test_directional_prediction(spark):
+    images = {r["frame_id"]: r["gray"] for r in views.images(spark, SF).collect()}
+    rows = entry.queries()["directional_prediction"](spark, SF).collect()
+    assert len({r["mode"] for r in rows}) > 20
+    for r in rows:
+        g, got = images[r["frame_id"]], [int(x) for x in r["samples"].split(",")]
+        top, left, corner = g[:16], g[16:32], g[40]
+        if r["mode"] > 1:
+            assert got == plain_direction(r["mode"], top, left, corner), r["mode"]
+        else:
+            mean = (sum(top[:8]) + sum(left[:8]) + 8) >> 4
+            assert got[9] == mean and got[1] == (top[1] + 3 * mean + 2) >> 2 and got[0] == (left[0] + 2 * mean + top[0] + 2) >> 2
+
+
+def test_quantiser_chains(spark):
+    got = {r["k"]: r["qp"] for r in entry.queries()["quantiser_chains"](spark, SF).collect()}
+    before, at = {}, {}
+    for k in sorted(got):
+        s, n = k // 256, k % 256
+        x, y = n % 16, n // 16
+        last = before.get(s, 30)
+        left = at.get((s, x - 1, y), last) if x % 8 else last
+        above = at.get((s, x, y - 1), last) if y % 8 else last
+        qp = ((left + above + 1 >> 1) + k % 11 - 5) % 52
+        before[s] = at[s, x, y] = qp
+        assert got[k] == qp
+
+
+def test_transforms():
+    for n in (4, 8, 16, 32):
+        m = residuals.transform_matrix(n)
+        assert (abs(m @ m.T - np.eye(n) * 64 * 64 * n) < 0.012 * 64 * 64 * n).all() and (m[0] == 64).all()
+    assert residuals.transform_matrix(4).tolist() == [[64, 64, 64, 64], [83, 36, -36, -83], [64, -64, -64, 64], [36, -83, 83, -36]]
+    sine = residuals.transform_matrix(4, sine=True)
+    assert (abs(sine @ sine.T - np.eye(4) * 16384) < 200).all()
+    flat = np.zeros((1, 8, 8), dtype=int)
+    flat[0, 0, 0] = 512
+    assert (residuals.inverse_transform(flat) == (((512 * 64 + 64) >> 7) * 64 + 2048) >> 12).all()
+    assert (residuals.skipped_transform(flat)[0, 0, :2] == [(512 * 128 + 2048) >> 12, 0]).all()
