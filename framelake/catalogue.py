@@ -308,14 +308,15 @@ def edit_shift(spark, sf):
     return intervals.shift_edits(views.edits(spark, sf), F.lit(-25)).select("track_id", "edit_no", "start", "end", "media_start")
 
 
-_REQUESTS = """requests AS (SELECT track_id, k AS request_no, k * 64 AS start, k * 64 + 100 AS "end" FROM (SELECT DISTINCT track_id FROM edits), range(0, 5) t(k))"""
+_REQUESTS = """requests AS (SELECT track_id, k AS request_no, k * 64 AS start, k * 64 + 100 AS "end" FROM (SELECT track_id, unnest(range(0, (max("end") + 63) // 64)) AS k FROM edits GROUP BY track_id))"""
 
 
 @query("""SELECT r.track_id, r.request_no, e.edit_no, greatest(r.start, e.start) - r.start AS output_offset, e.media_start + greatest(r.start, e.start) - e.start AS media_start,
     e.media_start + least(r."end", e."end") - e.start AS media_end FROM requests r JOIN edits e ON r.track_id = e.track_id AND r.start < e."end" AND e.start < r."end" """, views.EDITS, _REQUESTS)
 def edit_mapping(spark, sf):
     e = views.edits(spark, sf)
-    r = e.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("request_no"))
+    last = F.call_function("div", F.max("end") - 1, F.lit(64).cast("long"))
+    r = e.groupBy("track_id").agg(last.alias("last")).select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("request_no"))
     r = r.withColumn("start", F.col("request_no") * 64).withColumn("end", F.col("start") + 100)
     e = e.withColumnRenamed("start", "e_start").withColumnRenamed("end", "e_end")
     out = intervals.map_requests(r, e, ("track_id",), 64)
@@ -332,17 +333,21 @@ def packets_for_range(spark, sf):
     return intervals.packets_for_range(r, p.select("track_id", "packet_no", "start", "end"), ("track_id",), 256, 1).select("track_id", "first_packet", "last_packet", "decode_start")
 
 
-@query("""SELECT track_id, count(*) AS n, sum(v)::BIGINT AS total FROM (SELECT p.track_id, x, CASE WHEN x >= 50 AND x < 250 AND x - 50 + 20 < p.len THEN (x - 50 + 20) % 1000 ELSE 0 END AS v
-    FROM (SELECT track_id, max("end") AS len FROM packets GROUP BY track_id) p, range(0, 300) t(x)) GROUP BY track_id""", views.PACKETS)
+@query("""SELECT track_id, request_no, count(*) AS n, sum(CASE WHEN x >= 50 AND x - 30 < len THEN (x - 30) % 1000 ELSE 0 END)::BIGINT AS total FROM (
+    SELECT track_id, len, request_no, request_no * 300 + unnest(range(0, 300)) AS x FROM (SELECT track_id, max("end") AS len, unnest(range(0, (max("end") + 100 + 299) // 300)) AS request_no FROM packets GROUP BY track_id))
+    GROUP BY track_id, request_no""", views.PACKETS)
 def assembled_audio(spark, sf):
+    """Every track in pieces of 300 samples, from silence before its edit to silence behind it."""
     p = views.packets(spark, sf)
     stored = p.withColumn("samples", F.transform(F.sequence("start", F.col("end") - 1), lambda i: (i % 1000).cast("float")))
-    tracks = p.select("track_id").distinct()
-    requests = tracks.select("track_id", F.lit(0).cast("long").alias("request_no"), F.lit(0).cast("long").alias("start"), F.lit(300).cast("long").alias("end"))
-    edits = tracks.select("track_id", F.lit(50).cast("long").alias("start"), F.lit(250).cast("long").alias("end"), F.lit(20).cast("long").alias("media_start"))
+    tracks = p.groupBy("track_id").agg(F.max("end").alias("len"))
+    last = F.call_function("div", F.col("len") + 99, F.lit(300).cast("long"))
+    requests = tracks.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("request_no"))
+    requests = requests.withColumn("start", F.col("request_no") * 300).withColumn("end", F.col("start") + 300)
+    edits = tracks.select("track_id", F.lit(50).cast("long").alias("start"), (F.col("len") + 30).alias("end"), F.lit(20).cast("long").alias("media_start"))
     out = audio.assemble(requests, edits, stored, width=256)
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
-    return out.select("track_id", F.size("samples").cast("long").alias("n"), total.cast("long").alias("total"))
+    return out.select("track_id", "request_no", F.size("samples").cast("long").alias("n"), total.cast("long").alias("total"))
 
 
 # --- pictures -------------------------------------------------------------------------------
