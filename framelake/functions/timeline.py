@@ -7,12 +7,21 @@ a zero denominator, is null; guards beside the functions say which.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
-#: Steps that Euclid's algorithm needs for two 64-bit numbers at most.
-STEPS = 93
+#: Steps that Euclid's algorithm needs at most for each decimal digit of the smaller number.
+STEPS = 5
+#: Terms up to which products are worked out in longs.
+NARROW = 1 << 62
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def quotient(a: Column, b: Column) -> Column:
@@ -26,23 +35,34 @@ def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of two numbers of one type; gcd(0, 0) is 0."""
     start = F.struct(F.abs(a).alias("x"), F.abs(b).alias("y"))
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: s["x"])
+    steps = F.length(F.least(F.abs(a), F.abs(b)).cast("string")) * STEPS
+    return F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda s: s["x"])
 
 
 def rational(num: Column, den: Column) -> Column:
     """num/den of longs in lowest terms; null for a zero denominator."""
     num, den = num.cast("long"), den.cast("long")
-    g = F.greatest(gcd(num, den), F.lit(1).cast("long"))
     sign = F.when(den < 0, -1).otherwise(1)
-    return F.when(den != 0, F.struct((sign * F.call_function("div", num, g)).alias("num"), (sign * F.call_function("div", den, g)).alias("den")))
+    lowest = let(F.greatest(gcd(num, den), F.lit(1).cast("long")), lambda g: F.struct((sign * F.call_function("div", num, g)).alias("num"), (sign * F.call_function("div", den, g)).alias("den")))
+    return F.when(den != 0, lowest)
 
 
 def _wide_rational(num: Column, den: Column) -> Column:
     """Lowest terms of a decimal fraction with den > 0, back in longs; null where a term does not fit."""
-    g = F.greatest(gcd(num, den), F.lit(1).cast(WIDE))
-    top = ((num - num % g) / g).cast(WIDE).try_cast("long")
-    low = ((den - den % g) / g).cast(WIDE).try_cast("long")
-    return F.when(top.isNotNull() & low.isNotNull(), F.struct(top.alias("num"), low.alias("den")))
+
+    def wide(f: Column) -> Column:
+        n, d = f["n"], f["d"]
+        terms = let(
+            F.greatest(gcd(n, d), F.lit(1).cast(WIDE)),
+            lambda g: F.struct(((n - n % g) / g).cast(WIDE).try_cast("long").alias("num"), ((d - d % g) / g).cast(WIDE).try_cast("long").alias("den")),
+        )
+        return F.when(terms["num"].isNotNull() & terms["den"].isNotNull(), terms)
+
+    def lowest(f: Column) -> Column:
+        narrow = f["n"].between(-NARROW, NARROW) & f["d"].between(-NARROW, NARROW)
+        return F.when(narrow, rational(f["n"].try_cast("long"), f["d"].try_cast("long"))).otherwise(wide(f))
+
+    return let(F.struct(num.alias("n"), den.alias("d")), lowest)
 
 
 def _terms(a: Column, b: Column) -> tuple[Column, Column, Column, Column]:
