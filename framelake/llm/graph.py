@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.session import materialise
+from framelake.session import materialise, release
 
 ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             break
         seen = tuple(mark)
-        edges = materialise(_star(_star(edges, small=False), small=True), "links")
+        before, edges = edges, materialise(_star(_star(edges, small=False), small=True), "links")
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import broadcast_if_small, lower_ascii, text_or_empty, words_of
 from framelake.llm.graph import components
-from framelake.session import materialise
+from framelake.session import materialise, release
 
 SEED = 42
 BUCKET = 64
@@ -270,13 +270,15 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> Da
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str) -> DataFrame:
-    """Those pairs (u, v) of classes whose shingle sets are similar enough."""
+    """Those pairs (u, v) of classes whose shingle sets are similar enough, written."""
     ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
     shingles = materialise(_shingle_sets(docs, ends, size, text), "shingles")
     left = pairs.join(shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = left.join(shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    found = materialise(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "similar")
+    release(ends, shingles)
+    return found
 
 
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
@@ -302,6 +304,7 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     marked = placed.select("node", "root", "n", "alone", first.alias("first")).join(sets.select(F.col("node").alias("o"), "odd"), F.col("node") == F.col("o"))
     rows = marked.select("node", "root", "n", "odd", "alone", F.posexplode(F.transform("first", lambda x: x["token"])).alias("at", "token"))
     rows = materialise(rows.select("token", "node", "root", "n", "odd", (F.col("at") + F.col("alone")).alias("at")), "prefixes")
+    release(sets, flat, often)
     small = rows.where(F.col("at") <= F.col("n") - least(F.col("n") * (2 * t / (1 + t))))
     names = ("node", "root", "n", "at", "odd")
     a, b = small.select("token", *(F.col(c).alias(f"{c}1") for c in names)), rows.select("token", *(F.col(c).alias(f"{c}2") for c in names))
@@ -314,7 +317,9 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     both = F.col("n1") + F.col("n2")
     fits = fits & (apart <= both - 2 * least(both * (t / (1 + t))))
     met = a.join(b, "token").where(smaller & fits & (F.col("root1") != F.col("root2")))
-    return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v")).distinct()
+    found = materialise(met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v")).distinct(), "met")
+    release(rows)
+    return found
 
 
 def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
@@ -328,6 +333,7 @@ def similar_classes(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     classes = docs.select(word_class(text).alias("node"), text_or_empty(text).alias("t"))
     sketches = materialise(_sketches(classes, size).where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.max("print").alias("print"), F.max("bands").alias("bands")), "sketches")
     keys = materialise(_table_keys(sketches), "tables")
+    release(sketches)
     near = (F.least("n", "n2") >= similarity * F.greatest("n", "n2")) & (F.bit_count(F.col("head").bitwiseXOR(F.col("head2"))) <= FAR_BITS)
 
     def leaders(rows: DataFrame, turn: int, *more: str) -> DataFrame:
@@ -337,18 +343,24 @@ def similar_classes(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
         return materialise(found.select(F.col("bucket").alias("b"), "c", *(F.col(f"f.{c}").alias(named[c]) for c in ("node", "n", "head", *more))), "leaders")
 
     def tried(pairs: DataFrame) -> DataFrame:
-        return materialise(_verified(materialise(pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "pairs"), docs, size, similarity, text), "similar")
+        pairs = materialise(pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "pairs")
+        found = _verified(pairs, docs, size, similarity, text)
+        release(pairs)
+        return found
 
     first = leaders(keys, 0)
     links = tried(keys.join(first, F.col("bucket") == F.col("b")).where((F.col("node") != F.col("v")) & near))
     # In a bucket of two the pair with its leader is the only one.
     shared = materialise(keys.join(first.where("c > 2").select("b", "c"), F.col("bucket") == F.col("b")).drop("b"), "shared")
+    release(keys, first)
     for turn in range(1, LEADERS):
         crowded = materialise(_rooted(shared.where(F.col("c") > PAIRED), links), "crowded")
         chosen = leaders(crowded, turn, "root").drop("c")
         apart = (F.col("root") != F.col("root2")) & near
         links = links.unionByName(tried(crowded.join(chosen, F.col("bucket") == F.col("b")).where(apart)))
+        release(crowded)
     owned = materialise(_rooted(shared, links), "owned")
+    release(shared)
     few = owned.where(F.col("c") <= PAIRED)
     other = few.select(F.col("bucket").alias("b"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("head").alias("head2"), F.col("root").alias("root2"))
     pairs = few.join(other, F.col("bucket") == F.col("b")).where((F.col("node") > F.col("v")) & (F.col("root") != F.col("root2")) & near)
