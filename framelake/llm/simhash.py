@@ -269,10 +269,10 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, text: str) -> Da
     return wanted.mapInArrow(sets, "node long, shingles array<bigint>, odd array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float, text: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (u, v) of classes whose shingle sets are similar enough, written."""
     ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
-    shingles = materialise(_shingle_sets(docs, ends, size, text), "shingles")
+    shingles = materialise(sets.join(broadcast_if_small(ends), "node", "left_semi").select("node", "shingles"), "shingles")
     left = pairs.join(shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = left.join(shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -293,7 +293,7 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     def least(x: Column) -> Column:
         return F.ceil(x - F.lit(1e-9)).cast("int")
 
-    sets = materialise(sets, "sets")
+    sets = materialise(sets, "crowd")
     flat = materialise(sets.select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
     often = materialise(flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "often")
     # An element of one set only meets nothing; it takes a place before all others.
@@ -344,11 +344,14 @@ def similar_classes(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
 
     def tried(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "pairs")
-        found = _verified(pairs, docs, size, similarity, text)
+        found = _verified(pairs, sets, similarity)
         release(pairs)
         return found
 
     first = leaders(keys, 0)
+    # Only classes that meet another need their sets.
+    meeting = materialise(keys.join(first.select("b"), F.col("bucket") == F.col("b"), "left_semi").select("node").distinct(), "meeting")
+    sets = materialise(_shingle_sets(docs, meeting, size, text), "sets")
     links = tried(keys.join(first, F.col("bucket") == F.col("b")).where((F.col("node") != F.col("v")) & near))
     # In a bucket of two the pair with its leader is the only one.
     shared = materialise(keys.join(first.where("c > 2").select("b", "c"), F.col("bucket") == F.col("b")).drop("b"), "shared")
@@ -365,9 +368,9 @@ def similar_classes(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     other = few.select(F.col("bucket").alias("b"), F.col("node").alias("v"), F.col("n").alias("n2"), F.col("head").alias("head2"), F.col("root").alias("root2"))
     pairs = few.join(other, F.col("bucket") == F.col("b")).where((F.col("node") > F.col("v")) & (F.col("root") != F.col("root2")) & near)
     many = materialise(owned.where(F.col("c") > PAIRED).select("node", "root").distinct(), "many")
-    sets = _shingle_sets(docs, many.select("node"), size, text)
     exact = prefix_pairs(sets.join(many.withColumnRenamed("node", "m"), F.col("node") == F.col("m")).drop("m"), similarity)
     links = links.unionByName(tried(pairs.select("node", "v").unionByName(exact.select(F.col("u").alias("node"), "v"))))
+    release(sets, meeting, owned, many, exact)
     return components(links)
 
 
