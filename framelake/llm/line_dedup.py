@@ -39,6 +39,8 @@ from framelake.session import materialise, release
 APART, LEAST, MOST, LEAST_WORDS = 1, 2, 32, 25
 #: Lines by which a hit may grow to either side.
 GROW = 8
+#: Repeated chunks up to which their list is broadcast, if it is also small in bytes; beyond, all chunks are shuffled.
+REPEATED = 1 << 21
 #: Characters that are held as numbers at one time, but for a longer text, and those hashed at one time, but for a longer line.
 PART, SEGMENT = 1 << 21, 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -260,7 +262,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     other = F.col("doc_id") != F.col("at_doc")
     open_low = other & ~F.coalesce(F.lag(F.when(other, F.col("first") + F.col("n"))).over(own) == F.col("first"), F.lit(False))
     open_high = other & ~F.coalesce(F.lead(F.when(other, F.col("first"))).over(own) == F.col("first") + F.col("n"), F.lit(False))
-    hits = materialise(chunks.join(repeated, "hash").select("*", open_low.alias("low"), open_high.alias("high")), "hits")
+    hits = materialise(chunks.join(broadcast_if_small(repeated, REPEATED), "hash").select("*", open_low.alias("low"), open_high.alias("high")), "hits")
     release(chunks, repeated)
     at_first = F.min(F.when(~other, F.col("first"))).alias("at_first")
     firsts = materialise(hits.groupBy("hash", "at_doc").agg(at_first, F.max("low").alias("low"), F.max("high").alias("high")), "firsts")
