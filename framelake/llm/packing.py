@@ -4,8 +4,9 @@ Documents become pieces of at most ``size`` tokens (only longer documents are cu
 their first piece may be shorter). The plan is made from the counts of each length,
 at most ``size`` rows whatever the number of documents: best fit, decreasing,
 places runs of equal lengths into runs of equally filled sequences. A piece finds
-its slot by its length and its rank among the pieces of that length. Ranks come
-from counts per (length, salt), so a length that most pieces share is ranked in
+its slot by its length and its rank among the pieces of that length: the slots of a length are runs of ranks, found by
+bisection in a table that follows the number of lengths, not of pieces. Ranks come
+from counts per (length, salt), with more salts for more pieces, so a length that most pieces share is ranked in
 many tasks.
 
 Defined results: a null or empty text is its end token alone; repeated rows are
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelake.llm.common import text_or_empty
+from framelake.llm.common import broadcast_if_small, text_or_empty
 from framelake.session import materialise
 
 #: Entries of the cache of words that a worker keeps; it is emptied when full.
 CACHE = 300_000
-SALTS = 64
+#: Parts that a length is ranked in at least and at most, and the pieces for which there is one more.
+SALTS, MOST_SALTS, SALT_ROWS = 64, 1 << 14, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 #: GPT-2 style split of a byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -160,13 +162,13 @@ def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
     rows, _ = best_fit(counts, size)
     slots = np.array(sorted(rows), dtype=np.int64).reshape(-1, 6)
     plan = spark.sparkContext.broadcast((slots[:, 0] << 40 | slots[:, 1], slots))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = min(MOST_SALTS, max(SALTS, max(counts.values(), default=0) // SALT_ROWS))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("nth", F.row_number().over(order))
-    # At most size x SALTS rows.
-    ranked = ranked.join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("salt", "nth", "before")
+    ranked = ranked.join(broadcast_if_small(materialise(offsets, "offsets")), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("salt", "nth", "before")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, table = plan.value
