@@ -50,7 +50,8 @@ def test_best_fit_fills_without_gaps(counts):
             at += length
         assert at <= 40
     total = sum(k * v for k, v in counts.items())
-    assert opened <= 11 / 9 * -(-total // 40) + 1 or any(k > 20 for k in counts)
+    # Pieces of at most half a sequence fill two thirds of each but the last ones; eleven ninths only hold against the optimum.
+    assert opened <= 1.5 * total / 40 + 2 or any(k > 20 for k in counts)
 
 
 @settings(max_examples=150, deadline=None)
