@@ -34,6 +34,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -239,6 +240,23 @@ def key_filter(entries: DataFrame) -> np.ndarray | None:
     return np.frombuffer(zlib.decompress(found["bits"]), dtype=np.uint8)
 
 
+def _packed(keys: np.ndarray, told: np.ndarray, other: np.ndarray, bits: np.ndarray | None) -> tuple[bytes | None, ...]:
+    """The broadcast in little room, as every node keeps it on its disk: gaps between sorted keys, and what compresses."""
+    gaps = np.diff(keys, prepend=keys[:1]).view(np.uint64) if len(keys) else np.empty(0, dtype=np.uint64)
+    columns = [gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T, told.astype("<f4").view(np.uint8).reshape(-1, 4).T, other.astype("<f4").view(np.uint8).reshape(-1, 4).T]
+    return (int(keys[0]) if len(keys) else 0, *(zlib.compress(np.ascontiguousarray(c).tobytes(), 6) for c in columns), None if bits is None else zlib.compress(bits.tobytes(), 6))
+
+
+@lru_cache(maxsize=1)
+def _unpacked(packed: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The arrays again, once for a worker."""
+    first, *columns, bits = packed
+    gaps, told, other = (np.ascontiguousarray(np.frombuffer(zlib.decompress(c), dtype=np.uint8).reshape(n, -1).T) for c, n in zip(columns, (8, 4, 4), strict=True))
+    with np.errstate(over="ignore"):
+        keys = (np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64) + np.uint64(first & (1 << 64) - 1)).view(np.int64) if len(gaps) else np.empty(0, dtype=np.int64)
+    return keys, told.view("<f4")[:, 0], other.view("<f4")[:, 0], None if bits is None else np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+
+
 # --- scores ---
 
 
@@ -249,13 +267,12 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, st
         return base.select("doc_id", "text_hash", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("told"), F.lit(0.0).alias("other"))
     least = frequent(entries, HOT)
     hot = entries.where(F.col("freq") >= least).select("key", "told", "other").toArrow().sort_by("key")  # HOT rows of 16 bytes at most
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((*(hot[c].to_numpy() for c in ("key", "told", "other")), key_filter(entries)))
+    shared = docs.sparkSession.sparkContext.broadcast(_packed(*(hot[c].to_numpy() for c in ("key", "told", "other")), key_filter(entries)))
     names = ["row", "key", "base"]
     fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("told", pa.float64()), ("other", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_told, hot_other, bits = shared.value
+        hot_keys, hot_told, hot_other, bits = _unpacked(shared.value)
         row = TaskContext.get().partitionId() << 33
 
         def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
