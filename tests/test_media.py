@@ -333,3 +333,57 @@ def test_streams(spark):
             pass
     hvcc = bytes([1, 1, 0x60, 0, 0, 0, 0xB0, 0, 0, 0, 0, 0, 93, 0, 0, 0, 1, 0, 0, 0, 0, 3, 1, 32, 0, 1, 0, 3]) + u[0][:3]
     assert nal.parse_hvcc(hvcc)["units"] == [u[0][:3]] and nal.parse_hvcc(hvcc)["length_size"] == 4
+
+
+def test_playback_equals_a_plain_walk(spark):
+    """The registered query against one loop over each player's commands."""
+    import __spark_entry__ as entry
+
+    sf, rate, ahead, preroll, length = "/root/testdata/sf0.001", 48000, 9600, 2400, 1_000_000
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type").collect()
+    got = sorted((r["player_id"], r["command_no"], r["step"], r["event"], r["start"], r["end"], bool(r["error"])) for r in entry.queries()["playback_ticks"](spark, sf).collect())
+    want = []
+    for player in {e["user_id"] for e in events}:
+        own = sorted((e for e in events if e["user_id"] == player), key=lambda e: (e["ts"], e["event_id"]))
+        anchor = zero = queued = seeks = 0
+        shown, on = None, False
+        for n, e in enumerate(own):
+            clock, out = n * 1700, []
+
+            def fill(clock=clock, out=out):
+                nonlocal queued
+                now = anchor + max(0, clock - zero)
+                queued = max(queued, now, anchor - preroll)
+                while queued < min(now + ahead, length):
+                    end = min(queued + ahead, now + ahead, length)
+                    out.append(("schedule", queued, end, False))
+                    queued = end
+
+            if n == 0 or e["event_type"] == "signup":
+                if not on:
+                    on, zero = True, clock
+                    out.append(("start", anchor, anchor, False))
+                    fill()
+            elif e["event_type"] == "purchase":
+                target = e["event_id"] % 500 * rate // 30
+                if target > length:
+                    out.append(("error", 0, 0, True))
+                else:
+                    seeks, anchor, zero, queued, shown = seeks + 1, target, clock, target, None
+                    out.append(("cancel", seeks, seeks, False))
+                    if target:
+                        out.append(("preroll", max(0, target - preroll), target, False))
+                    if on:
+                        out.append(("start", target, target, False))
+                        fill()
+            elif not on:
+                out.append(("error", 0, 0, True))
+            else:
+                fill()
+                sample = anchor + max(0, clock - zero)
+                frame = ((sample + 1) * 30 - 1) // rate
+                told = "finished" if sample >= length else "same" if frame == shown else "frame"
+                shown = frame if told == "frame" else shown
+                out.append((told, frame, frame, False))
+            want += [(player, n, i, *x) for i, x in enumerate(out)]
+    assert got == sorted(want)
