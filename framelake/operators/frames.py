@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,18 +111,18 @@ def _channels(pixel_format: str) -> list[int]:
 
 
 def convert_pixels(image: np.ndarray, source: str, target: str) -> np.ndarray:
-    """Between packed formats: (rows, columns, bytes). Gray spreads over the colours; alpha is opaque where there is none."""
+    """Between packed formats, the bytes of a pixel last. Gray spreads over the colours; alpha is opaque where there is none."""
     if source == "Gray8":
-        rgb = np.repeat(image[..., :1], 3, axis=2)
-        alpha = np.full(image.shape[:2], 255, dtype=np.uint8)
+        rgb = np.repeat(image[..., :1], 3, axis=-1)
+        alpha = np.full(image.shape[:-1], 255, dtype=np.uint8)
     else:
         place = _channels(source)
         rgb = image[..., place[:3]]
-        alpha = image[..., place[3]] if len(place) == 4 else np.full(image.shape[:2], 255, dtype=np.uint8)
+        alpha = image[..., place[3]] if len(place) == 4 else np.full(image.shape[:-1], 255, dtype=np.uint8)
     if target == "Gray8":
         c = rgb.astype(np.int32)
         return ((77 * c[..., 0] + 150 * c[..., 1] + 29 * c[..., 2] + 128) >> 8).astype(np.uint8)[..., None]
-    out = np.empty((*image.shape[:2], PACKED[target]), dtype=np.uint8)
+    out = np.empty((*image.shape[:-1], PACKED[target]), dtype=np.uint8)
     place = _channels(target)
     out[..., place[:3]] = rgb
     if len(place) == 4:
@@ -141,36 +142,47 @@ def convert_range(image: np.ndarray, pixel_format: str, source: str, target: str
     return new
 
 
-def transfer(data: bytes, a: dict, b: dict, smooth: bool = False) -> bytes:
-    """Copy a packed frame into another description: rows, nearest scaling, orientation, format, range, stride."""
+def transfer_alike(data: list[bytes], a: dict, b: dict, smooth: bool = False) -> list[bytes]:
+    """Copy packed frames of one description into another, together: rows, nearest scaling, orientation, format, range, stride."""
     if a["pixel_format"] not in PACKED or b["pixel_format"] not in PACKED:
         raise ValueError("only packed pixel formats can be transferred")
     if smooth and (a["width"], a["height"]) != (b["width"], b["height"]):
         raise ValueError("linear scaling is not supported")
-    n = PACKED[a["pixel_format"]]
-    raw = np.frombuffer(data, dtype=np.uint8)[: a["stride"] * a["height"]].reshape(a["height"], a["stride"])
-    image = raw[:, : a["width"] * n].reshape(a["height"], a["width"], n)
+    n, size = PACKED[a["pixel_format"]], a["stride"] * a["height"]
+    raw = np.frombuffer(b"".join(d[:size] for d in data), dtype=np.uint8).reshape(len(data), a["height"], a["stride"])
+    images = raw[:, :, : a["width"] * n].reshape(len(data), a["height"], a["width"], n)
     rows = np.arange(b["height"]) * a["height"] // b["height"]
     columns = np.arange(b["width"]) * a["width"] // b["width"]
     if a["orientation"] == "BottomLeft":
         rows = a["height"] - 1 - rows
-    image = image[rows][:, columns]
-    image = convert_range(convert_pixels(image, a["pixel_format"], b["pixel_format"]), b["pixel_format"], a["color_range"], b["color_range"])
+    images = images[:, rows][:, :, columns]
+    images = convert_range(convert_pixels(images, a["pixel_format"], b["pixel_format"]), b["pixel_format"], a["color_range"], b["color_range"])
     if b["orientation"] == "BottomLeft":
-        image = image[::-1]
-    out = np.zeros((b["height"], b["stride"]), dtype=np.uint8)
-    out[:, : b["width"] * PACKED[b["pixel_format"]]] = image.reshape(b["height"], -1)
-    return out.tobytes()
+        images = images[:, ::-1]
+    out = np.zeros((len(data), b["height"], b["stride"]), dtype=np.uint8)
+    out[:, :, : b["width"] * PACKED[b["pixel_format"]]] = images.reshape(len(data), b["height"], -1)
+    return [x.tobytes() for x in out]
+
+
+def transfer(data: bytes, a: dict, b: dict, smooth: bool = False) -> bytes:
+    """One frame."""
+    return transfer_alike([data], a, b, smooth)[0]
 
 
 def execute_transfers(frames: DataFrame) -> DataFrame:
-    """Adds ``result`` (bytes) to rows with ``data``, ``source`` and ``target``."""
+    """Adds ``result`` (bytes) to rows with ``data``, ``source`` and ``target``; frames of one geometry go together."""
     side = "struct<width:int,height:int,pixel_format:string,color_range:string,orientation:string,stride:int>"
     kept = frames.withColumn("source", F.col("source").cast(side)).withColumn("target", F.col("target").cast(side))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            p["result"] = [transfer(bytes(d), dict(a), dict(b)) for d, a, b in zip(p["data"], p["source"], p["target"], strict=True)]
-            yield p
+            kinds: dict[tuple, list[int]] = defaultdict(list)
+            for i, (a, b) in enumerate(zip(p["source"], p["target"], strict=True)):
+                kinds[tuple(a.items()), tuple(b.items())].append(i)
+            data, out = p["data"].to_list(), [b""] * len(p)
+            for (a, b), rows in kinds.items():
+                for i, x in zip(rows, transfer_alike([bytes(data[i]) for i in rows], dict(a), dict(b)), strict=True):
+                    out[i] = x
+            yield p.assign(result=pd.Series(out, index=p.index, dtype=object))
 
     return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField("result", T.BinaryType())]))
