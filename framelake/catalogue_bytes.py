@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake import views
-from framelake.catalogue import joined, query
+from framelake.catalogue import _POC, joined, query
 from framelake.functions import blocks as B
 from framelake.functions.bits import Bits, BitWriter, insert_emulation, leb128, put_leb128, strip_emulation
 from framelake.functions.codecs import byte_at
@@ -19,6 +19,7 @@ from framelake.operators.audio import edit_breaks
 from framelake.operators.reader import cache_statistics, read_frames
 from framelake.operators.samples import access_pattern, presentation_order
 from framelake.plans import conformance
+from framelake.plans.sequence import sequence_pictures
 from framelake.session import materialise
 from framelake.sources import mp4, nal, obu
 from framelake.sources import parameter_sets as PS
@@ -516,3 +517,24 @@ def mp4_fragments(spark, sf):
 @query("""SELECT DISTINCT 'f' || track_id AS file_id, edit_no, segment_duration, media_time FROM samples, (VALUES (0::BIGINT, 40::BIGINT, -1::BIGINT), (1, 60, 7)) t(edit_no, segment_duration, media_time)""", views.SAMPLES)
 def mp4_edits(spark, sf):
     return mp4.tables_of(_fragmented(spark, sf), "edits").select("file_id", "edit_no", "segment_duration", "media_time")
+
+
+@query("SELECT track_id, n, poc_msb + poc_lsb AS poc FROM poc", views.PICTURES, _POC)
+def stream_pictures(spark, sf):
+    """Byte streams of sets and slices, from their bytes to the order counts of their pictures."""
+    sps = PS.write(PS.sequence_set, {"profile": {"profile": 1}, "chroma": 1, "width": 64, "height": 64, "ordering": [{"reorder": 2}], "set_count": 1, "sets": [{"before": 1, "earlier": [{"used": 1}]}]})
+    pps = PS.write(PS.picture_set, {})
+    sets = ({0: PS.read(PS.picture_set, pps)}, {0: PS.read(PS.sequence_set, sps)})
+
+    def pack(track, rows):
+        units = [bytes([PS.SPS << 1, 1]) + insert_emulation(sps), bytes([PS.PPS << 1, 1]) + insert_emulation(pps)]
+        for r in rows:
+            _, low, resets, carries = r.values()
+            kind = 19 if resets else 1
+            header = PS.write(PS.slice_header, {"first": 1, "type": 2, "poc_lsb": int(low), "from_sequence": 1}, kind, *sets)
+            units.append(bytes([kind << 1, 1 if carries else 2]) + insert_emulation(header + b"\x80"))
+        return [(track, nal.join_annexb(units))]
+
+    rows = views.pictures(spark, sf).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("n", "poc_lsb", "resets", "carries"))).alias("rows"))
+    streams = _map(rows, "track_id long, data binary", pack)
+    return sequence_pictures(streams).select("track_id", "n", "poc")

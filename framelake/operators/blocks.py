@@ -88,9 +88,9 @@ def kept_until(pictures: DataFrame, references: DataFrame, keys: tuple[str, ...]
     return pictures.join(last, [*keys, "n"], "left").withColumn("last", F.coalesce("last", "n"))
 
 
-def reordered(pictures: DataFrame, depth: int) -> DataFrame:
+def reordered(pictures: DataFrame, depth: int | None = None) -> DataFrame:
     """When each picture (track_id, n, cvs, poc) leaves a reorder buffer of ``depth`` pictures: ``left_at``, the n at which it
-    goes out (null: when the stream ends), and ``turn``, its place among all that go out.
+    goes out (null: when the stream ends), and ``turn``, its place among all that go out. Without a depth the pictures' own holds.
 
     A fold over numbers in decoding order, tracks in parallel.
     """
@@ -98,15 +98,16 @@ def reordered(pictures: DataFrame, depth: int) -> DataFrame:
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         held: list[tuple] = []
         out = []
-        for n, cvs, poc in own.sort_values("n")[["n", "cvs", "poc"]].itertuples(index=False, name=None):
+        for n, cvs, poc, most in own.sort_values("n")[["n", "cvs", "poc", "depth"]].itertuples(index=False, name=None):
             heapq.heappush(held, (cvs, poc, n))
-            while len(held) > depth:
+            while len(held) > most:
                 out.append((*heapq.heappop(held), n))
         while held:
             out.append((*heapq.heappop(held), None))
         return pd.DataFrame([(key[0], n, left, turn) for turn, (_, _, n, left) in enumerate(out)], columns=["track_id", "n", "left_at", "turn"]).astype({"left_at": "Int64"})
 
-    return pictures.select("track_id", "n", "cvs", "poc").groupBy("track_id").applyInPandas(run, "track_id long, n long, left_at long, turn long")
+    most = F.col("depth") if depth is None else F.lit(depth)
+    return pictures.select("track_id", "n", "cvs", "poc", most.alias("depth")).groupBy("track_id").applyInPandas(run, "track_id long, n long, left_at long, turn long")
 
 
 def merged_offsets(blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:

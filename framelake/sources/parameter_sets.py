@@ -573,7 +573,7 @@ def set_rows(units: DataFrame, key: str = "stream_id") -> DataFrame:
     return chosen.select(key, "unit_no", "nal_type", "rbsp").mapInPandas(run, f"{key} {dict(units.dtypes)[key]}, unit_no long, {SETS}")
 
 
-SLICES = "nal_type int, first boolean, address int, type string, poc_lsb long, qp int, fields string, error_kind string, error_message string"
+SLICES = "nal_type int, first boolean, address int, type string, poc_lsb long, qp int, max_poc_lsb long, reorder int, fields string, error_kind string, error_message string"
 
 
 def slice_rows(units: DataFrame, key: str = "stream_id") -> DataFrame:
@@ -597,10 +597,11 @@ def slice_rows(units: DataFrame, key: str = "stream_id") -> DataFrame:
                         sets[kind][values["id"]] = values
                         continue
                     h = read(slice_header, bytes(data), kind, sets[PPS], sets[SPS])
-                    rows.append((k, n, kind, bool(h["first"]), h.get("address", 0), "BPI"[h["type"]] if "type" in h else None, h.get("poc_lsb"), h.get("qp"), json.dumps(h), None, None))
+                    facts = sequence_facts(sets[SPS][sets[PPS][h["picture_set"]]["sequence_set"]])
+                    rows.append((k, n, kind, bool(h["first"]), h.get("address", 0), "BPI"[h["type"]] if "type" in h else None, h.get("poc_lsb"), h.get("qp"), facts["poc_lsb"], facts["reorder"], json.dumps(h), None, None))
                 except MediaError as e:
                     if kind not in sets:
-                        rows.append((k, n, kind, *[None] * 6, e.kind, e.message))
+                        rows.append((k, n, kind, *[None] * 8, e.kind, e.message))
             yield pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
     chosen = units.where(F.col("nal_type").isin(SPS, PPS) | F.col("nal_type").between(0, 9) | F.col("nal_type").between(16, 21))
