@@ -400,7 +400,7 @@ def slice_substreams(spark, sf):
     return _map(views.table(spark, sf, "documents").select("doc_id", "text"), "doc_id long, part long, digest string", row)
 
 
-@query("""SELECT p_partkey, 16 * (p_partkey % 100 + 1) AS width, 8 * (p_partkey % 60 + 1) - 2 * (p_partkey % 3) AS height, p_partkey % 16 AS id, p_partkey % 4 AS reorder, 16 << (p_partkey % 13)::INTEGER AS poc_lsb,
+@query("""SELECT p_partkey, 16 * (p_partkey % 100 + 1) AS width, 8 * (p_partkey % 60 + 1) - 2 * (p_partkey % 3) AS height, p_partkey % 16 AS id, p_partkey % 4 AS reorder, (16 << (p_partkey % 13)::INTEGER)::BIGINT AS poc_lsb,
     concat_ws(',', -(p_partkey % 5 + 1), -(p_partkey % 5 + 2), p_partkey % 7 + 1) AS pictures FROM part""")
 def sequence_sets(spark, sf):
     """Sequence sets written and read back."""
