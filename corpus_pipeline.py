@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on every row that its predecessor
 kept, and returns a DataFrame that is written as Parquet and reread. All but the
 last return the columns of ``documents``.
+
+Defined results: a row is judged by its id and text, so rows with a null id, and other texts under one id, are judged for
+themselves. A null or empty text is not toxic, loses no lines, counts as a copy of other such texts, has size 0 and is
+never drawn. A row with a null id keeps its lines. Of rows that repeat id and text one stays; of a group of similar texts the
+row with the least id, one with an id before one without. Columns beyond those of ``documents`` stay up to the mix; ``n_chars``,
+if there, follows the text. An empty table, or one that a stage empties, ends in no rows.
 """
 
 from __future__ import annotations
