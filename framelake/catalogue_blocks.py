@@ -363,3 +363,12 @@ def binarisations(spark, sf):
         return [(i, b.unary(8), b.egk(2), b.rice(1), n)]
 
     return _map(views.table(spark, sf, "events").select("event_id"), "event_id long, short long, long_ long, level long, bits long", row)
+
+
+@query(f"""WITH {_K}, c AS (SELECT k, CASE WHEN k % 3 > 0 THEN k % 5 END AS a, CASE WHEN k % 4 > 0 THEN k % 7 END AS b, CASE WHEN k % 2 > 0 THEN k % 11 END AS t FROM k),
+s AS (SELECT k, t, CASE WHEN a IS NULL AND b IS NULL THEN [] WHEN a IS NULL THEN [b] WHEN b IS NULL OR a = b THEN [a] ELSE [a, b] END AS s FROM c)
+SELECT k, array_to_string((s || CASE WHEN len(s) < 2 AND t IS NOT NULL THEN [t] ELSE [] END || [0, 0])[1:2], ',') AS predictors FROM s""")
+def motion_predictors(spark, sf):
+    k = F.col("k")
+    found = R.predictor_candidates(F.when(k % 3 > 0, k % 5), F.when(k % 4 > 0, k % 7), F.when(k % 2 > 0, k % 11), F.lit(0).cast("long"))
+    return _part(spark, sf).select("k", joined(found).alias("predictors"))

@@ -60,6 +60,13 @@ def merge_candidates(spatial: Column, temporal: Column, zeros: Column, most: Col
     return F.slice(F.concat(F.slice(known, 1, 4), F.filter(F.array(temporal), lambda c: c.isNotNull()), zeros), F.lit(1), most)
 
 
+def predictor_candidates(first: Column, second: Column, temporal: Column, zero: Column) -> Column:
+    """Two predictors of a motion vector: the spatial ones that there are and differ, the temporal one where fewer than two are, zeros behind."""
+    spatial = F.array_distinct(F.filter(F.array(first, second), lambda c: c.isNotNull()))
+    late = F.when(F.size(spatial) < 2, F.filter(F.array(temporal), lambda c: c.isNotNull())).otherwise(F.slice(spatial, 1, 0))
+    return F.slice(F.concat(spatial, late, F.array(zero, zero)), 1, 2)
+
+
 # --- quantisers ---
 
 
