@@ -56,7 +56,7 @@ NATS, PRIOR = 1.0, 2.0
 FIT_ROWS, FIT_FOLD = 20_000, 1
 FOLDS = 5
 #: Most words and keys that are broadcast, and the size of the filter.
-HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 3 << 20, 1 << 27
+HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 1 << 20, 1 << 27
 #: Texts that one step of a worker holds.
 PART_ROWS = 500
 
