@@ -138,7 +138,8 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
         *(F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{r}_{side}") for r in RULES for side in ("low", "high"))
     )
     limits = broadcast_if_small(materialise(limits, "fences").select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), *(f"{r}_{s}" for r in RULES for s in ("low", "high"))))
-    rates = _rates()
+    # On the grid like the sketches, so that what a quantile falls on is not beyond it.
+    rates = {r: grid(v) for r, v in _rates().items()}
     inside = [rates[r] <= F.col(f"{r}_high") for r in RULES] + [rates["word_length"] >= F.col("word_length_low")]
     good = inside[0]
     for x in inside[1:]:

@@ -114,6 +114,13 @@ QUERIES = {
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+
+
+def _grid(v: str) -> str:
+    """SQL of a value cut to six significant binary digits."""
+    return f"({v} // (1 << greatest(length(bin({v})) - 6, 0))::BIGINT) * (1 << greatest(length(bin({v})) - 6, 0))::BIGINT"
+
+
 ORACLES = {
     "op2_warc_round_trip": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
@@ -147,7 +154,7 @@ rates AS (SELECT *, n_symbols * 100000 // greatest(n_words, 1) AS symbol_rate, n
     n_repeat_words * 100000 // greatest(n_words, 1) AS repeat_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM b),
 long AS (SELECT lang, source, unnest(['symbol_rate', 'line_rate', 'repeat_rate', 'word_length']) AS rate,
     unnest([symbol_rate, line_rate, repeat_rate, word_length]) AS v FROM rates WHERE NOT base_failed),
-grid AS (SELECT lang, source, rate, (v // (1 << greatest(length(bin(v)) - 6, 0))::BIGINT) * (1 << greatest(length(bin(v)) - 6, 0))::BIGINT AS v FROM long),
+grid AS (SELECT lang, source, rate, {_grid("v")} AS v FROM long),
 lev AS (SELECT 0 AS level, lang, source, rate, v FROM grid UNION ALL SELECT 1, lang, NULL, rate, v FROM grid UNION ALL SELECT 2, NULL, NULL, rate, v FROM grid),
 cell AS (SELECT level, lang, source, rate, v, count(*) AS n FROM lev GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY v) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM cell),
@@ -160,7 +167,8 @@ pick AS (SELECT g.lang, g.source, a.rate, (a.total * a.low + 200 * ((b.total * b
     greatest((a.total * a.high + 200 * ((b.total * b.high + 200 * c.high) // (b.total + 200))) // (a.total + 200), CASE WHEN a.rate = 'word_length' THEN 0 ELSE 5000 END) AS high
     FROM grp g JOIN lim a ON a.level = 0 AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source
     JOIN lim b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM g.lang AND b.rate = a.rate JOIN lim c ON c.level = 2 AND c.rate = a.rate),
-bad AS (SELECT r.lang, r.source, r.doc_id, r.symbol_rate, r.line_rate, r.repeat_rate, r.word_length FROM rates r JOIN pick p
+cut AS (SELECT lang, source, doc_id, {_grid("symbol_rate")} AS symbol_rate, {_grid("line_rate")} AS line_rate, {_grid("repeat_rate")} AS repeat_rate, {_grid("word_length")} AS word_length FROM rates),
+bad AS (SELECT r.doc_id FROM cut r JOIN pick p
     ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source
     WHERE (p.rate = 'symbol_rate' AND r.symbol_rate > p.high) OR (p.rate = 'line_rate' AND r.line_rate > p.high)
     OR (p.rate = 'repeat_rate' AND r.repeat_rate > p.high) OR (p.rate = 'word_length' AND (r.word_length > p.high OR r.word_length < p.low)))
