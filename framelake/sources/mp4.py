@@ -12,10 +12,11 @@ from __future__ import annotations
 import mmap
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
@@ -46,9 +47,18 @@ SCHEMAS = {
 #: The tables of ``all``, and their columns side by side: a table's rows leave those of others null.
 INDEX = [t for t in SCHEMAS if t not in ("boxes", "errors")]
 WIDE = dict(c.split() for t in [*INDEX, "errors"] for c in SCHEMAS[t].split(", "))
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 SCHEMAS["all"] = ", ".join(["table string", *(f"{n} {kind}" for n, kind in WIDE.items())])
 
 
+#: Rows that are held as Python values at one time, of each table, and bytes of written files.
+AT_ONCE, FILES_BYTES = 1 << 14, 1 << 23
+
+
+def names_of(table: str) -> list[str]:
+    return [c.split()[0] for c in SCHEMAS[table].split(", ")]
+
+
 def table_rows(name: str, file: str, movie: Movie) -> Iterator[tuple]:
     """The rows of one table of a parsed movie."""
     if name == "media":
@@ -83,16 +93,15 @@ def table_rows(name: str, file: str, movie: Movie) -> Iterator[tuple]:
                 yield from ((*key, i, *e) for i, e in enumerate(t.edits))
 
 
-def wide_rows(file: str, movie: Movie) -> Iterator[tuple]:
-    """The rows of all tables, in the columns of ``all``."""
+def wide_rows(found: Iterator[tuple[str, tuple]]) -> Iterator[tuple]:
+    """Rows of several tables in the columns of ``all``."""
     place = {n: i + 1 for i, n in enumerate(WIDE)}
-    for table in INDEX:
-        at = [place[c.split()[0]] for c in SCHEMAS[table].split(", ")]
-        for r in table_rows(table, file, movie):
-            wide = [table, *[None] * len(WIDE)]
-            for i, v in zip(at, r, strict=True):
-                wide[i] = v
-            yield tuple(wide)
+    at = {t: [place[n] for n in names_of(t)] for t in [*INDEX, "errors"]}
+    for table, r in found:
+        wide = [table, *[None] * len(WIDE)]
+        for i, v in zip(at[table], r, strict=True):
+            wide[i] = v
+        yield tuple(wide)
 
 
 @dataclass
@@ -137,18 +146,23 @@ class Mp4Reader(DataSourceReader):
                 yield from file_rows(self.table, os.path.basename(partition.path), data, self.track)
 
 
-def file_rows(table: str, name: str, data: bytes, track: int | None = None) -> Iterator[tuple]:
-    """Rows of a table of one file; a malformed file has them in ``errors`` only."""
+def found_rows(table: str, name: str, data: bytes) -> Iterator[tuple[str, tuple]]:
+    """A table's name and a row of it, for each row of one file; a malformed file has them in ``errors`` only."""
     try:
         if table == "boxes":
-            rows = [(name, b.path, b.kind.decode("latin-1"), b.start, b.payload, b.end, b.depth) for b in Parser().walk(data)]
+            rows = [(table, (name, b.path, b.kind.decode("latin-1"), b.start, b.payload, b.end, b.depth)) for b in Parser().walk(data)]
         else:
             movie = Parser().movie(data)
-            rows = [] if table == "errors" else wide_rows(name, movie) if table == "all" else table_rows(table, name, movie)
+            rows = ((t, r) for t in (INDEX if table == "all" else [] if table == "errors" else [table]) for r in table_rows(t, name, movie))
     except MediaError as e:
-        rows = [(name, e.kind, e.message)] if table == "errors" else []
-        if table == "all":
-            rows = [tuple({"table": "errors", "file_id": name, "kind": e.kind, "message": e.message}.get(n) for n in ["table", *WIDE])]
+        rows = [("errors", (name, e.kind, e.message))] if table in ("errors", "all") else []
+    yield from rows
+
+
+def file_rows(table: str, name: str, data: bytes, track: int | None = None) -> Iterator[tuple]:
+    """Rows of a table of one file, of one track if asked; those of ``all`` side by side."""
+    found = found_rows(table, name, data)
+    rows = wide_rows(found) if table == "all" else (r for _, r in found)
     at = SCHEMAS[table].replace(" string", "").replace(" long", "").split(", ").index("track_id") if track is not None and "track_id" in SCHEMAS[table] else None
     yield from (r for r in rows if at is None or r[at] == track)
 
@@ -175,27 +189,46 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 def tables_of(content: DataFrame, table: str) -> DataFrame:
     """The same tables from files as rows (path, content), as ``binaryFile`` gives them: works on any storage that Spark reads."""
 
-    def run(parts):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ((path.as_py().rsplit("/", 1)[-1], content.as_py()) for b in batches for path, content in zip(b.column(0), b.column(1), strict=True))
+        yield from table_batches(table, files)
 
-        names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
-        for p in parts:
-            found = [r for path, data in zip(p["path"], p["content"], strict=True) for r in file_rows(table, path.rsplit("/", 1)[-1], bytes(data))]
-            yield pd.DataFrame({n: pd.Series([r[i] for r in found], dtype=object) for i, n in enumerate(names)})
+    return content.select("path", "content").mapInArrow(run, SCHEMAS[table])
 
-    return content.select("path", "content").mapInPandas(run, SCHEMAS[table])
+
+def table_batches(table: str, files: Iterable[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows of files (name, content) in batches of ``AT_ONCE`` rows at most, each of one table: only its own columns are made of values."""
+    schema = pa.schema([pa.field(n, ARROW[kind]) for n, kind in (c.split() for c in SCHEMAS[table].split(", "))])
+    waiting: dict[str, list[tuple]] = {}
+
+    def batch(kind: str) -> pa.RecordBatch:
+        rows = waiting.pop(kind)
+        own = dict(zip(names_of(kind), zip(*rows, strict=True), strict=True))
+        if table == "all":
+            own["table"] = [kind] * len(rows)
+        return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(len(rows), f.type) for f in schema], schema=schema)
+
+    for name, data in files:
+        for kind, row in found_rows(table, name, data):
+            own = waiting.setdefault(kind, [])
+            own.append(row)
+            if len(own) == AT_ONCE:
+                yield batch(kind)
+    for kind in list(waiting):
+        yield batch(kind)
 
 
 def split_tables(together: DataFrame) -> dict[str, DataFrame]:
     """The tables of ``all``, which is written once and then read by its columns."""
     written = materialise(together, "movies")
-    return {t: written.where(F.col("table") == t).select(*(c.split()[0] for c in SCHEMAS[t].split(", "))) for t in [*INDEX, "errors"]}
+    return {t: written.where(F.col("table") == t).select(*names_of(t)) for t in [*INDEX, "errors"]}
 
 
 def sample_index(tables: dict[str, DataFrame]) -> DataFrame:
     """All samples of all tracks: place, size, times, sync, dependencies and presentation index.
 
     Chunked samples come from the run-length tables, fragments follow them; everything here is windows and equi-joins.
+    A written table's bytes say little of its rows (runs, and columns of few values), so no side of a join may be broadcast by them.
     """
     # Samples of a chunk follow each other: the n-th sample of a track lies in the chunk whose first sample is last at or before it.
     chunked = S.chunk_samples(S.chunk_map(tables["chunks"], tables["stsc"], KEYS), KEYS)
@@ -204,11 +237,12 @@ def sample_index(tables: dict[str, DataFrame]) -> DataFrame:
     durations = S.expand_runs(tables["stts"], KEYS).select(*KEYS, F.col("i").alias("decode_index"), F.col("value").alias("duration"))
     shifts = S.expand_runs(tables["ctts"], KEYS).select(*KEYS, F.col("i").alias("decode_index"), F.col("value").alias("cto"))
     by = [*KEYS, "decode_index"]
-    base = tables["sizes"].join(durations, by).join(places.select(*by, "chunk_no", "chunk_offset"), by).join(shifts, by, "left").join(tables["sdtp"], by, "left")
-    base = S.is_sync(S.sample_offsets(S.decode_times(base, KEYS), KEYS), tables["sync"], KEYS)
+    places = places.select(*by, "chunk_no", "chunk_offset")
+    base = tables["sizes"].join(durations.hint("merge"), by).join(places.hint("merge"), by).join(shifts.hint("merge"), by, "left").join(tables["sdtp"].hint("merge"), by, "left")
+    base = S.is_sync(S.sample_offsets(S.decode_times(base, KEYS), KEYS), tables["sync"].hint("merge"), KEYS)
     byte = F.coalesce("byte", F.when(F.col("is_sync"), 0x20).otherwise(0x10))
     base = base.select(*KEYS, "offset", "size", "dts", (F.col("dts") + F.coalesce("cto", F.lit(0))).alias("pts"), "duration", "is_sync", unpack_dependency(byte).alias("dependency"))
-    fragments = S.fragment_samples(tables["frag_samples"], tables["trex"]).where("error IS NULL")
+    fragments = S.fragment_samples(tables["frag_samples"], tables["trex"].hint("merge")).where("error IS NULL")
     fragments = fragments.select(*KEYS, "offset", "size", "dts", "pts", "duration", "is_sync", "dependency")
     both = base.unionByName(fragments)
     from pyspark.sql import Window
@@ -231,7 +265,7 @@ def payloads(samples: DataFrame, content: DataFrame) -> DataFrame:
     names = [c for c in samples.columns if c != "file_id"]
     part = F.call_function("div", F.col("decode_index"), F.lit(TOGETHER).cast("long"))
     groups = samples.groupBy("file_id", "track_id", part.alias("part")).agg(F.collect_list(F.struct(*names)).alias("own")).drop("track_id")
-    joined = groups.join(content.select("file_id", "content"), "file_id")
+    joined = groups.join(content.select("file_id", "content").hint("merge"), "file_id")
     cut = lambda s: F.struct(*(s[n].alias(n) for n in names), F.col("content").substr((s["offset"] + 1).cast("int"), s["size"].cast("int")).alias("data"))
     found = joined.select("file_id", F.inline(F.transform("own", cut)))
     return found.withColumn("error", F.when(F.octet_length("data") != F.col("size"), "the file ends inside the sample"))
@@ -339,12 +373,35 @@ def build_file(tracks: list[dict], rows: list[dict]) -> bytes:
 
 
 def write_files(samples: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Rows (file_id, content): each file assembled in one task from its samples and tracks, samples in order of ``write_no``."""
-    import pandas as pd
+    """Rows (file_id, content): each file assembled in one task from its samples and tracks, samples in order of ``write_no``.
 
-    def run(key, own: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("write_no")
-        content = build_file(heads.to_dict("records"), own.to_dict("records"))
-        return pd.DataFrame({"file_id": [key[0]], "content": [content]})
-
-    return samples.groupBy("file_id").cogroup(tracks.groupBy("file_id")).applyInPandas(run, "file_id string, content binary")
+    Tracks and samples come as one sorted stream, so a task holds the rows of one file and a batch.
+    """
+    heads = tracks.select("file_id", F.lit(0).alias("side"), F.lit(None).cast(samples.schema["write_no"].dataType).alias("write_no"), F.struct(*tracks.columns).alias("head"), F.lit(None).cast(samples.select(F.struct(*samples.columns).alias("s")).schema["s"].dataType).alias("sample"))
+    own = samples.select("file_id", F.lit(1).alias("side"), "write_no", F.lit(None).cast(heads.schema["head"].dataType).alias("head"), F.struct(*samples.columns).alias("sample"))
+    dealt = heads.unionByName(own).repartition("file_id").sortWithinPartitions("file_id", "side", "write_no").select("file_id", "side", "head", "sample")
+
+    def records(column: pa.StructArray) -> list[dict]:
+        names = [f.name for f in column.type]
+        return [dict(zip(names, r, strict=True)) for r in zip(*(column.field(i).to_pylist() for i in range(len(names))), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, files, size, own = [], [], 0, ([], [])
+        for b in batches:
+            ids, sides = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for name, side, head, sample in zip(ids, sides, records(b.column(2)), records(b.column(3)), strict=True):
+                if not names or names[-1] != name:
+                    if names:
+                        files.append(build_file(*own))
+                        size += len(files[-1])
+                    if size >= FILES_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.binary())], ["file_id", "content"])
+                        names, files, size = [], [], 0
+                    names.append(name)
+                    own = ([], [])
+                own[side].append(sample if side else head)
+        if names:
+            files.append(build_file(*own))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.binary())], ["file_id", "content"])
+
+    return dealt.mapInArrow(run, "file_id string, content binary")

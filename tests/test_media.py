@@ -155,6 +155,22 @@ def test_written_file(spark, tmp_path):
             mp4.build_file(tracks, [samples[0] | broken])
 
 
+def test_many_files(spark, monkeypatch):
+    """Tables of many files come in batches of bounded rows, and no join of the index is a broadcast, small as a table's bytes are."""
+    files = [(f"f{i}", fragmented()) for i in range(50)]
+    monkeypatch.setattr(mp4, "AT_ONCE", 7)
+    found = list(mp4.table_batches("all", iter([*files, ("broken", b"\0")])))
+    assert max(b.num_rows for b in found) <= 7
+    got = [r for b in found for r in b.to_pylist()]
+    want = [r for f in [*files, ("broken", b"\0")] for r in mp4.file_rows("all", *f)]
+    key = lambda r: [str(v) for v in r]
+    assert sorted((tuple(r.values()) for r in got), key=key) == sorted(want, key=key)
+    content = spark.createDataFrame([(n, bytearray(d)) for n, d in files], "path string, content binary")
+    index = mp4.payloads(mp4.sample_index(mp4.split_tables(mp4.tables_of(content, "all"))), content.withColumnRenamed("path", "file_id"))
+    plan = index._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 PACKETS = [(0, 10, True), (3, 40, False), (1, 20, False), (2, 30, False), (4, 50, True), (6, 70, False), (5, 60, False)]
 
 
