@@ -42,7 +42,7 @@ GROW = 8
 #: Repeated chunks up to which their list is broadcast, if it is also small in bytes; beyond, all chunks are shuffled.
 REPEATED = 1 << 21
 #: Characters that are held as numbers at one time, but for a longer text, and those hashed at one time, but for a longer line.
-PART, SEGMENT = 1 << 21, 1 << 19
+PART, SEGMENT = 1 << 18, 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 

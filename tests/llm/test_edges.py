@@ -220,3 +220,19 @@ def test_near_copies_keep_clean_rows(spark, tmp_path):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), str(tmp_path)).collect()
     want = [(1, text(1)), (None, text(2)), (None, text(3)), (5, text(5)), (5, text(6)), (8, text(8)), (7, text(7))]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_line_hashes_take_little_memory():
+    """The numbers of a batch of texts are held for a part of them at a time."""
+    import tracemalloc
+
+    from framelake.llm import line_dedup
+
+    texts = [f"words of line {i} and of others. " * 300 for i in range(400)]
+    line_dedup.chunks_of(texts[:1])
+    tracemalloc.start()
+    for _, part in line_dedup.parted(texts):
+        line_dedup.chunks_of(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20, peak
