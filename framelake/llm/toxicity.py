@@ -34,7 +34,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -45,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.common import broadcast_if_small, text_or_empty
-from framelake.session import materialise, release
+from framelake.session import materialise, materialise_parts, release
 
 #: Letters and digits.
 TOKEN = re.compile(r"[^\W_]+")
@@ -59,6 +58,8 @@ FOLDS = 5
 HOT_WORDS, HOT, FILTER_BITS = 1 << 16, 1 << 20, 1 << 27
 #: Texts that one step of a worker holds.
 PART_ROWS = 500
+#: Slices in which documents meet the model, and rare pairs their words, one after the other: their keys are shuffled, which takes disk.
+SLICES, PAIR_SLICES = 4, 2
 
 
 def fold(key: Column) -> Column:
@@ -207,11 +208,13 @@ def model(pairs: DataFrame) -> tuple[DataFrame, float, float] | None:
     hot_left, hot_right = (F.broadcast(x) for x in (words.where(F.col("freq") >= least).select(F.col("word").alias("v_"), "kt", "ko"), words.where(F.col("freq") >= least).select(F.col("word").alias("w_"), "pt", "po")))
     met = pairs.join(hot_left, F.col("v") == F.col("v_"), "left").join(hot_right, F.col("w") == F.col("w_"), "left")
     warm = F.col("kt").isNotNull() & F.col("pt").isNotNull()
-    rare = met.where(~warm).select("v", "w", "toxic", "plain").join(lefts, F.col("v") == F.col("v_")).join(rights, F.col("w") == F.col("w_"))
+    rare = lambda own: met.where(own & ~warm).select("v", "w", "toxic", "plain").join(lefts, F.col("v") == F.col("v_")).join(rights, F.col("w") == F.col("w_"))
     gain = lambda c, k, p: F.when(F.col(c) > 0, F.log1p((F.col(c) - DISCOUNT) / (DISCOUNT * F.col(k) * F.col(p)))).otherwise(0.0)
     value, tells = gain("toxic", "kt", "pt") - gain("plain", "ko", "po"), F.abs(_smoothed(F.col("toxic"), F.col("plain"), tokens)) >= NATS
     both = entry(F.xxhash64("v", "w"), F.when(tells, value).otherwise(0.0), F.when(tells, 0.0).otherwise(value), F.col("toxic") + F.col("plain"))
-    entries = materialise(alone.unionByName(met.where(warm).select(*both)).unionByName(rare.select(*both)), "model")
+    slice_of = F.pmod(F.xxhash64("v"), F.lit(PAIR_SLICES))
+    parts = [alone.unionByName(met.where(warm).select(*both)), *(rare(slice_of == i).select(*both) for i in range(PAIR_SLICES))]
+    entries = materialise_parts(parts, "model")
     release(counted)
     return entries, unseen, start
 
@@ -240,21 +243,29 @@ def key_filter(entries: DataFrame) -> np.ndarray | None:
     return np.frombuffer(zlib.decompress(found["bits"]), dtype=np.uint8)
 
 
-def _packed(keys: np.ndarray, told: np.ndarray, other: np.ndarray, bits: np.ndarray | None) -> tuple[bytes | None, ...]:
-    """The broadcast in little room, as every node keeps it on its disk: gaps between sorted keys, and what compresses."""
-    gaps = np.diff(keys, prepend=keys[:1]).view(np.uint64) if len(keys) else np.empty(0, dtype=np.uint64)
-    columns = [gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T, told.astype("<f4").view(np.uint8).reshape(-1, 4).T, other.astype("<f4").view(np.uint8).reshape(-1, 4).T]
-    return (int(keys[0]) if len(keys) else 0, *(zlib.compress(np.ascontiguousarray(c).tobytes(), 6) for c in columns), None if bits is None else zlib.compress(bits.tobytes(), 6))
+class Hot:
+    """What is broadcast, in little room, as every node keeps it on its disk: gaps between sorted keys, and what compresses.
 
+    A worker unpacks it once and drops the packed bytes; the arrays go with the broadcast, so that later steps of the worker have their room.
+    """
 
-@lru_cache(maxsize=1)
-def _unpacked(packed: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """The arrays again, once for a worker."""
-    first, *columns, bits = packed
-    gaps, told, other = (np.ascontiguousarray(np.frombuffer(zlib.decompress(c), dtype=np.uint8).reshape(n, -1).T) for c, n in zip(columns, (8, 4, 4), strict=True))
-    with np.errstate(over="ignore"):
-        keys = (np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64) + np.uint64(first & (1 << 64) - 1)).view(np.int64) if len(gaps) else np.empty(0, dtype=np.int64)
-    return keys, told.view("<f4")[:, 0], other.view("<f4")[:, 0], None if bits is None else np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+    def __init__(self, keys: np.ndarray, told: np.ndarray, other: np.ndarray, bits: np.ndarray | None):
+        gaps = np.diff(keys, prepend=keys[:1]).view(np.uint64) if len(keys) else np.empty(0, dtype=np.uint64)
+        columns = [gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T, told.astype("<f4").view(np.uint8).reshape(-1, 4).T, other.astype("<f4").view(np.uint8).reshape(-1, 4).T]
+        self.first = int(keys[0]) if len(keys) else 0
+        self.packed = [*(zlib.compress(np.ascontiguousarray(c).tobytes(), 6) for c in columns), None if bits is None else zlib.compress(bits.tobytes(), 6)]
+        self.arrays: tuple | None = None
+
+    def unpacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Keys, both values, and the filter."""
+        if self.arrays is None:
+            *columns, bits = self.packed
+            gaps, told, other = (np.ascontiguousarray(np.frombuffer(zlib.decompress(c), dtype=np.uint8).reshape(n, -1).T) for c, n in zip(columns, (8, 4, 4), strict=True))
+            with np.errstate(over="ignore"):
+                keys = (np.cumsum(gaps.view("<u8")[:, 0], dtype=np.uint64) + np.uint64(self.first & (1 << 64) - 1)).view(np.int64) if len(gaps) else np.empty(0, dtype=np.int64)
+            self.arrays = keys, told.view("<f4")[:, 0], other.view("<f4")[:, 0], None if bits is None else np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+            self.packed = []
+        return self.arrays
 
 
 # --- scores ---
@@ -267,12 +278,12 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, st
         return base.select("doc_id", "text_hash", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("told"), F.lit(0.0).alias("other"))
     least = frequent(entries, HOT)
     hot = entries.where(F.col("freq") >= least).select("key", "told", "other").toArrow().sort_by("key")  # HOT rows of 16 bytes at most
-    shared = docs.sparkSession.sparkContext.broadcast(_packed(*(hot[c].to_numpy() for c in ("key", "told", "other")), key_filter(entries)))
+    shared = docs.sparkSession.sparkContext.broadcast(Hot(*(hot[c].to_numpy() for c in ("key", "told", "other")), key_filter(entries)))
     names = ["row", "key", "base"]
     fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("told", pa.float64()), ("other", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_told, hot_other, bits = _unpacked(shared.value)
+        hot_keys, hot_told, hot_other, bits = shared.value.unpacked()
         row = TaskContext.get().partitionId() << 33
 
         def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,15 +324,20 @@ def evidence(docs: DataFrame, entries: DataFrame | None, unseen: float = 0.0, st
             cold, at = np.concatenate(cold_keys), rows[np.concatenate(cold_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cold), pa.nulls(len(cold), base.type)], names)
 
-    lines = base.mapInArrow(run, "row long, key long, base struct<doc_id:long,text_hash:long,n:long,told:double,other:double>")
     model_of = entries.where(F.col("freq") < least).select(F.col("key").alias("k"), F.col("told").alias("k_told"), F.col("other").alias("k_other"))
-    # Lines without a key are dealt by their row.
-    dealt = lines.withColumn("spot", F.coalesce("key", F.xxhash64("row"))).drop("key")
-    met = dealt.join(model_of, F.col("spot") == F.col("k"), "left")
     own = F.col("base").isNotNull()
     value = lambda c: F.sum(F.when(own, F.col(f"base.{c}")).otherwise(F.coalesce(F.col(f"k_{c}").cast("double"), F.lit(0.0)))).alias(c)
-    found = met.where(own | F.col("k").isNotNull()).groupBy("row").agg(*(F.max(f"base.{c}").alias(c) for c in ("doc_id", "text_hash", "n")), value("told"), value("other"))
-    return found.select("doc_id", "text_hash", "n", "told", "other")
+
+    def met(part: DataFrame) -> DataFrame:
+        lines = part.mapInArrow(run, "row long, key long, base struct<doc_id:long,text_hash:long,n:long,told:double,other:double>")
+        # Lines without a key are dealt by their row.
+        dealt = lines.withColumn("spot", F.coalesce("key", F.xxhash64("row"))).drop("key")
+        found = dealt.join(model_of, F.col("spot") == F.col("k"), "left").where(own | F.col("k").isNotNull())
+        found = found.groupBy("row").agg(*(F.max(f"base.{c}").alias(c) for c in ("doc_id", "text_hash", "n")), value("told"), value("other"))
+        return found.select("doc_id", "text_hash", "n", "told", "other")
+
+    slice_of = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SLICES))
+    return materialise_parts((met(base.where(slice_of == i)) for i in range(SLICES)), "evidence")
 
 
 def _features(told: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -352,7 +368,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     if found is None:
         scored = evidence(docs, None, key=key, text=text).withColumn("score", F.lit(0.0))
     else:
-        scored = materialise(evidence(docs, *found, key, text), "evidence")
+        scored = evidence(docs, *found, key, text)
         release(found[0])
         known = labelled(labels, "doc_id" if key not in labels.columns else key, "toxic")
         fit = scored.join(known, F.col("doc_id") == F.col("known_id")).where(fold(F.col("doc_id")) != 0)

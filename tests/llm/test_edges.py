@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from framelake import session
 from framelake.llm import ann, line_dedup, mixing, packing, quality, simhash, token_counts, toxicity, url_filters, warc
 from framelake.llm.queries import RULES, vocabulary
 
@@ -236,3 +237,50 @@ def test_line_hashes_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 << 20, peak
+
+
+def shuffle_files(spark) -> set[str]:
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    settings = {k: spark.conf.get(k) for k in session.WRITING}
+    written = session.materialise_parts((spark.range(1000).groupBy((F.col("id") % n).alias("rest")).count() for n in (7, 11)), "rests")
+    assert shuffle_files(spark) <= before
+    assert settings == {k: spark.conf.get(k) for k in session.WRITING}
+    assert written.count() == 18 and written.agg(F.sum("count")).first()[0] == 2000
+    session.release(written)
+
+
+def test_toxicity_in_slices(spark, monkeypatch):
+    """Documents meet the model a slice at a time, one slice's shuffle files gone before the next; the scores are those of one slice."""
+    words = ["bad", "good", "fine", "mean", "kind", "rude", "calm", "odd"]
+    rows = [(i if i % 9 else None, " ".join(words[(i * k + k * k) % (4 + 4 * (i % 2))] + str(i * k % 13) for k in range(30)), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows + rows[:20]], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] is not None], "doc_id long, toxic int")
+    left, write = [], toxicity.materialise_parts
+
+    def watched(parts, purpose):
+        def each():
+            for part in parts:
+                left.append(len(shuffle_files(spark) - before))
+                yield part
+
+        return write(each(), purpose)
+
+    monkeypatch.setattr(toxicity, "materialise_parts", watched)
+    monkeypatch.setattr(toxicity, "HOT", 16)
+    monkeypatch.setattr(toxicity, "HOT_WORDS", 4)
+    found = []
+    for slices in (1, 3):
+        monkeypatch.setattr(toxicity, "SLICES", slices)
+        monkeypatch.setattr(toxicity, "PAIR_SLICES", slices)
+        before = shuffle_files(spark)
+        left.clear()
+        scored = toxicity.score_documents(docs, labels).select("doc_id", "text_hash", F.round("score", 9)).collect()
+        found.append(sorted(scored, key=str))
+        assert len(left) == 2 * slices + 1
+        assert max(left[1 : slices + 1]) <= left[0] and max(left[slices + 1 :]) <= left[slices + 1]
+    assert found[0] == found[1] and len(found[0]) == 320
