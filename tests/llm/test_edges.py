@@ -2,6 +2,8 @@
 
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +286,22 @@ def test_toxicity_in_slices(spark, monkeypatch):
         assert len(left) == 2 * slices + 1
         assert max(left[1 : slices + 1]) <= left[0] and max(left[slices + 1 :]) <= left[slices + 1]
     assert found[0] == found[1] and len(found[0]) == 320
+
+
+def test_workers_get_small_batches(spark):
+    """Executors hold a batch for each worker as they write: 10,000 texts took the memory that line_dedup lacked."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    written = session.materialise(spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long"), "sizes")
+    assert sum(n := [r["n"] for r in written.collect()]) == 5000 and max(n) <= 1000
+
+
+def test_a_worker_drops_the_packed_broadcast():
+    keys = np.array([-(1 << 63), -5, 7, (1 << 63) - 1])
+    hot = toxicity.Hot(keys, np.arange(4.0), -np.arange(4.0), None)
+    got = hot.unpacked()
+    assert (got[0] == keys).all() and got[1].tolist() == [0, 1, 2, 3] and got[3] is None
+    assert not hot.packed and hot.unpacked() is got
