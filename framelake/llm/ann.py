@@ -45,8 +45,8 @@ LEAST_CELL, BLOCK = 256, 8192
 #: Cells that a table has at least, where it has rows for them.
 SPREAD = 16
 LEAF = 32
-#: Rows verified between two tests.
-STEP = 64
+#: Rows verified between two tests: so many, or a part of those verified before.
+STEP, PART = 64, 2
 CONFIDENCE = 0.85
 
 
@@ -175,8 +175,14 @@ class Block:
         self.low = np.array([z[r].min(axis=0) for r in leaves])
         self.high = np.array([z[r].max(axis=0) for r in leaves])
         order = np.concatenate(leaves)
-        self.ids, self.x, self.z = ids[order], x[order], z[order]
-        self.ends = np.cumsum([0, *map(len, leaves)])
+        self.ids, self.x = ids[order], x[order]
+        # Places by leaf, so that leaves open together; what a leaf lacks is far from all.
+        sizes = np.array([*map(len, leaves)])
+        self.places = (np.cumsum(sizes) - sizes)[:, None] + np.arange(sizes.max())
+        lacks = np.arange(sizes.max()) >= sizes[:, None]
+        self.places[lacks] = 0
+        self.z = z[order][self.places]
+        self.lengths = np.where(lacks, np.inf, (self.z * self.z).sum(axis=2))
 
     def search(self, query: int, q: np.ndarray, z: np.ndarray, far: np.ndarray, floor: float) -> tuple[list[tuple[int, float]], int]:
         """Up to k (id, inner product), best first, and the rows verified; ``floor`` is the k-th best inner product known so far."""
@@ -186,31 +192,33 @@ class Block:
         limit = self.cut * max(length - 2 * floor, 0) + 1e-12 * length if np.isfinite(floor) else np.inf
         rows, scores = np.empty(0, dtype=np.int64), np.empty(0)
         wait, away = np.empty(0, dtype=np.int64), np.empty(0)  # rows of open leaves, by projected distance
-        at, step, verified = 0, 2, 0
+        at, step, verified = 0, 4, 0
         while True:
             edge = far[turn[at]] if at < len(turn) else np.inf
             ready = int(np.searchsorted(away, min(edge, limit), side="right"))
             if ready:
-                new = wait[: min(ready, STEP)]
+                # A test costs as much as many rows, so there is one after each further part of the rows.
+                new = wait[: min(ready, max(STEP, verified // PART))]
                 wait, away = wait[len(new) :], away[len(new) :]
                 verified += len(new)
                 rows, scores = np.concatenate([rows, new]), np.concatenate([scores, self.x[new] @ q])
-                if len(scores) > self.k:
+                if len(scores) >= self.k:
                     least = np.partition(scores, -self.k)[-self.k]
                     near = scores >= least - 1e-9 * max(1.0, abs(least))
                     rows, scores = rows[near], scores[near]
-                if len(scores) >= self.k:
-                    floor = max(floor, float(np.partition(scores, -self.k)[-self.k]))
+                    floor = max(floor, float(least))
                     limit = self.cut * max(length - 2 * floor, 0) + 1e-12 * length
             elif at == len(turn) or edge > limit:
                 break
             else:
-                new = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in turn[at : at + step]])
-                new = new[self.ids[new] != query]
-                wait, away = np.concatenate([wait, new]), np.concatenate([away, ((self.z[new] - z) ** 2).sum(axis=1)])
-                order = np.argsort(away, kind="stable")
+                own = turn[at : at + step]
+                new, apart = self.places[own].ravel(), self.lengths[own].ravel() - 2 * (self.z[own].reshape(-1, DIMS) @ z) + z @ z
+                near = np.nonzero((apart <= limit) & (apart < np.inf))[0]  # the limit only falls
+                near = near[self.ids[new[near]] != query]
+                wait, away = np.concatenate([wait, new[near]]), np.concatenate([away, apart[near]])
+                order = np.argsort(away)
                 wait, away = wait[order], away[order]
-                at, step = min(at + step, len(turn)), min(2 * step, 64)
+                at, step = min(at + step, len(turn)), 2 * step
         exact = (self.x[rows] * q).sum(axis=1)  # one order of summation for every row, so that equal rows tie
         best = np.lexsort((self.ids[rows], -exact))[: self.k]
         return [(int(self.ids[rows[i]]), float(exact[i])) for i in best], verified

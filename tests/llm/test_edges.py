@@ -305,3 +305,21 @@ def test_a_worker_drops_the_packed_broadcast():
     got = hot.unpacked()
     assert (got[0] == keys).all() and got[1].tolist() == [0, 1, 2, 3] and got[3] is None
     assert not hot.packed and hot.unpacked() is got
+
+
+def test_a_search_tests_its_end_seldom(monkeypatch):
+    """Where distances are alike nearly all rows are verified: tests are few beside them, and the nearest are found."""
+    x = np.random.default_rng(5).standard_normal((4000, 64))
+    plan = ann.Plan(64, float((x * x).sum(axis=1).max()), np.random.default_rng(6).standard_normal((65, ann.DIMS)), np.full((1, ann.DIMS), -np.inf), np.full((1, ann.DIMS), np.inf), [])
+    block, calls, cut = ann.Block(np.arange(4000), x, plan, 20), [], np.partition
+    z = plan.project(x[:5], query=True)
+    far = ann.box_distances(z, block.low, block.high)
+    monkeypatch.setattr(np, "partition", lambda *a: calls.append(1) or cut(*a))
+    for i in range(5):
+        calls.clear()
+        best, verified = block.search(i, x[i], z[i], far[i], float("-inf"))
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        nearest = set(np.argsort(-scores)[:20].tolist())
+        assert len({v for v, _ in best} & nearest) >= 15 and len(best) == 20
+        assert 1000 < verified <= 3999 and len(calls) <= 16
